@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import packing, quality_classifier
+from lectern.llm import minhash, packing, quality_classifier
 from lectern.llm.common import crc_mod, read
 
 
@@ -20,8 +20,15 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the least id of its near-duplicate class."""
+    classes = minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return classes.withColumn("is_kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
 QUERIES = {
     "op6_packing": op6_packing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_minhash": op10_minhash,
 }
 ORACLE_SQL: dict[str, str] = {}
