@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import minhash, packing, quality_classifier
+from lectern.llm import decontamination, minhash, packing, quality_classifier
 from lectern.llm.common import crc_mod, persist_shared, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,6 +24,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return minhash.drop_near_duplicates(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold passages of the benchmark."""
+    found = persist_shared(decontamination.overlaps(docs, read(spark, sf_dir, "benchmark")), "contaminated")
+    return decontamination.drop_contaminated(docs, found)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows: one row per piece with its ids."""
     return packing.pack_documents(docs)
@@ -32,6 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminate),
     ("packing", pack),
 ]
 

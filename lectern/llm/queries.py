@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import minhash, packing, quality_classifier
+from lectern.llm import decontamination, minhash, packing, quality_classifier
 from lectern.llm.common import crc_mod, read
 
 
@@ -14,6 +14,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(read(spark, sf_dir, "documents")))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items whose passages it holds."""
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score; labels of fold 2 are never learnt from."""
     scored = quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
@@ -28,7 +33,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_packing": op6_packing,
+    "op7_decontamination": op7_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash": op10_minhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": decontamination.ORACLE_SQL,
+}
