@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontamination, minhash, packing, quality_classifier
+from lectern.llm import decontamination, minhash, packing, pii, quality_classifier
 from lectern.llm.common import crc_mod, persist_shared, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,6 +30,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.drop_contaminated(docs, found)
 
 
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in the texts by the name of its kind."""
+    return pii.mask(docs, pii.fit(docs))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows: one row per piece with its ids."""
     return packing.pack_documents(docs)
@@ -39,6 +44,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontaminate),
+    ("pii", hide_personal_data),
     ("packing", pack),
 ]
 

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontamination, minhash, packing, quality_classifier
+from lectern.llm import decontamination, minhash, packing, pii, quality_classifier
 from lectern.llm.common import crc_mod, read
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: base counts, a hash of the base spans, all spans."""
+    docs = read(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in windows of 1024 tokens: one row per piece."""
     return packing.digest(packing.pack_documents(read(spark, sf_dir, "documents")))
@@ -32,6 +38,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
