@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontamination, minhash, packing, pii, quality_classifier
+from lectern.llm import decontamination, minhash, packing, pii, quality_classifier, quality_rules
 from lectern.llm.common import crc_mod, read
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's line-first measures and verdict."""
+    return quality_rules.digest(quality_rules.measure(read(spark, sf_dir, "documents")))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data: base counts, a hash of the base spans, all spans."""
     docs = read(spark, sf_dir, "documents")
@@ -38,6 +43,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
@@ -45,5 +51,6 @@ QUERIES = {
     "op10_minhash": op10_minhash,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op7_decontamination": decontamination.ORACLE_SQL,
 }
