@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontamination, minhash, packing, pii, quality_classifier, quality_rules
+from lectern.llm import decontamination, html_extraction, language_id, minhash, packing, pii, quality_classifier, quality_rules
 from lectern.llm.common import crc_mod, read
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html_extraction.digest(html_extraction.extract(read(spark, sf_dir, "pages")))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's line-first measures and verdict."""
     return quality_rules.digest(quality_rules.measure(read(spark, sf_dir, "documents")))
@@ -20,6 +25,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(docs, pii.fit(docs)))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; rows of fold 1 are never learnt from."""
+    docs = read(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs, crc_mod("doc_id", 3) != 1))
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in windows of 1024 tokens: one row per piece."""
     return packing.digest(packing.pack_documents(read(spark, sf_dir, "documents")))
@@ -43,8 +55,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
+    "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
