@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontamination, html_extraction, language_id, minhash, packing, pii, quality_classifier, quality_rules
-from lectern.llm.common import crc_mod, read
+from lectern.llm import decontamination, html_extraction, language_id, minhash, packing, pii, quality_classifier, quality_rules, token_rollup
+from lectern.llm.common import crc_mod, persist_shared, read, shared_dir
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,25 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(docs, pii.fit(docs)))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after a load of all documents, a recount of those not in English, and a withdrawal of short ones.
+
+    The recount is committed twice, as after a lost driver, and counts once.
+    """
+    counts = persist_shared(token_rollup.count_tokens(read(spark, sf_dir, "documents")), "token-counts")
+    rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", token_rollup.signed(token_rollup.version(counts, "words-v1").unionByName(token_rollup.version(counts, "bytes-v1")), 1))
+    foreign = counts.where("coalesce(lang, '') <> 'en'")
+    recount = token_rollup.revised(token_rollup.version(foreign, "words-v1"), token_rollup.version(foreign, "words-v2"))
+    rollup.commit("recount", recount)
+    rollup.compact()
+    short = counts.where("`words-v1` < 20")
+    gone = [token_rollup.version(short.where(c), v) for v, c in (("words-v1", "lang = 'en'"), ("words-v2", "coalesce(lang, '') <> 'en'"), ("bytes-v1", "true"))]
+    rollup.commit("withdrawal", token_rollup.signed(gone[0].unionByName(gone[1]).unionByName(gone[2]), -1))
+    rollup.commit("recount", recount)
+    return rollup.totals()
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language; rows of fold 1 are never learnt from."""
     docs = read(spark, sf_dir, "documents")
@@ -58,6 +79,7 @@ QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
+    "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
@@ -66,5 +88,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_token_counts": token_rollup.ORACLE_SQL,
     "op7_decontamination": decontamination.ORACLE_SQL,
 }
