@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontamination, html_extraction, language_id, minhash, packing, pii, quality_classifier, quality_rules, token_rollup
+from lectern.llm import chat_format, decontamination, html_extraction, language_id, minhash, packing, pii, quality_classifier, quality_rules, token_rollup
 from lectern.llm.common import crc_mod, persist_shared, read, shared_dir
 
 
@@ -63,6 +63,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, written as a marked transcript, in canonical turns: what the parser makes of its lines."""
+    conversations = read(spark, sf_dir, "conversations")
+    return chat_format.parse(chat_format.transcripts(conversations), chat_format.fit(conversations))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score; labels of fold 2 are never learnt from."""
     scored = quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
@@ -83,6 +89,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
+    "op8_chat_format": op8_chat_format,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash": op10_minhash,
 }
@@ -90,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op4_token_counts": token_rollup.ORACLE_SQL,
     "op7_decontamination": decontamination.ORACLE_SQL,
+    "op8_chat_format": chat_format.ORACLE_SQL,
 }
