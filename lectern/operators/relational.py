@@ -107,22 +107,18 @@ LOCALE_ORDER = {"de": ("name_de", "name_en", "name_fr", "name"), "en": ("name_en
 
 
 def program_type(ects: Column, level: Column) -> Column:
-    """minor, major or mono by credits and level; the first rule that fits wins, null credits give null.
+    """minor, major or mono by credits and level; null credits, or credits between the types, give null.
 
-    Small programmes (60 or less, or a master's 30) are minors; a bachelor's 180 and master's 90 and 120 are mono;
-    what lies between is a major.
+    Below 90 credits a programme is a minor. A master's 90 make a major and 120 a mono; a bachelor's 90 and
+    more a major and 180 a mono.
     """
-    return (
-        F.when(ects.isNull(), F.lit(None).cast("string"))
-        .when(ects <= 60, "minor")
-        .when((level == "Bachelor") & (ects >= 180), "mono")
-        .when((level == "Master") & ects.isin(90.0, 120.0), "mono")
-        .otherwise("major")
-    )
+    by_level = F.when(level == "Master", F.when(ects == 90, "major").when(ects == 120, "mono")).when(level == "Bachelor", F.when(ects < 180, "major").when(ects == 180, "mono"))
+    return F.when(ects < 90, "minor").otherwise(F.when(ects.isNotNull(), by_level))
 
 
 def semester_label(kind: Column, year: Column) -> Column:
-    return F.concat(F.when(kind == "Autumn", "Autumn ").when(kind == "Spring", "Spring ").otherwise(F.concat(kind, F.lit(" "))), year.cast("string"))
+    """HS or FS (nothing for other kinds) and the year."""
+    return F.concat(F.when(kind == "Autumn", "HS ").when(kind == "Spring", "FS ").otherwise(""), year.cast("string"))
 
 
 # ---- joins ----
