@@ -324,16 +324,16 @@ def anchors(c: Column) -> Column:
 
 
 def quality_bucket(chars: Column, words: Column) -> Column:
-    """high, medium, low or very_low by how much text there is."""
-    return F.when((chars >= 8000) & (words >= 1000), "high").when((chars >= 2000) & (words >= 250), "medium").when((chars >= 500) & (words >= 60), "low").otherwise("very_low")
+    """very_low, low, medium or high: a bucket needs enough characters and enough words."""
+    return F.when((chars < 200) | (words < 30), "very_low").when((chars < 1000) | (words < 150), "low").when((chars < 5000) | (words < 700), "medium").otherwise("high")
 
 
 def heading_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"(?m)^#{1,6}\s+\S"))
+    return F.regexp_count(c, F.lit(r"(?m)^#{1,6}\s+\S+"))
 
 
 def credit_mentions(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"(?i)\b\d+(?:\.\d+)?\s*(?:ects|credits?|kreditpunkte)\b"))
+    return F.regexp_count(c, F.lit(r"(?i)\b\d{1,3}\s*(?:ects|cr[eé]dits?|kreditpunkte?)\b"))
 
 
 # ---- people ----
