@@ -17,8 +17,11 @@ SIMILARITY = 0.8
 #: Signature places; 25 bands of 5 miss a pair at the threshold with a probability of 5e-5.
 PLACES = 128
 BANDS, ROWS = 25, 5
-#: Rounds in which every mixed bucket tests its members against one of them; what is left is tested in full.
-HUB_ROUNDS = 2
+#: Places of the sketches (a byte each) that compare the members of mixed buckets. At the threshold a pair's
+#: estimate has a standard error of 0.0125; pairs estimated SLACK of these below it are not verified.
+SKETCH_PLACES, SLACK = 1024, 4.5
+#: Members of one block of a bucket, on average.
+BLOCK = 64
 #: Up to so many ids (8 bytes each) are sent to all tasks; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Pairs of one hub are dealt out in groups of about this many.
@@ -194,15 +197,77 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return rows.mapInArrow(test, "a long, b long").distinct()
 
 
+def _blocked_candidates(member: DataFrame, docs: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and whose sketches are close enough to verify.
+
+    Members of a bucket are dealt into blocks and every two blocks of a bucket meet in one row, so that a
+    bucket of any size is compared whole, block by block, without a row for each pair. A pair that shares
+    several buckets is looked at in the first of them.
+    """
+    at = member.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    at = persist_shared(at.join(mixed, "bucket"), "mixed-buckets")
+    ids = at.select(F.col("id").alias("doc_id")).distinct()
+    sketched = _sketches(by_id(docs.select("doc_id", "text"), ids, "left_semi"))
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block")
+    one = F.struct("id", "component", "buckets", "sketch")
+    blocks = at.join(sketched, "id").groupBy("bucket", block).agg(F.collect_list(one).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    blocks = persist_shared(blocks, "blocks")
+    left, right = (blocks.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "m", "lo", "hi")]) for k in "xy")
+    rows = left.join(right, "bucket").where("block_x <= block_y and (lo_x <> hi_x or lo_y <> hi_y or lo_x <> lo_y)").select("bucket", "m_x", "m_y")
+    least = similarity - SLACK * (similarity * (1 - similarity) / SKETCH_PLACES) ** 0.5
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def arrays(members: list[dict]) -> tuple[np.ndarray, ...]:
+            columns = [np.array([m[c] for m in members], np.int64) for c in ("id", "component", "buckets")]
+            return (*columns, np.stack([np.frombuffer(m["sketch"], np.uint8) for m in members]))
+
+        for batch in batches:
+            found: list[np.ndarray] = []
+            for k in range(batch.num_rows):
+                bucket, mx, my = (c[k].as_py() for c in batch.columns)
+                (ix, cx, bx, sx), (iy, cy, by, sy) = arrays(mx), arrays(my)
+                for i in range(len(ix)):
+                    close = (cy != cx[i]) & ((sy == sx[i]).mean(1) >= least)
+                    for j in np.flatnonzero(close):
+                        shared = bx[i][bx[i] == by[j]]
+                        if len(shared) and shared[0] == bucket:
+                            found.append(np.array([min(ix[i], iy[j]), max(ix[i], iy[j])]))
+            pairs = np.stack(found) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(id, buckets, sketch) of each id: its bands and one byte of each of SKETCH_PLACES places."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        with np.errstate(over="ignore"):
+            for b in batches:
+                ids, whole = b.column(0).to_pylist(), b.column(1).to_pylist()
+                doc, s, w = weighted_shingles(whole, hashes)
+                bands = band_values(probminhash(doc, s, w, len(whole)))
+                bytes_ = (mix(probminhash(doc, s, w, len(whole), SKETCH_PLACES)) >> np.uint64(56)).astype(np.uint8)
+                has = sorted(set(doc.tolist()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[i] for i in has], pa.int64()), pa.array([bands[i].tolist() for i in has], pa.list_(pa.int64())), pa.array([bytes_[i].tobytes() for i in has], pa.binary())],
+                    names=["id", "buckets", "sketch"],
+                )
+
+    return texts.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(sketch, "id long, buckets array<long>, sketch binary").dropDuplicates(["id"])
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) for every row of ``docs``: class_id is the least id of the row's class.
 
     Documents are linked if their texts are equal or the probability Jaccard of their shingles of five
     words, weighted by how often each occurs, is at least ``similarity``; classes are the connected
-    components. Equal texts are one node, so copies never meet as pairs. In every bucket of a band each
-    member is tested against the bucket's hub, the member that shares most buckets with others; buckets
-    whose members still fall in different components are tested again against a hub from another component,
-    and at last all their pairs across components are. No bucket is capped.
+    components. Equal texts are one node, so copies never meet as pairs. First every member of a band's
+    bucket is verified against the bucket's hub, the member that shares most buckets with others. Buckets
+    whose members still fall in different components are then compared whole, in blocks, by sketches, and
+    close pairs are verified. No bucket is capped.
 
     Null texts are linked to nothing; a null id takes the class of its text, or null. Rows with equal ids
     count as one document. Empty tables give no rows; further columns are ignored.
@@ -213,40 +278,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     nodes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     node = signed.where("bands is not null and doc_id is not null").join(nodes, ["key", "doc_id"]).select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")).distinct()
     crowded = node.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    member = node.join(crowded, "bucket")
-    score = member.groupBy("id").agg(F.sum("n").alias("score"))
-    member = persist_shared(member.join(score, "id").select("bucket", "id", "score"), "buckets")
-
-    none = spark.createDataFrame([], "a long, b long")
-    links, tested, labels = none, none, spark.createDataFrame([], "id long, component long")
-    for round_no in range(HUB_ROUNDS + 1):
-        at = member if round_no == 0 else member.join(labels, "id", "left").select("bucket", "id", "score", F.coalesce("component", "id").alias("component"))
-        if round_no == 0:
-            hub = at.groupBy("bucket").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
-            pairs = at.join(hub, "bucket").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        else:
-            mixed = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-            at = persist_shared(at.join(mixed, "bucket"), "mixed-buckets")
-            if at.isEmpty():
-                break
-            if round_no < HUB_ROUNDS:
-                # a hub from outside the component of the least label, tested against all that aren't of its own
-                lo = at.groupBy("bucket").agg(F.min("component").alias("lo"))
-                hub = at.join(lo, "bucket").where("component <> lo").groupBy("bucket").agg(F.max_by(F.struct("id", "component"), F.struct("score", -F.col("id"))).alias("h"))
-                pairs = at.join(hub, "bucket").where("component <> h.component").select(F.least("id", "h.id").alias("x"), F.greatest("id", "h.id").alias("y"))
-            else:
-                left, right = at.select("bucket", F.col("id").alias("x"), F.col("component").alias("cx")), at.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"))
-                pairs = left.join(right, "bucket").where("x < y and cx <> cy").select("x", "y")
-            pairs = pairs.distinct().join(tested.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        pairs = persist_shared(pairs, "pairs")
-        if pairs.isEmpty():
-            if round_no == HUB_ROUNDS:
-                break
-            continue
-        found = persist_shared(verified(pairs, docs, similarity), "links-found")
-        tested, links = tested.unionByName(pairs), links.unionByName(found)
-        if not found.isEmpty():
-            labels = connected_components(links)
+    member = persist_shared(node.join(crowded, "bucket"), "buckets")
+    scored = member.join(member.groupBy("id").agg(F.sum("n").alias("score")), "id")
+    hub = scored.groupBy("bucket").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
+    pairs = persist_shared(member.join(hub, "bucket").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "hub-pairs")
+    links = persist_shared(verified(pairs, docs, similarity), "hub-links")
+    labels = connected_components(links)
+    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    close = persist_shared(_blocked_candidates(member, docs, labels, similarity).join(tested, ["a", "b"], "left_anti"), "close-pairs")
+    if not close.isEmpty():
+        more = persist_shared(verified(close, docs, similarity), "close-links")
+        if not more.isEmpty():
+            # links between the components found so far
+            named = more
+            for c in ("a", "b"):
+                named = named.join(labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(c, F.coalesce(f"c{c}", c)).drop(f"c{c}")
+            joined = connected_components(named).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+            known = labels.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+            # a document without a link to its hub was its own component
+            new = joined.join(labels.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
+            labels = persist_shared(known.unionByName(new), "components")
     names = nodes.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", F.coalesce("component", "doc_id").alias("class_id"))
     classed = signed.select("doc_id", "key").join(names, "key").select("doc_id", "class_id")
     rest = docs.where("text is null").select(F.col("doc_id").cast("long").alias("doc_id"))
