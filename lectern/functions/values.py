@@ -74,7 +74,8 @@ def season(c: Column) -> Column:
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Between 0 and 1; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def rate(part: Column, whole: Column, empty: float | None = None) -> Column:

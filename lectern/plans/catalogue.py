@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lectern.plans import relational
+
+_PARTS = (relational,)
+QUERIES: dict = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: s for p in _PARTS for k, s in p.ORACLE_SQL.items()}
