@@ -244,7 +244,8 @@ def conflict_groups(blocks: DataFrame) -> DataFrame:
         for g in sorted(found, key=len, reverse=True):
             if not any(set(g) <= k for k in kept):
                 kept.append(set(g))
-        return pd.DataFrame({"plan": [key[0]] * len(kept), "group_no": range(len(kept)), "codes": [",".join(sorted({x[3] for x in k})) for k in kept]})
+        out = [(key[0], i, ",".join(sorted({x[3] for x in k}))) for i, k in enumerate(kept)]
+        return pd.DataFrame(out, columns=["plan", "group_no", "codes"]).astype({"plan": "int64", "group_no": "int32", "codes": object})
 
     return blocks.groupBy("plan").applyInPandas(grow, "plan long, group_no int, codes string")
 

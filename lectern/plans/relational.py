@@ -185,12 +185,12 @@ def shared_resource_classification(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT month, n_orders, total, n_orders - lag(n_orders) OVER (ORDER BY month) AS n_orders_delta, round(total - lag(total) OVER (ORDER BY month), 2) AS total_delta
+SELECT month, n_orders, total, CAST(n_orders - lag(n_orders) OVER (ORDER BY month) AS DOUBLE) AS n_orders_delta, round(total - lag(total) OVER (ORDER BY month), 2) AS total_delta
 FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1)""")
 def stage_deltas(spark: SparkSession, d: str) -> DataFrame:
     """Monthly measures and their changes; the window sees months only."""
     x = table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-    return R.with_deltas(x, ["month"], ["n_orders", "total"]).withColumn("total_delta", F.round("total_delta", 2))
+    return R.with_deltas(x, ["month"], ["n_orders", "total"]).withColumns({"total_delta": F.round("total_delta", 2), "n_orders_delta": F.col("n_orders_delta").cast("double")})
 
 
 @query("""
