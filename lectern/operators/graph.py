@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.storage import persist_shared
+from lectern.storage import forget, persist_shared
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = persist_shared(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        last, e = e, persist_shared(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        forget(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

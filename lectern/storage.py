@@ -22,4 +22,16 @@ def persist_shared(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path  # noqa: SLF001
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the folders of tables that ``persist_shared`` returned and nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_shared_path", None)
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
