@@ -16,7 +16,9 @@ from lectern.llm.common import arrow_batches, persist_shared
 #: Labelled rows, chosen by a hash of their id, that a fit reads at most.
 MAX_TRAIN_ROWS = 20_000
 N_FOURIER = 128
-RIDGE = 1e-2
+RIDGE = 0.3
+#: A sample of fewer rows is not split: it fits and calibrates in whole.
+MIN_SPLIT = 1_000
 #: Squared distances of standardised statistics are divided by 2 * (WIDTH ** 2) * their number.
 WIDTH = 1.0
 THRESHOLD = 0.7
@@ -132,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_row
 
     Rows with a null id or null quality teach nothing; an id with several labels takes their mean,
     1 from a half on. Four fifths of the sample enter the normal equations, which every partition
-    sums for itself; the rest calibrates. None if no labelled document exists or all labels agree.
+    sums for itself; the rest calibrates (samples below MIN_SPLIT do both in whole). None if no labelled document exists or all labels agree.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -165,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_row
         z = model.fourier(model.scaled(np.stack(f.x.to_list())))
         return np.hstack([z.T @ z, (z.T @ f.y.to_numpy())[:, None]])
 
-    few = int(m[0][0]) < 50
+    few = int(m[0][0]) < MIN_SPLIT
     eq = _summed(rows if few else rows.where("fold != 0"), normal)
     a, b = eq[:, :-1], eq[:, -1]
     model.weights = np.linalg.solve(a + RIDGE * np.eye(len(a)), b)
