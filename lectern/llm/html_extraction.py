@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +40,9 @@ CONTAINERS = frozenset("#page html body main article section div td center table
 #: A subtree whose characters stand in links by more than this share may fall below the threshold.
 LINKED = 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S
+)
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -74,11 +77,14 @@ class Page:
         return False
 
     def _close(self, stack: list[int], names: tuple[str, ...], boundary: frozenset[str] = frozenset()) -> None:
+        if not any(self.open[n] for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             t = self.tag[stack[k]]
             if t in names:
                 if any(self.tag[i] in BLOCK for i in stack[k:]):
                     self.parts.append((stack[k], None))
+                self.open.subtract(self.tag[i] for i in stack[k:])
                 del stack[k:]
                 return
             if t in boundary:
@@ -86,14 +92,18 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, at, open_p = [0], 0, 0
+        self.open: Counter = Counter()  # open elements by name
+        end = source.rfind(">") + 1  # nothing behind it is a tag
         while True:
-            m = _TOKEN.search(source, at)
+            m = _TOKEN.search(source, at, end) if at < end else None
             text = source[at : m.start() if m else len(source)]
             if text:
                 self.parts.append((stack[-1], text))
             if m is None:
                 return
             at = m.end()
+            if m.group().startswith("<!--") and not m.group().endswith("-->"):
+                return  # a comment that never ends
             name = (m.group(2) or m.group(5) or "").lower()
             if not name:
                 continue
@@ -118,10 +128,11 @@ class Page:
             self.tag.append(name), self.parent.append(above)
             self.cut.append(self.cut[above] or self._furniture(name, attrs, above))
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
+                at = close.end() if close else len(source)
             elif name not in VOID and not attrs.rstrip().endswith("/"):
                 stack.append(node)
+                self.open[name] += 1
                 if name == "p":
                     open_p = 1
 
