@@ -89,7 +89,7 @@ def model_from_counts(counts: dict[tuple, float]) -> TranscriptModel:
     sizes = (N + 1, 3, 4, 2)
     start, step = np.full(STATES, 1e-3), np.full((STATES, STATES), 1e-3)
     emit = [np.full((STATES, n), SMOOTH) for n in sizes]
-    emit[0][:] = 1e-3
+    emit[0][:] = 1e-6
     emit[0][:N, N] = 5e-3  # a turn may open without a marker, if all else speaks for it
     emit[0][N:, N] = 1  # and goes on without one
     for k in range(N):
