@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,6 @@ from lectern.llm.common import arrow_batches
 
 #: Expected number of documents per language that a fit reads, chosen by a hash of their id.
 TRAIN_PER_LANGUAGE = 1_500
-#: Languages with fewer training documents in all than this share of the most frequent one's are learnt from all they have.
 BUCKETS = 4_096
 CENTROIDS = 3
 KMEANS_ROUNDS = 15
@@ -25,7 +23,6 @@ REJECT_QUANTILE = 0.995
 UNKNOWN = "und"
 SEED = 11
 
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -74,7 +71,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """(language, score, distance, rejected); UNKNOWN for texts without letters."""
-        if not text or not _LETTER.search(text) or not self.languages:
+        if not text or not any(map(str.isalpha, text)) or not self.languages:
             return UNKNOWN, 0.0, 1.0, True
         near = self.centroids @ self.vector(ngram_counts(text))
         by_language = np.full(len(self.languages), -1.0)
