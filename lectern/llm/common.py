@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.storage import forget, persist_shared, shared_dir
+
+__all__ = ["arrow_batches", "crc_mod", "forget", "persist_shared", "read", "shared_dir"]
+
 #: Rows in one Arrow batch: long texts then stay far below a worker's memory.
 BATCH_ROWS = 500
 
@@ -21,32 +22,6 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only if none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def persist_shared(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_shared(df: DataFrame) -> None:
-    """Delete the folder that ``persist_shared`` wrote for ``df``, once nothing reads it."""
-    spark = df.sparkSession
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/part-" not in f and shared_dir(spark).removeprefix("file://") in f:
-            p = spark._jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def crc_mod(col: str | Column, n: int) -> Column:
     """crc32 of an id as text, modulo n: the fold of a row. A null id has fold 0."""
     c = F.col(col) if isinstance(col, str) else col

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_batches, persist_shared
-from lectern.llm.components import connected_components
+from lectern.llm.common import arrow_batches, forget, persist_shared
+from lectern.operators.graph import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -194,15 +194,17 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
                         kept.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in kept], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(test, "a long, b long").distinct()
+    found = persist_shared(rows.mapInArrow(test, "a long, b long").distinct(), "links-found")
+    forget(texts)
+    return found
 
 
-def _blocked_candidates(member: DataFrame, docs: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+def _blocked_candidates(member: DataFrame, docs: DataFrame, labels: DataFrame, similarity: float) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     """Pairs (a, b) of different components that share a bucket and whose sketches are close enough to verify.
 
     Members of a bucket are dealt into blocks and every two blocks of a bucket meet in one row, so that a
     bucket of any size is compared whole, block by block, without a row for each pair. A pair that shares
-    several buckets is looked at in the first of them.
+    several buckets is looked at in the first of them. The tables that the pairs are read from come with them.
     """
     at = member.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
@@ -236,7 +238,7 @@ def _blocked_candidates(member: DataFrame, docs: DataFrame, labels: DataFrame, s
             pairs = np.stack(found) if found else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+    return rows.mapInArrow(compare, "a long, b long").distinct(), (at, blocks)
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
@@ -282,12 +284,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     scored = member.join(member.groupBy("id").agg(F.sum("n").alias("score")), "id")
     hub = scored.groupBy("bucket").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
     pairs = persist_shared(member.join(hub, "bucket").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "hub-pairs")
-    links = persist_shared(verified(pairs, docs, similarity), "hub-links")
+    links = verified(pairs, docs, similarity)
     labels = connected_components(links)
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    close = persist_shared(_blocked_candidates(member, docs, labels, similarity).join(tested, ["a", "b"], "left_anti"), "close-pairs")
+    near, used = _blocked_candidates(member, docs, labels, similarity)
+    close = persist_shared(near.join(tested, ["a", "b"], "left_anti"), "close-pairs")
+    forget(member, pairs, *used)
     if not close.isEmpty():
-        more = persist_shared(verified(close, docs, similarity), "close-links")
+        more = verified(close, docs, similarity)
         if not more.isEmpty():
             # links between the components found so far
             named = more
