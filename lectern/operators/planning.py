@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as T
 from lectern.operators.graph import connected_components
+from lectern.operators.grouped import per_group
 from lectern.operators.relational import jaccard
 
 # ---- equivalence (courses that count once) ----
@@ -161,15 +161,13 @@ PLAN_SCHEMA = "plan long, semester_number int, semester_type string, group_no lo
 def plan_semesters(groups: DataFrame, semesters: int = 8, total: float | None = None, chosen: bool = False) -> DataFrame:
     """Place the groups (see ``roll_up``) of every plan; one plan is one task's work, plans are independent."""
 
-    def place(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        rows = list(f.itertuples(index=False))
+    def place(rows: list) -> list[tuple]:
         p = Planner(semesters, total)
         p.mandatory([g for g in rows if g.course_type == "Mandatory"])
         p.electives([g for g in rows if g.course_type != "Mandatory"], chosen)
-        out = [(key[0], s.number, s.kind, g.group_no, g.course_type, g.planned_ects, s.load) for s in p.slots for g in s.groups]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PLAN_SCHEMA.split(", ")])
+        return [(g.plan, s.number, s.kind, g.group_no, g.course_type, g.planned_ects, s.load) for s in p.slots for g in s.groups]
 
-    return groups.groupBy("plan").applyInPandas(place, PLAN_SCHEMA)
+    return per_group(groups, ["plan"], ["group_no"], place, PLAN_SCHEMA)
 
 
 # ---- credits ----
@@ -184,8 +182,7 @@ def suggest_courses(courses: DataFrame, target: float = 30.0, extra: int | None
     if they fit.
     """
 
-    def choose(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        rows = list(f.fillna({"ects": 0.0}).itertuples(index=False))
+    def choose(rows: list) -> list[tuple]:
         needed = sorted((r for r in rows if r.required), key=lambda r: r.code)
 
         def clash(picked: list, new) -> bool:  # noqa: ANN001
@@ -212,9 +209,10 @@ def suggest_courses(courses: DataFrame, target: float = 30.0, extra: int | None
             for r in sorted((r for r in free if r.ects <= 0), key=lambda r: r.code):
                 if not clash(needed, r):
                     needed = [*needed, r]
-        return pd.DataFrame({"plan": [key[0]] * len(needed), "code": [r.code for r in needed]})
+        return [(r.plan, r.code) for r in needed]
 
-    return courses.groupBy("plan").applyInPandas(choose, "plan long, code string")
+    known = courses.withColumn("ects", F.coalesce(F.col("ects").cast("double"), F.lit(0.0)))
+    return per_group(known, ["plan"], ["code"], choose, "plan long, code string")
 
 
 # ---- timetables ----
@@ -227,8 +225,8 @@ def conflict_groups(blocks: DataFrame) -> DataFrame:
     it so far; sets within larger ones are left out. ``blocks``: plan, code, day, start, end.
     """
 
-    def grow(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted({(r.day, r.start, r.end, r.code) for r in f.itertuples(index=False)})
+    def grow(group: list) -> list[tuple]:
+        rows = sorted({(r.day, r.start, r.end, r.code) for r in group})
         meet = lambda a, b: a[0] == b[0] and a[1] < b[2] and b[1] < a[2]
         found = []
         for i, a in enumerate(rows):
@@ -244,26 +242,24 @@ def conflict_groups(blocks: DataFrame) -> DataFrame:
         for g in sorted(found, key=len, reverse=True):
             if not any(set(g) <= k for k in kept):
                 kept.append(set(g))
-        out = [(key[0], i, ",".join(sorted({x[3] for x in k}))) for i, k in enumerate(kept)]
-        return pd.DataFrame(out, columns=["plan", "group_no", "codes"]).astype({"plan": "int64", "group_no": "int32", "codes": object})
+        return [(group[0].plan, i, ",".join(sorted({x[3] for x in k}))) for i, k in enumerate(kept)]
 
-    return blocks.groupBy("plan").applyInPandas(grow, "plan long, group_no int, codes string")
+    return per_group(blocks, ["plan"], ["day", "start", "end", "code"], grow, "plan long, group_no int, codes string")
 
 
 def lanes(blocks: DataFrame) -> DataFrame:
     """``blocks`` (plan, day, code, start, end) with the first free lane of each, in order of start, end and code."""
 
-    def lay(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["start", "end", "code"], kind="stable")
-        ends: list[float] = []
+    def lay(group: list) -> list[tuple]:
+        ends: list[int] = []
         out = []
-        for s, e in zip(f.start, f.end):
-            k = next((i for i, x in enumerate(ends) if x <= s), len(ends))
-            ends[k : k + 1] = [e]
-            out.append(k)
-        return f.assign(lane=out)[["plan", "day", "code", "start", "end", "lane"]]
+        for r in group:
+            k = next((i for i, x in enumerate(ends) if x <= r.start), len(ends))
+            ends[k : k + 1] = [r.end]
+            out.append((r.plan, r.day, r.code, r.start, r.end, k))
+        return out
 
-    return blocks.groupBy("plan", "day").applyInPandas(lay, "plan long, day string, code string, start int, end int, lane int")
+    return per_group(blocks, ["plan", "day"], ["start", "end", "code"], lay, "plan long, day string, code string, start int, end int, lane int")
 
 
 def overlap_depth(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
