@@ -109,7 +109,7 @@ def staged_lookup(df: DataFrame, column: str, dimension: DataFrame, name: str, k
     alias = spark.createDataFrame(list(aliases.items()) or [("", "")], "_alias string, _meant string")
     dim = dimension.select(F.lower(F.trim(name)).alias("_name"), F.col(key).alias("_key")).dropDuplicates(["_name"])
     x = df.withColumn("_v", F.lower(F.trim(column))).join(F.broadcast(alias), F.col("_v") == F.lower("_alias"), "left")  # a hand-written table
-    x = x.join(dim.withColumnRenamed("_key", "_exact"), F.col("_v") == F.col("_name"), "left").drop("_name")
+    x = x.join(dim.withColumnRenamed("_key", "_exact"), F.col("_v") == F.col("_name"), "left").drop("_name")  # the planner sends small dimensions to all tasks by itself
     x = x.join(dim.withColumnRenamed("_key", "_by_alias"), F.lower("_meant") == F.col("_name"), "left").drop("_name")
     how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_by_alias").isNotNull(), "alias").otherwise("default")
     return x.withColumn(key, F.coalesce("_exact", "_by_alias", F.lit(default))).withColumn("how", how).drop("_v", "_alias", "_meant", "_exact", "_by_alias")

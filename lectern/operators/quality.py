@@ -113,3 +113,26 @@ def with_manual_review(compared: DataFrame, reviews: DataFrame, key: str) -> Dat
     """``compared`` with statuses replaced by those of hand-made reviews."""
     r = reviews.select(key, F.col("status").alias("_status")).dropDuplicates([key])
     return compared.join(r, key, "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+
+
+def reason_counts(matches: DataFrame, reasons: str = "reasons") -> DataFrame:
+    """(reason, n): how often every reason of a list column occurs."""
+    return matches.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def score_summary(matches: DataFrame) -> DataFrame:
+    """One row: number, least, mean and largest score."""
+    return matches.agg(F.count("*").alias("n"), F.min("score").alias("least"), F.avg("score").alias("mean"), F.max("score").alias("most"))
+
+
+def evaluation_summary(rows: DataFrame, measures: list[str], by: list[str] | None = None) -> DataFrame:
+    """Mean, median and count of every measure, in all or by groups; nulls don't count."""
+    aggs = [a for m in measures for a in (F.avg(m).alias(f"{m}_mean"), F.median(m).alias(f"{m}_median"), F.count(m).alias(f"{m}_n"))]
+    return rows.groupBy(*(by or [])).agg(*aggs)
+
+
+def coverage(expected: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
+    """One row: expected, parsed, missing and unexpected keys, and the share of expected ones that are parsed."""
+    e, p = expected.select(key).distinct().withColumn("_e", F.lit(1)), parsed.select(key).distinct().withColumn("_p", F.lit(1))
+    x = e.join(p, key, "full")
+    return x.agg(F.count("_e").alias("expected"), F.count("_p").alias("parsed"), F.count(F.when(F.col("_p").isNull(), 1)).alias("missing"), F.count(F.when(F.col("_e").isNull(), 1)).alias("unexpected"), F.try_divide(F.count(F.when(F.col("_e").isNotNull() & F.col("_p").isNotNull(), 1)), F.count("_e")).alias("coverage"))

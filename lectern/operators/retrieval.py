@@ -205,3 +205,25 @@ def latency_columns(measurements: Column, names: list[str]) -> list[Column]:
 
 def _of(name: str):  # noqa: ANN202
     return lambda m: F.when(m["name"] == name, m["ms"]).otherwise(0.0)
+
+
+def program_catalog(chunks: DataFrame, samples: int = 8) -> DataFrame:
+    """(program_key, names, degree_level, total_ects, samples): what a store's chunks say of every programme.
+
+    Names are all distinct ones; samples are the first chunks by id.
+    """
+    w = Window.partitionBy("program_key").orderBy("chunk_id")
+    few = chunks.where("program_key is not null").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= samples)
+    texts = few.groupBy("program_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "text"))), lambda x: x["text"]).alias("samples"))
+    facts = chunks.where("program_key is not null").groupBy("program_key").agg(F.array_sort(F.collect_set("program_name")).alias("names"), F.max("degree_level").alias("degree_level"), F.max("total_ects").alias("total_ects"))
+    return facts.join(texts, "program_key")
+
+
+def languages(chunks: DataFrame) -> DataFrame:
+    """The languages that a store's chunks are in."""
+    return chunks.where("language is not null").select(F.lower(F.left("language", F.lit(2))).alias("language")).distinct().orderBy("language")
+
+
+def selected_or_all(questions: DataFrame, selected: str = "selected") -> DataFrame:
+    """The selected questions; all of them if none is selected."""
+    return filter_or_all(questions, F.coalesce(F.col(selected).cast("boolean"), F.lit(False)))

@@ -48,7 +48,7 @@ def _program_filter(name=None, name_en=None, name_de=None, name_fr=None, degree_
 
 def programs(t: Tables, **filters) -> DataFrame:  # noqa: ANN003
     """Programmes with their type, faculty and documents, by name, level and credits."""
-    p = t["studyprogram"].join(F.broadcast(_faculty(t, "pf")), "faculty_id", "left").where(_program_filter(**filters))  # a dimension of a few faculties
+    p = R.lookup(t["studyprogram"], _faculty(t, "pf"), "faculty_id").where(_program_filter(**filters))
     out = p.select("program_id", "name", "name_en", "name_de", "name_fr", "degree_level", "total_ects", R.program_type(F.col("total_ects"), F.col("degree_level")).alias("program_type"), "study_start", "faculty_id", F.col("pf_name_en").alias("faculty_name"))
     return _with_documents(out, t).orderBy(F.coalesce("name_en", "name"), "degree_level", "total_ects")
 
@@ -77,7 +77,7 @@ def _taught_in(t: Tables, language: str) -> DataFrame:
 def _courses(t: Tables) -> DataFrame:
     """Courses with the names of faculty and domain."""
     d = t["domain"].select("domain_id", F.col("name").alias("domain_name"))
-    return t["course"].join(F.broadcast(_faculty(t, "cf")), "faculty_id", "left").join(F.broadcast(d), "domain_id", "left")  # dimensions of a few faculties and domains
+    return R.lookup(R.lookup(t["course"], _faculty(t, "cf"), "faculty_id"), d, "domain_id")
 
 
 def _course_filter(ects=None, ects_operator=None, domain_id=None, domain_name=None, name_contains=None, mobility=None, soft_skills=None) -> Column:  # noqa: ANN001
@@ -106,7 +106,7 @@ _SEMI = ("semester", "semester_type", "language")
 def program_courses_by_metadata(t: Tables, course_type: str | None = None, section_contains: str | None = None, q: str | None = None, limit: int | None = None, **filters) -> DataFrame:  # noqa: ANN003
     """Courses of all programmes that fit, with programme columns and documents; 100 rows if no limit is given."""
     course, semi = _split(filters, _COURSE), _split(filters, _SEMI)
-    p = t["studyprogram"].join(F.broadcast(_faculty(t, "pf")), "faculty_id", "left").where(_program_filter(**filters))  # a dimension of a few faculties
+    p = R.lookup(t["studyprogram"], _faculty(t, "pf"), "faculty_id").where(_program_filter(**filters))
     p = p.select("program_id", F.col("name").alias("program_name"), *[F.col(c).alias(f"program_{c}") for c in ("name_en", "name_de", "name_fr")], "degree_level", "total_ects", R.program_type(F.col("total_ects"), F.col("degree_level")).alias("program_type"), "study_start")
     co = t["consist_of"].select("program_id", "code", F.col("course_name").alias("co_name"), "course_type", F.col("description").alias("program_course_description"))
     co = co.where(R.all_of([R.optional_equal("course_type", course_type), R.optional_like(["program_course_description"], section_contains)]))
@@ -199,7 +199,7 @@ def planner_programs(t: Tables, locale: str | None = None, degree_level: str | N
     """Programmes with a name in the locale and their languages; 500 rows if no limit is given."""
     p = t["studyprogram"].where(R.all_of([R.optional_equal("degree_level", degree_level), R.optional_like(["name", "name_de", "name_en", "name_fr"], q)]))
     langs = t["has_lang"].join(t["language"], "lang_id").groupBy("program_id").agg(R.sorted_set(F.col("description")).alias("languages"))
-    x = p.join(langs, "program_id", "left").join(F.broadcast(_faculty(t, "f")), "faculty_id", "left")  # a dimension of a few faculties
+    x = R.lookup(p.join(langs, "program_id", "left"), _faculty(t, "f"), "faculty_id")
     order = R.LOCALE_ORDER.get((locale or "de").lower(), R.LOCALE_ORDER["de"])
     out = x.select("program_id", "degree_level", "total_ects", "study_start", "faculty_id", F.col("f_name_en").alias("faculty_name"), R.locale_fallback(*order).alias("display_name"), "name_de", "name_en", "name_fr", F.coalesce("languages", F.array().cast("array<string>")).alias("languages"))
     return out.orderBy(F.asc_nulls_last("display_name"), "degree_level", "total_ects", "program_id").limit(500 if limit is None else limit)
