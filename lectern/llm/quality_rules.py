@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ REPEAT_WINDOW, MAX_REPEATED = 8, 30
 MIN_KEPT = 60
 
 
-def _without(text: Column, marks: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, marks, ""))
+def _count(text: Column, marks: str) -> Column:
+    """How many of a text's characters are one of ``marks``."""
+    return F.regexp_count(text, F.lit("[" + re.escape(marks) + "]"))
 
 
 def line_verdict(line: Column) -> Column:
@@ -37,7 +40,7 @@ def line_verdict(line: Column) -> Column:
     Punctuation: the line's last character is no mark that ends prose. Lines without words fail nothing.
     """
     bare = F.rtrim(line, F.lit(WHITE))
-    n, bars, marks = F.char_length(bare), _without(line, SEPARATORS), _without(line, SYMBOLS)
+    n, bars, marks = F.char_length(bare), _count(line, SEPARATORS), _count(line, SYMBOLS)
     doubled = F.char_length(line) * 2 - F.char_length(F.replace(line, F.lit("!!"), F.lit(""))) - F.char_length(F.replace(line, F.lit("??"), F.lit("")))
     return (
         F.when(n == 0, F.lit(None).cast("string"))
@@ -68,8 +71,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     one = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     two = one.select(
         "doc_id",
-        (F.char_length("text") - _without(F.col("text"), WHITE)).cast("long").alias("word_chars"),
-        _without(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+        (F.char_length("text") - _count(F.col("text"), WHITE)).cast("long").alias("word_chars"),
+        _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         F.filter(F.split("text", "\n"), lambda x: F.ltrim(x, F.lit(WHITE)) != "").alias("lines"),
         F.transform(F.filter(F.split("text", WHITE_RUN), lambda x: x != ""), lambda x: F.xxhash64(x)).alias("hashes"),
     )
@@ -97,7 +100,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     six = five.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     seven = six.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
-    eight = seven.withColumn("kept_chars", (F.char_length("clean") - _without(F.col("clean"), WHITE)).cast("long"))
+    eight = seven.withColumn("kept_chars", (F.char_length("clean") - _count(F.col("clean"), WHITE)).cast("long"))
     kept = ~F.col("base_failed") & (100 * F.col("kept_chars") >= MIN_KEPT * F.col("word_chars"))
     return eight.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
