@@ -8,13 +8,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.llm.common import arrow_batches, persist_shared
+from lectern.operators.grouped import per_group
 
 ROLES = ("system", "user", "assistant")
 #: The words that mark a speaker's line.
@@ -31,6 +31,7 @@ STATES = 2 * N
 TRAIN_CONVERSATIONS = 5_000
 #: Positions of one chunk of a transcript; longer transcripts are decoded chunk by chunk.
 CHUNK = 256
+CHUNK_KEY = ["conv_id", "chunk", "part"]
 SMOOTH = 0.5
 
 
@@ -173,20 +174,19 @@ def parse(lines: DataFrame, model: TranscriptModel) -> DataFrame:
     first = cut.groupBy("conv_id").agg(F.min(F.struct("chunk", "part")).alias("head"))
     order = ["pos", "tie", "line_no"]
 
-    def matrix(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order, kind="stable")
-        m = model.transfer(model.scores(f.line.tolist(), bool(f["head"].iloc[0])), bool(f["head"].iloc[0]))
-        return pd.DataFrame({"conv_id": [key[0]], "chunk": [key[1]], "part": [key[2]], "m": [m.ravel()]})
+    def matrix(rows: list) -> list[tuple]:
+        r = rows[0]
+        return [(r.conv_id, r.chunk, r.part, model.transfer(model.scores([x.line for x in rows], r.head), r.head).ravel().tolist())]
 
     is_first = (F.col("head.chunk") == F.col("chunk")) & (F.col("head.part") == F.col("part"))
     headed = cut.join(first, "conv_id").withColumn("head", is_first)
     sizes = cut.select("conv_id", "chunk", "part").distinct().groupBy("conv_id").agg(F.count("*").alias("chunks"))
     long = sizes.where("chunks > 1").select("conv_id")
-    matrices = headed.join(long, "conv_id", "left_semi").groupBy("conv_id", "chunk", "part").applyInPandas(matrix, "conv_id long, chunk long, part long, m array<double>")
+    matrices = headed.join(long, "conv_id", "left_semi")
+    matrices = per_group(matrices, CHUNK_KEY, order, matrix, "conv_id long, chunk long, part long, m array<double>")
 
-    def ends(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["chunk", "part"], kind="stable")
-        m = [np.array(x).reshape(STATES, STATES) for x in f.m]
+    def ends(rows: list) -> list[tuple]:
+        m = [np.array(r.m).reshape(STATES, STATES) for r in rows]
         v, back = m[0][0], []
         for k in m[1:]:
             s = v[:, None] + k
@@ -196,21 +196,23 @@ def parse(lines: DataFrame, model: TranscriptModel) -> DataFrame:
         for b in reversed(back):
             last.append(int(b[last[-1]]))
         last.reverse()
-        return pd.DataFrame({"conv_id": f.conv_id, "chunk": f.chunk, "part": f.part, "before": [-1, *last[:-1]], "last": last})
+        return [(r.conv_id, r.chunk, r.part, before, end) for r, before, end in zip(rows, [-1, *last], last)]
 
-    fixed = matrices.groupBy("conv_id").applyInPandas(ends, "conv_id long, chunk long, part long, before int, last int")
+    fixed = per_group(matrices, ["conv_id"], ["chunk", "part"], ends, "conv_id long, chunk long, part long, before int, last int")
 
-    def states(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order, kind="stable")
-        before, last = int(f.before.iloc[0]), int(f["last"].iloc[0])
-        path = model.decode(model.scores(f.line.tolist(), bool(f["head"].iloc[0])), None if before < 0 else before, None if last < 0 else last)
-        starts = np.cumsum([s < N for s in path])
-        text = [strip_marker(x or "") if s < N else (x or "") for x, s in zip(f.line, path)]
-        return pd.DataFrame({"conv_id": f.conv_id, "chunk": f.chunk, "part": f.part, "pos": f.pos, "tie": f.tie, "line_no": f.line_no, "role": [ROLES[s % N] for s in path], "no": starts, "text": text})
+    def states(rows: list) -> list[tuple]:
+        r = rows[0]
+        path = model.decode(model.scores([x.line for x in rows], r.head), None if r.before < 0 else r.before, None if r.last < 0 else r.last)
+        out, no = [], 0
+        for x, s in zip(rows, path):
+            no += s < N
+            out.append((*x[:6], ROLES[s % N], no, strip_marker(x.line or "") if s < N else x.line or ""))
+        return out
 
     joined = headed.join(fixed, ["conv_id", "chunk", "part"], "left").withColumns({"before": F.coalesce("before", F.lit(-1)), "last": F.coalesce("last", F.lit(-1))})
     schema = "conv_id long, chunk long, part long, pos long, tie long, line_no long, role string, no long, text string"
-    decoded = persist_shared(joined.groupBy("conv_id", "chunk", "part").applyInPandas(states, schema), "decoded-lines")
+    joined = joined.select(*CHUNK_KEY, *order, "line", "head", "before", "last")
+    decoded = persist_shared(per_group(joined, CHUNK_KEY, order, states, schema), "decoded-lines")
     counts = decoded.groupBy("conv_id", "chunk", "part").agg(F.max("no").alias("turns"))
     base = F.sum("turns").over(Window.partitionBy("conv_id").orderBy("chunk", "part").rowsBetween(Window.unboundedPreceding, -1))
     placed = decoded.join(counts.select("conv_id", "chunk", "part", F.coalesce(base, F.lit(0)).alias("base")), ["conv_id", "chunk", "part"])
