@@ -13,6 +13,7 @@ WHITE_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Marks that may end a line of prose.
 ENDINGS = ".!?…\"'”»)]:;,"
+SENTENCE_END = "[.!?…] "
 #: Marks that part the entries of a menu.
 SEPARATORS = "|»›•·"
 #: Words of notices and controls; any of them makes a line boilerplate.
@@ -37,7 +38,8 @@ def line_verdict(line: Column) -> Column:
 
     Navigation: three menu separators or more, one at least in 20 characters. Symbols: one character in ten.
     Shouting: three doubled exclamation or question marks, one at least in 40 characters. Boilerplate: a notice's words.
-    Punctuation: the line's last character is no mark that ends prose. Lines without words fail nothing.
+    Punctuation: the line's last character is no mark that ends prose, and no sentence ends within the line.
+    Lines without words fail nothing.
     """
     bare = F.rtrim(line, F.lit(WHITE))
     n, bars, marks = F.char_length(bare), _count(line, SEPARATORS), _count(line, SYMBOLS)
@@ -48,7 +50,7 @@ def line_verdict(line: Column) -> Column:
         .when(marks * 10 > n, "symbols")
         .when((doubled >= 6) & (doubled * 20 >= n), "shouting")
         .when(F.lower(line).rlike("|".join(NOTICES)), "boilerplate")
-        .when(F.instr(F.lit(ENDINGS), F.right(bare, F.lit(1))) == 0, "punctuation")
+        .when((F.instr(F.lit(ENDINGS), F.right(bare, F.lit(1))) == 0) & ~line.rlike(SENTENCE_END), "punctuation")
     )
 
 
@@ -102,10 +104,12 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     seven = six.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
     eight = seven.withColumn("kept_chars", (F.char_length("clean") - _count(F.col("clean"), WHITE)).cast("long"))
     kept = ~F.col("base_failed") & (100 * F.col("kept_chars") >= MIN_KEPT * F.col("word_chars"))
-    return eight.select(
+    out = eight.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "n_lines", "n_lines_removed", "kept_chars", F.when(kept, F.col("clean")).alias("clean_text"), kept.alias("kept"),
     )
+    # one element is exploded so that a filter on the results stays above them and doesn't compute them again
+    return out.select(F.explode(F.array(F.struct(*out.columns))).alias("r")).select("r.*")
 
 
 def digest(measured: DataFrame) -> DataFrame:
@@ -131,7 +135,7 @@ l AS (SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line
 m AS (SELECT r, line, length(rtrim(line, {_SQL_WHITE})) AS n, {_count_sql("line", "'" + SEPARATORS + "'")} AS bars, {_count_sql("line", "'" + SYMBOLS + "'")} AS marks,
       2 * length(line) - length(replace(line, '!!', '')) - length(replace(line, '??', '')) AS doubled,
       regexp_matches(lower(line), '{"|".join(NOTICES)}') AS notice,
-      instr('{ENDINGS.replace("'", "''")}', right(rtrim(line, {_SQL_WHITE}), 1)) > 0 AS ended FROM l),
+      instr('{ENDINGS.replace("'", "''")}', right(rtrim(line, {_SQL_WHITE}), 1)) > 0 OR regexp_matches(line, '{SENTENCE_END}') AS ended FROM l),
 v AS (SELECT r, line, NOT (n > 0 AND ((bars >= 3 AND bars * 20 >= n) OR marks * 10 > n OR (doubled >= 6 AND doubled * 20 >= n) OR notice OR NOT ended)) AS good FROM m),
 ls AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (WHERE NOT good) AS removed,
        COALESCE(sum(length(translate(line, {_SQL_WHITE}, ''))) FILTER (WHERE good), 0) AS kept_chars FROM v GROUP BY r),
