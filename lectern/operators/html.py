@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.storage import small_batches
 
 SECTION = "page_id long, section_no int, heading string, heading_level int, text string"
 LINK = "page_id long, position int, text string, url string"
@@ -87,6 +88,7 @@ def _parsed(source: str | None, base: str | None) -> _Sections:
 
 def sections(pages: DataFrame) -> DataFrame:
     """(page_id, section_no, heading, heading_level, text) below every heading h1 to h5; text before the first has none."""
+    small_batches(pages.sparkSession)
 
     def run(frames):  # noqa: ANN001, ANN202
         for f in frames:
@@ -103,6 +105,7 @@ def sections(pages: DataFrame) -> DataFrame:
 
 def table_map(pages: DataFrame) -> DataFrame:
     """(page_id, fields): the two-column rows of a page's tables as a map; the last of equal names stays."""
+    small_batches(pages.sparkSession)
 
     def run(frames):  # noqa: ANN001, ANN202
         for f in frames:

@@ -256,10 +256,16 @@ def with_deltas(df: DataFrame, order: list[str], measures: list[str], partition:
     return df.withColumns({f"{m}_delta": F.col(m) - F.lag(m).over(w) for m in measures})
 
 
+def with_count(df: DataFrame, name: str, what: Column, partition: list[str] | None = None) -> DataFrame:
+    """``df`` with a count over each partition's rows, or over all rows (counted apart, as one number for all tasks)."""
+    if partition:
+        return df.withColumn(name, F.count(what).over(Window.partitionBy(*partition)))
+    return df.join(F.broadcast(df.agg(F.count(what).alias(name))), F.lit(True))  # one row
+
+
 def hide_if_many(df: DataFrame, column: str, limit: int = 3, partition: list[str] | None = None) -> DataFrame:
     """Null the column out where the result (or its part) has more than ``limit`` rows."""
-    n = F.count("*").over(Window.partitionBy(*(partition or [F.lit(0)])))
-    return df.withColumn(column, F.when(n <= limit, F.col(column)))
+    return with_count(df, "_rows", F.lit(1), partition).withColumn(column, F.when(F.col("_rows") <= limit, F.col(column))).drop("_rows")
 
 
 def page(df: DataFrame, order: list[Column], offset: int = 0, size: int = 25) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as T
-from lectern.operators.relational import latest_per_key
+from lectern.operators.relational import latest_per_key, with_count
 
 #: Numbers of one block of queries that is sent to all tasks (queries times places).
 BLOCK_NUMBERS = 4_000_000
@@ -61,8 +61,7 @@ def metadata_filter(docs: DataFrame, program: str | None = None, degree: str | N
 
 def filter_or_all(df: DataFrame, match: Column, partition: list[str] | None = None) -> DataFrame:
     """The rows that match; all rows where none does (of the partition)."""
-    n = F.count(F.when(match, 1)).over(Window.partitionBy(*(partition or [F.lit(0)])))
-    return df.withColumn("_n", n).where((F.col("_n") == 0) | match).drop("_n")
+    return with_count(df, "_n", F.when(match, 1), partition).where((F.col("_n") == 0) | match).drop("_n")
 
 
 #: Degree words of questions (they count inside longer words too) and credit sums that are recognised.

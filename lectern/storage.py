@@ -35,3 +35,8 @@ def forget(*tables: DataFrame) -> None:
             spark = df.sparkSession
             p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Few rows in an Arrow batch, where one text may hold megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
