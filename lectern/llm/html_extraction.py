@@ -30,9 +30,9 @@ FURNITURE = frozenset("nav footer aside form button select dialog menu head sear
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Names in class and id that mark page furniture, notices, adverts and reader comments.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notice|nav\w*|menu\w*|breadcrumbs?|sidebar|side-?bar|rail|widgets?|"
-    r"comments?\w*|respond|disqus\w*|reply|replies|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|toolbar|pagination|pager|"
-    r"footer|masthead|topbar|site-?header|page-?header|header|skip|tags?|toc|hidden|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notice|nav|navs|navbar|navigation|menu|menus|menubar|breadcrumbs?|sidebar|side-?bar|side|rail|widgets?|"
+    r"comments?|comment-?list|respond|disqus\w*|reply|replies|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|toolbar|pagination|pager|"
+    r"footer|masthead|topbar|site-?header|page-?header|skip|tags?|toc|hidden|disclaimer|teasers?|copyright)(?:$|[\s_-])",
     re.I,
 )
 #: Elements that can hold a whole article.
@@ -57,21 +57,26 @@ class Page:
         self.parts: list[tuple[int, str | None]] = []
         self._parse(source)
 
+    def _in_article(self, node: int) -> bool:
+        while node > 0:
+            if self.tag[node] in ("article", "main"):
+                return True
+            node = self.parent[node]
+        return False
+
     def _furniture(self, tag: str, attrs: str, inside: int) -> bool:
         if tag in FURNITURE or tag in RAW:
             return True
         if tag == "header":  # an article's own header holds its title
-            while inside > 0:
-                if self.tag[inside] in ("article", "main"):
-                    return False
-                inside = self.parent[inside]
-            return True
+            return not self._in_article(inside)
         if not attrs or tag in ("html", "body", "main", "article"):
             return False
         for m in _NAMED.finditer(attrs):
             name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
                 return True
+            if name in ("class", "id") and value.strip().lower() == "header" and not self._in_article(inside):
+                return True
             if name == "style" and re.search(r"display\s*:\s*none", value, re.I) or name in ("class", "id") and NAMES.search(value):
                 return True
         return False

@@ -21,6 +21,11 @@ def test_furniture():
     assert H.main_text(page) == "Title & more\nFirst paragraph of the text, long enough.\nSecond link and text.\none\ntwo"
 
 
+def test_headers_of_articles_stay():
+    page = '<body><div id="header">Site name</div><article><header class="entry-header"><h1>Title</h1></header><div class="commentary"><p>Body of the text, as it stands.</p></div><div class="post-comments"><p>Nice!</p></div></article></body>'
+    assert H.main_text(page) == "Title\nBody of the text, as it stands."
+
+
 def test_links_fall_out():
     page = "<body><div>" + "<p>Prose of a paragraph that goes on for a while and then some more.</p>" * 4 + "</div><div><ul>" + "<li><a href=x>go</a>" * 30 + "</ul></div></body>"
     assert "go" not in H.main_text(page).split("\n")
