@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, else one in the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="lectern-")
+        master = spark.conf.get("spark.master", "")
+        alone = master == "local" or master.startswith("local[")
+        at = tempfile.mkdtemp(prefix="lectern-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lectern"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
