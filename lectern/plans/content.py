@@ -137,10 +137,10 @@ def timetable_lanes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY 1, 2""")
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY 1, 2""")
 def time_bucket_latency(spark: SparkSession, d: str) -> DataFrame:
     """Tumbling hours by type."""
-    return sessions.latency_windows(table(spark, d, "events")).withColumns({"mean": F.round("mean", 6), "window_start": F.col("window_start").cast("timestamp_ntz")})
+    return sessions.latency_windows(table(spark, d, "events")).withColumns({"mean": F.round("mean", 6), "window_start": F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")})
 
 
 @query("""
@@ -151,10 +151,10 @@ def session_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
-y AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM x) SELECT user_id, min(ts) AS visit_start, count(*) AS n FROM y GROUP BY user_id, g""")
+y AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM x) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS visit_start, count(*) AS n FROM y GROUP BY user_id, g""")
 def visit_windows(spark: SparkSession, d: str) -> DataFrame:
     """Visits that end after six hours without events."""
-    return sessions.visits(table(spark, d, "events"), "6 hours").withColumn("visit_start", F.col("visit_start").cast("timestamp_ntz"))
+    return sessions.visits(table(spark, d, "events"), "6 hours").withColumn("visit_start", F.date_format("visit_start", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 # ---- texts ----
