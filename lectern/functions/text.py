@@ -80,12 +80,27 @@ def substitute(c: Column, rules: list[tuple[str, str]]) -> Column:
 
 #: Names of subjects in German and French and what they are called in English, in this order.
 SUBJECTS = [
-    ("informatik", "computer science"), ("informatique", "computer science"), ("wirtschaftsinformatik", "business informatics"),
-    ("betriebswirtschaftslehre", "business administration"), ("gestion dentreprise", "business administration"), ("volkswirtschaftslehre", "economics"),
-    ("sciences economiques", "economics"), ("humanmedizin", "human medicine"), ("medecine humaine", "human medicine"), ("medizin", "medicine"), ("medecine", "medicine"),
-    ("mathematik", "mathematics"), ("mathematiques", "mathematics"), ("physik", "physics"), ("physique", "physics"), ("chemie", "chemistry"), ("chimie", "chemistry"),
-    ("geographie", "geography"), ("biologie", "biology"), ("biochimie", "biochemistry"), ("sportwissenschaften", "sport sciences"), ("sciences du sport", "sport sciences"),
-    ("erziehungswissenschaften", "education sciences"), ("sciences de leducation", "education sciences"),
+    ("informatik", "computer science"), ("informatique", "computer science"), ("wirtschaftsinformatik", "business informatics"), ("informatique de gestion", "business informatics"),
+    ("betriebswirtschaftslehre", "business administration"), ("gestion dentreprise", "business administration"), ("volkswirtschaftslehre", "economics"), ("sciences economiques", "economics"),
+    ("humanmedizin", "human medicine"), ("medecine humaine", "human medicine"), ("medizin", "medicine"), ("medecine", "medicine"), ("mathematik", "mathematics"), ("mathematiques", "mathematics"),
+    ("physik", "physics"), ("physique", "physics"), ("chemie", "chemistry"), ("chimie", "chemistry"), ("geographie", "geography"), ("biologie", "biology"), ("biochimie", "biochemistry"),
+    ("sportwissenschaften", "sport sciences"), ("sciences du sport", "sport sciences"), ("digitale neurowissenschaft", "digital neuroscience"), ("neurosciences digitales", "digital neuroscience"),
+    ("experimentelle biomedizinische forschung", "experimental biomedical research"), ("recherche biomedicale experimentale", "experimental biomedical research"),
+    ("islam und gesellschaft", "islam and society"), ("islam et societe", "islam and society"), ("familien kinder und jugendstudien", "family children youth studies"),
+    ("etudes sur la famille lenfance et la jeunesse", "family children youth studies"), ("umweltgeisteswissenschaften und nachhaltigkeitsforschung", "environmental humanities sustainability studies"),
+    ("humanites environnementales et durabilite", "environmental humanities sustainability studies"), ("unterricht auf der primarstufe", "teacher education primary level"),
+    ("formation a lenseignement pour le degre primaire", "teacher education primary level"), ("unterricht auf der sekundarstufe i", "teacher education secondary level i"),
+    ("formation a lenseignement pour le degre secondaire i", "teacher education secondary level i"), ("unterricht an maturitatsschulen", "teacher education baccalaureate schools"),
+    ("maturitatsschulen", "baccalaureate schools"), ("erziehungswissenschaften", "education sciences"), ("sciences de leducation", "education sciences"),
+]
+#: Further names that only the patching of unmatched documents knows, in this order.
+PATCH_SUBJECTS = [
+    ("sciences de lenvironnement", "environmental sciences"), ("sciences de l environnement", "environmental sciences"), ("umweltwissenschaften", "environmental sciences"),
+    ("environmental sciences and humanities", "environmental humanities sustainability studies"), ("environmental sciences humanities", "environmental humanities sustainability studies"),
+    ("umweltgeisteswissenschaften und nachhaltigkeitsforschung", "environmental humanities sustainability studies"), ("interreligiose studien", "interreligious studies"), ("interreligioese studien", "interreligious studies"),
+    ("interreligiose", "interreligious"), ("humanmedizin", "human medicine"), ("medecine humaine", "human medicine"), ("medizin", "medicine"), ("medecine", "medicine"),
+    ("unterricht auf der sekundarstufe i und an maturitatsschulen", "teacher education secondary level i and baccalaureate schools"), ("unterricht an maturitatsschulen", "teacher education baccalaureate schools"),
+    ("unterricht auf der sekundarstufe i", "teacher education secondary level i"), ("unterricht auf der primarstufe", "teacher education primary level"),
 ]
 
 
@@ -282,9 +297,25 @@ FACULTIES = [("eduform|education|erziehungs", "EDUFORM"), ("interfaculty|interfa
 
 
 def faculty_of(c: Column) -> Column:
+    """The key of the faculty that a text's words name; null if none."""
     return _first(FACULTIES, F.lower(c))
 
 
+#: Full names of the faculties, in the order of precedence, and short words that stand for them after these.
+FACULTY_NAMES = [
+    ("science and medicine", "SCIMED"), ("management economics and social sciences", "SES"), ("law", "LAW"), ("humanities", "PHILO"), ("theology", "THEO"), ("faculty of education", "EDUFORM"),
+    ("fakultat fur erziehungs und bildungswissenschaften", "EDUFORM"), ("fakultaet fuer erziehungs und bildungswissenschaften", "EDUFORM"), ("swiss centre for islam and society", "INTERFACULTY"),
+    ("institute for family research and counseling", "INTERFACULTY"), ("environmental sciences and humanities institute", "INTERFACULTY"),
+    ("scimed", "SCIMED"), ("ses", "SES"), ("ius", "LAW"), ("theo", "THEO"), ("philo|lettres", "PHILO"), ("edu", "EDUFORM"),
+]
+
+
+def faculty_key(c: Column) -> Column:
+    """The key itself, or the key of the faculty whose name a text holds; null if none."""
+    upper = F.upper(F.trim(c))
+    return F.when(upper.isin("SCIMED", "SES", "LAW", "PHILO", "THEO", "EDUFORM", "INTERFACULTY"), upper).otherwise(_first(FACULTY_NAMES, subject_name(c)))
+
+
 def study_year(c: Column) -> Column:
     """1, 2 or 3 by ordinal and year words of three languages; null if none."""
     x = F.lower(fold_accents(c))
@@ -308,8 +339,13 @@ def series_key(c: Column) -> Column:
 
 
 def document_type(label: Column) -> Column:
-    """study_plan, regulation, brochure or other, by the words of a label."""
-    return _first([("(?i)studienplan|plan d.?[eé]tudes|study ?plan|curriculum", "study_plan"), ("(?i)reglement|règlement|regulation|richtlinie|directive", "regulation"), ("(?i)brosch|brochure|flyer|presentation|prospe", "brochure")], label, "other")
+    """study_plan, regulation, brochure or other, by the words of a label (staged documents)."""
+    return _first([("study plan|studienplan|plan d['’ ]?[eé]tudes", "study_plan"), ("regulation|r[eè]glement|ordnung", "regulation"), ("brochure|flyer", "brochure")], F.lower(label), "other")
+
+
+def document_type_loose(label: Column) -> Column:
+    """As ``document_type`` for programme imports: any plan is a study plan, and examination papers are regulations."""
+    return _first([("plan", "study_plan"), ("r[eè]glement|regulation|prüf", "regulation"), ("brosch|flyer|brochure", "brochure")], F.lower(label), "other")
 
 
 def elective_credits(c: Column) -> Column:

@@ -19,13 +19,16 @@ from lectern.operators.relational import jaccard
 #: Words that say nothing about a title's subject, and the similarity of titles that are one course.
 TITLE_STOPWORDS = ["in", "de", "des", "der", "die", "das", "a", "the", "and", "et", "en", "of", "for", "to", "course", "cours"]
 SAME_TITLE, NEIGHBOUR_TITLE = 0.72, 0.45
-#: Titles in other languages, in this order.
+#: Titles in other languages, in this order. Single letters and "de" are gone from a normalised title.
 TITLES = [
-    ("wirtschaftsinformatik|informatique gestion|information systems?", "business informatics"), ("einfuehrung|einfuhrung|introductory", "introduction"), ("statistique|statistik|statistics?", "statistics"),
-    ("vertiefungskurs|approfondissement", "advanced"), ("mathematiques?|mathematik|mathematics?", "mathematics"), ("betriebswirtschaftslehre|gestion entreprise", "business administration"),
-    ("unternehmensrechnung|comptabilite", "accounting"), ("bilanzierung", "financial accounting"), ("recht|droit", "law"), ("mikrookonomie|microeconomie|microeconomics?", "microeconomics"),
-    ("investissement|investitions?", "investment"), ("financement|finanzierung|finance", "financing"), ("marketingforschung|recherche marketing", "marketing research"),
-    ("gestion ressources humaines|ressources humaines", "human resource management"), ("controlling", "management accounting"), ("organization", "organisation"), ("wirtschaftswissenschaften|economie|economics?", "economics"),
+    ("wirtschaftsinformatik|informatique gestion", "business informatics"), ("information systems?", "business informatics"), ("einfuehrung|einfuhrung|introduction|introductory", "introduction"),
+    ("statistique|statistik|statistics?", "statistics"), ("vertiefungskurs|approfondissement|advanced", "advanced"), ("mathematiques?|mathematik|mathematics?", "mathematics"),
+    ("betriebswirtschaftslehre|gestion entreprise|business administration", "business administration"), ("bilanzierung|comptabilite financiere|financial accounting", "financial accounting"),
+    ("controlling|comptabilite gestion|management accounting", "management accounting"), ("unternehmensrechnung|comptabilite", "accounting"), ("recht|droit|law", "law"),
+    ("mikrookonomie|microeconomie|microeconomics?", "microeconomics"), ("investissement|investitions|investition|investment", "investment"), ("unternehmensfinanzierung|finance entreprise|corporate finance", "corporate financing"),
+    ("financement|finanzierung|financing|finance", "financing"), ("marketingforschung|recherche marketing|marketing research", "marketing research"),
+    ("gestion ressources humaines|ressources humaines|human resource management", "human resource management"), ("organisation|organization", "organisation"), ("kompetenz|competences|competence", "competence"),
+    ("documentaires?|documentary", "documentary"), ("informationskompetenz", "information competence"), ("wirtschaftswissenschaften|economie|economics?", "economics"),
 ]
 
 

@@ -20,6 +20,8 @@ def test_normalisers(spark):
     assert one(spark, T.normalize_query(F.lit("B.A./Plan-d'Études"))) == "b a plan d études"
     assert one(spark, T.normalize_page(F.lit(" a \t b\r\n\n\n\nc&amp;d "))) == "a b\n\nc&d"
     assert one(spark, T.subject_name(F.lit("Informatique"))) == "computer science"
+    assert one(spark, T.faculty_key(F.lit("Faculty of Management, Economics and Social Sciences"))) == "SES" and one(spark, T.faculty_key(F.lit("law"))) == "LAW"
+    assert one(spark, T.document_type(F.lit("Studienplan"))) == "study_plan" and one(spark, T.document_type_loose(F.lit("Prüfungen"))) == "regulation"
 
 
 def test_codes_and_times(spark):
@@ -74,7 +76,7 @@ def test_values(spark):
     assert one(spark, V.rate(F.lit(1), F.lit(0))) is None and one(spark, V.rate(F.lit(1), F.lit(0), 0.0)) == 0.0
     assert one(spark, V.split_list(F.lit("Anna, Bert; Cara and Dora"))) == ["Anna", "Bert", "Cara", "Dora"]
     assert one(spark, V.split_languages(F.lit("zweisprachig F / D"))) == ["Französisch", "Deutsch"]
-    assert one(spark, V.season(F.lit("Herbst und Frühling"))) == "Both"
+    assert one(spark, V.season(F.lit("Autumn or spring"))) == "Both"
     parts = {"a": (F.lit(0.5), 0.4), "b": (F.lit(None).cast("double"), 0.6)}
     assert round(one(spark, V.weighted_score(parts)), 9) == 0.2 and round(one(spark, V.renormalised_score(parts)), 9) == 0.5
 
