@@ -234,3 +234,17 @@ def test_stream_sessions(spark, tmp_path):
     run = sessions.stream_sessions(stream).writeStream.format("memory").queryName("folded").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     run.awaitTermination(120)
     assert rows(spark.table("folded")) == rows(sessions.fold_sessions(data.drop("ts"))) == [(1, 3, "hi", "yes")]
+
+
+def test_stream_ingest_and_windows(spark, tmp_path):
+    schema = "k long, ts timestamp, event_type string, value double"
+    one = spark.sql("select 1L k, timestamp'2024-01-01 00:10:00' ts, 'a' event_type, 1.0D value union all select 1L, timestamp'2024-01-01 00:20:00', 'a', 3.0D union all select 2L, timestamp'2024-01-01 01:10:00', 'a', 5.0D")
+    one.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second start finds nothing new
+        sessions.ingest_new(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "k", "ts").awaitTermination(120)
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+    got = {(str(r.window_start), r.n, r.mean, r.most) for r in sessions.latency_windows(one).collect()}
+    assert got == {("2024-01-01 00:00:00", 2, 2.0, 3.0), ("2024-01-01 01:00:00", 1, 5.0, 5.0)}
+    assert sessions.sliding_latency(one, "2 hours", "1 hour").count() == 3
+    assert rows(sessions.visits(one.withColumnRenamed("k", "user_id"), "30 minutes").select("user_id", "n")) == [(1, 2), (2, 1)]
