@@ -70,6 +70,13 @@ def equivalence_components(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(e)
 
 
+@query(None)
+def equivalence_components_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Connected components of orders and parts linked by all lineitems, without a SQL twin. Part k stands as -k - 1, apart from order k."""
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("a"), (-F.col("l_partkey").cast("long") - 1).alias("b"))
+    return connected_components(e)
+
+
 def _plan_courses(spark: SparkSession, d: str) -> DataFrame:
     """Orders as courses of their customers' plans: credits by price, type by status, semesters by number, times by key."""
     k = F.col("o_orderkey")
