@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lectern.operators import etl, matching, quality
 from lectern.operators import relational as R
 from lectern.session import table
+from lectern.storage import persist_shared
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -282,6 +283,26 @@ def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where(home).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(R.jaccard(F.col("a.w"), F.col("b.w")), 6).alias("similarity"))
 
 
+@query(None)
+def token_jaccard_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Token Jaccard of all parts of a brand that share a word, by classes of equal token sets, without a SQL twin.
+
+    A class is called by its least part. Rows of kind 'member' hold a class (a) and each other part of it (b), those of
+    kind 'classes' two classes that share a word: every part of the one has that similarity to every part of the other.
+    """
+    w = F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " ")))
+    t = table(spark, d, "part").select("p_partkey", "p_brand", w.alias("w")).where("p_partkey is not null and p_brand is not null and w is not null").distinct()
+    c = persist_shared(t.groupBy("p_brand", "w").agg(F.min("p_partkey").alias("c")), "token-classes")
+    members = t.join(c, ["p_brand", "w"]).where("p_partkey <> c").select("p_brand", F.lit("member").alias("kind"), F.col("c").alias("a"), F.col("p_partkey").alias("b"), F.lit(1.0).alias("similarity"))
+    e = c.select("c", "p_brand", "w", F.explode("w").alias("k"))
+    a, b = e.alias("a"), e.alias("b")
+    # two classes of a brand have different sets, though with repeated part keys perhaps one name
+    pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.k") == F.col("b.k")) & (F.struct("a.c", "a.w") < F.struct("b.c", "b.w")))
+    home = F.array_min(F.array_intersect("a.w", "b.w")) == F.col("a.k")
+    apart = pairs.where(home).select("a.p_brand", F.lit("classes").alias("kind"), F.col("a.c").alias("a"), F.col("b.c").alias("b"), F.round(R.jaccard(F.col("a.w"), F.col("b.w")), 6).alias("similarity"))
+    return members.unionByName(apart)
+
+
 @query("""
 WITH a(alias, meant) AS (VALUES ('n1', 'NATION_1'), ('two', 'NATION_2'), ('third', 'NATION_3')),
 x AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'n1' WHEN 1 THEN 'TWO' WHEN 2 THEN 'nation_' || (c_custkey % 30) WHEN 3 THEN ' Third ' ELSE 'elsewhere' END AS v FROM customer)

@@ -1,6 +1,8 @@
 """Queries over whole tables that have no SQL twin, against brute force."""
 
 
+from collections import defaultdict
+
 from lectern.plans import catalogue
 
 
@@ -21,3 +23,19 @@ def test_equivalence_components_whole(spark, tmp_path):
             root[y] = x
     got = {r.id: r.component for r in catalogue.QUERIES["equivalence_components_whole"](spark, str(tmp_path)).collect()}
     assert got == {x: find(x) for x in root} and len(got) > 4000 and got[1] == got[2001] != got[5] != got[4001]
+
+
+def test_token_jaccard_whole(spark, sf_dir):
+    parts = {r.p_partkey: (r.p_brand, frozenset(r.p_name.lower().split(" "))) for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    want = {(a, b): round(len(x & y) / len(x | y), 6) for a, (p, x) in parts.items() for b, (q, y) in parts.items() if a < b and p == q and x & y}
+    rows = catalogue.QUERIES["token_jaccard_whole"](spark, sf_dir).collect()
+    of = defaultdict(list)
+    for r in rows:
+        if r.kind == "member":
+            of[r.a].append(r.b)
+    whole = lambda c: [c, *of[c]]
+    got = {(a, b): 1.0 for c in list(of) for a in whole(c) for b in whole(c) if a < b}
+    for r in rows:
+        if r.kind == "classes":
+            got |= {(min(a, b), max(a, b)): r.similarity for a in whole(r.a) for b in whole(r.b)}
+    assert got == want and len(want) > 100
