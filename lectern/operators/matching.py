@@ -43,7 +43,12 @@ def score_pairs(programmes: DataFrame, documents: DataFrame) -> DataFrame:
         F.coalesce(T.normalize_match(F.col("label")).rlike("flyer|brochure|broschure|presentation|prasentation|reglement|regulation|webseite|website"), F.lit(False)).alias("generic"),
     )
     keys = F.array_distinct(F.concat(F.flatten("names"), "abbreviations", "pu"))
-    meet = p.select("programme_index", F.explode(keys).alias("k")).join(d.select("document_index", F.explode(F.array_distinct(F.concat("words", "du"))).alias("k")), "k").select("programme_index", "document_index").distinct()
+    # a common word meets within a faculty: '*' is a programme without one, 'a' a programme as a document without one meets it
+    soft_or_own = lambda c: F.when(c.isin("PHILO", "INTERFACULTY"), "s").otherwise(F.concat(F.lit("f"), c))
+    pk = p.select("programme_index", F.explode(F.array(F.coalesce(soft_or_own(F.col("pf")), F.lit("*")), F.lit("a"))).alias("f"), keys.alias("k")).select("programme_index", "f", F.explode("k").alias("k"))
+    df = F.when(F.col("df").isNull(), F.array(F.lit("a"))).otherwise(F.array(soft_or_own(F.col("df")), F.lit("*")))
+    dk = d.select("document_index", F.explode(df).alias("f"), F.array_distinct(F.concat("words", "du")).alias("k")).select("document_index", "f", F.explode("k").alias("k"))
+    meet = pk.join(dk, ["f", "k"]).select("programme_index", "document_index").distinct()
     both = meet.join(p, "programme_index").join(d, "document_index")
     soft = F.array_contains(F.array(F.lit("PHILO"), F.lit("INTERFACULTY")), F.col("pf")) & F.array_contains(F.array(F.lit("PHILO"), F.lit("INTERFACULTY")), F.col("df"))
     faculties = F.col("pf").isNotNull() & F.col("df").isNotNull()

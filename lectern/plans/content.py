@@ -114,7 +114,10 @@ def equivalent_courses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    c = _plan_courses(spark, d).where("course_type = 'Mandatory'")
+    return _with_blocks(_plan_courses(spark, d))
+
+
+def _with_blocks(c: DataFrame) -> DataFrame:
     return c.select("plan", "code", F.explode(T.time_blocks(F.col("day_time_info"))).alias("b")).select("plan", "code", "b.day", "b.start", "b.end")
 
 
@@ -128,8 +131,17 @@ def conflict_groups(spark: SparkSession, d: str) -> DataFrame:
 WITH c AS (SELECT o_custkey AS plan, CAST(o_orderkey AS VARCHAR) AS code, o_orderkey % 5 AS day, (8 + o_orderkey % 9) * 60 + 15 AS s, (10 + o_orderkey % 9) * 60 AS e FROM orders WHERE o_orderstatus = 'F')
 SELECT a.plan, a.code AS a, b.code AS b FROM c a JOIN c b ON a.plan = b.plan AND a.day = b.day AND a.code < b.code AND a.s < b.e AND b.s < a.e""")
 def schedule_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of a plan's courses whose weekly blocks, read from free text, overlap."""
-    b = _blocks(spark, d)
+    """Pairs of a plan's mandatory courses, as in the SQL twin, whose weekly blocks, read from free text, overlap."""
+    return _clashes(_with_blocks(_plan_courses(spark, d).where("course_type = 'Mandatory'")))
+
+
+@query(None)
+def schedule_conflicts_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a plan's courses of any type whose weekly blocks overlap, without a SQL twin."""
+    return _clashes(_blocks(spark, d))
+
+
+def _clashes(b: DataFrame) -> DataFrame:
     x = R.overlapping(b, b, "day", "start", "end").where("l.plan = r.plan and l.code < r.code")
     return x.select("l.plan", F.col("l.code").alias("a"), F.col("r.code").alias("b"))
 
@@ -369,7 +381,7 @@ def answer_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def document_matching(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as documents matched to parts as programmes: additive scores, vetoes, near-best ties."""
+    """All parts, as documents, matched to all parts, as programmes: additive scores, vetoes, near-best ties."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("programme_index"), F.array("p_name", F.concat_ws(" ", "p_name", "p_type")).alias("names"), F.col("p_brand").alias("faculty"), F.lit(None).cast("string").alias("level"), F.col("p_size").alias("ects"), F.array("p_type").alias("urls"))
-    o = table(spark, d, "part").where("p_size <= 10").select((F.col("p_partkey") * 10).alias("document_index"), F.concat_ws(" ", F.lit("studienplan"), "p_name").alias("text"), F.lit("plan").alias("label"), F.col("p_brand").alias("faculty"), F.lit(None).cast("string").alias("level"), F.array("p_size").alias("ects_values"), F.array().cast("array<string>").alias("urls"))
+    o = table(spark, d, "part").select((F.col("p_partkey") * 10).alias("document_index"), F.concat_ws(" ", F.lit("studienplan"), "p_name").alias("text"), F.lit("plan").alias("label"), F.col("p_brand").alias("faculty"), F.lit(None).cast("string").alias("level"), F.array("p_size").alias("ects_values"), F.array().cast("array<string>").alias("urls"))
     return matching.select_matches(matching.score_pairs(p, o)).select("document_index", "programme_index", "score", F.array_join("reasons", ",").alias("reasons"))

@@ -39,3 +39,35 @@ def test_token_jaccard_whole(spark, sf_dir):
         if r.kind == "classes":
             got |= {(min(a, b), max(a, b)): r.similarity for a in whole(r.a) for b in whole(r.b)}
     assert got == want and len(want) > 100
+
+
+def test_document_matching(spark, tmp_path):
+    names = ["large ring", "large bolt", "hot ring", "hot gear", "blue plate", "steel"]
+    parts = [(k, names[k % 6], f"Brand#{k % 2}", ("LARGE", "SMALL", "ECONOMY")[k % 3], (1, 7, 10, 11, 30, 50)[k * 5 % 7 % 6]) for k in range(1, 40)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = set()
+    for dk, dn, db, _, ds in parts:
+        ok = []
+        for k, n, b, t, s in parts:
+            ratio, overlap = max((len(x & set(dn.split())) / len(x), len(x & set(dn.split()))) for x in (set(n.split()), {*n.split(), t.lower()}))
+            name = 8 if ratio >= 0.95 and overlap else 6 if ratio >= 0.6 and overlap > 1 else 4 if overlap > 1 else 2 if overlap else 0
+            score = 3 + (5 if s == ds else -4) + name
+            if b == db and overlap and score >= 9 and name > 2 and (s == ds or ratio >= 0.95):
+                ok.append((k, score, s == ds))
+        agreeing = [x for x in ok if x[2]]
+        best = max((x[1] for x in agreeing), default=0)
+        want |= {(dk * 10, k, score) for k, score, _ in agreeing if score >= best - 2}
+    got = {(r.document_index, r.programme_index, r.score) for r in catalogue.QUERIES["document_matching"](spark, str(tmp_path)).collect()}
+    assert got == want and {x[0] // 10 for x in got} == {p[0] for p in parts}
+
+
+def test_timetables_of_all_courses(spark, tmp_path):
+    orders = [(k, k % 3, ("F", "O", "P")[k % 7 % 3], 100.0 * k, "1-URGENT") for k in range(1, 200)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    run = lambda q: catalogue.QUERIES[q](spark, str(tmp_path)).collect()
+    start, end = lambda k: (8 + k % 9) * 60 + 15, lambda k: (10 + k % 9) * 60
+    want = {(p, str(a), str(b)) for a, p, *_ in orders for b, q, *_ in orders if p == q and str(a) < str(b) and a % 5 == b % 5 and start(a) < end(b) and start(b) < end(a)}
+    assert {tuple(r) for r in run("schedule_conflicts_whole")} == want
+    assert {(r.plan, r.code) for r in run("timetable_lanes")} == {(p, str(k)) for k, p, *_ in orders}
+    clashing = {(p, c) for p, a, b in want for c in (a, b)}
+    assert {(r.plan, c) for r in run("conflict_groups") for c in r.codes.split(",")} == clashing
