@@ -181,8 +181,8 @@ def main_text(source: str | None) -> str:
     Page furniture (see FURNITURE, ROLES, NAMES) is cut. Of the rest, the element with the largest sum of its
     children's composite densities stands in the article; the least density on its path up to the page is the
     threshold. The article grows from that element to the container around it, and on as long as neighbours
-    reach the threshold with prose; subtrees that are mostly links and below the threshold fall out. Headings that stand before the
-    article in its ancestors belong to it. Ties go to the first element of the page.
+    reach the threshold with prose; of those that stand beside it under the body each is kept for itself. Subtrees that are mostly
+    links and below the threshold fall out. Headings that stand in the article's ancestors before its last part belong to it. Ties go to the first element of the page.
     """
     if not source:
         return ""
@@ -208,17 +208,21 @@ def main_text(source: str | None) -> str:
         if page.tag[best] in CONTAINERS and (page.tag[up] == "body" or not any(prose(i) for i in children[up] if i != best)):
             break
         best = up
+    up = page.parent[best]
+    ends = up >= 0 and page.tag[best] not in ("html", "body") and page.tag[up] in ("body", "html", "#page")
+    beside = {i for i in children[up] if i != best and prose(i)} if ends else set()  # where growth ends, prose stands beside
+    last = max(beside | {best})
     on_path = set(path[path.index(best) :])
     kept = [False] * n
     for i in range(n):
         if page.cut[i]:
             continue
         p = page.parent[i]
-        if i == best:
+        if i == best or i in beside:
             kept[i] = True
-        elif i > best and p >= 0 and kept[p]:
+        elif p >= 0 and kept[p]:
             kept[i] = not (density[i] < threshold and chars[i] and linked[i] > LINKED * chars[i] and page.tag[i] in BLOCK)
-        elif i < best and p >= 0 and (page.tag[i] in HEADINGS and p in on_path or kept[p]) and i not in on_path:
+        elif i < last and p in on_path and page.tag[i] in HEADINGS and i not in on_path:
             kept[i] = True
     blocks, now = [], []
     for node, text in page.parts:

@@ -37,3 +37,13 @@ def test_edges(spark):
     got = [(r.page_id, r.text) for r in H.extract(df).collect()]
     assert sorted(got, key=str) == sorted([(1, ""), (2, ""), (3, "plain < text"), (4, "a\nb"), (4, "a\nb"), (None, "<" * 50), (6, "deep")], key=str)
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_sections_under_body():
+    p = "<p>Prose of section {} that goes on for a while, and then for some more, until it ends.</p>"
+    section = lambda k, n: f"<section>{p.format(k) * n}</section>"
+    page = "<h1>Title</h1>" + section(1, 5) + "<h2>Middle</h2>" + section(2, 7) + "<h2>More</h2>" + section(3, 5) + "<div>" + "<a href=x>go on</a> " * 40 + "</div><h2>After</h2>"
+    want = ["Title", *["section 1"] * 5, "Middle", *["section 2"] * 7, "More", *["section 3"] * 5]
+    for whole in (f"<html><body>{page}</body></html>", page):
+        got = H.main_text(whole).split("\n")
+        assert len(got) == len(want) and all(w in g for w, g in zip(want, got))
