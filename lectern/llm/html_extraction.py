@@ -35,6 +35,11 @@ NAMES = re.compile(
     r"footer|masthead|topbar|site-?header|page-?header|skip|tags?|toc|hidden|disclaimer|teasers?|copyright)(?:$|[\s_-])",
     re.I,
 )
+#: Parts of names that say what is not there, or how a page is laid out.
+STYLING = re.compile(
+    r"(?<![^\s_-])(?:(?:no|non|not|has|have|with|without|hide|show)[_-]\S*|(?:overflow|backface|scroll)(?:[_-][xy])?[_-]hidden(?![^\s])|hidden[_-](?:xs|sm|md|lg|xl|xxl|print|mobile|desktop|phone|tablet)\S*)",
+    re.I,
+)
 #: Elements that can hold a whole article.
 CONTAINERS = frozenset("#page html body main article section div td center table tbody".split())
 #: A subtree whose characters stand in links by more than this share may fall below the threshold.
@@ -54,8 +59,11 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.cut = ["#page"], [-1], [False]
+        self.named: set[int] = set()  # elements whose class or id names furniture
         self.parts: list[tuple[int, str | None]] = []
         self._parse(source)
+        if self.named:
+            self._cut_named()
 
     def _in_article(self, node: int) -> bool:
         while node > 0:
@@ -64,22 +72,46 @@ class Page:
             node = self.parent[node]
         return False
 
-    def _furniture(self, tag: str, attrs: str, inside: int) -> bool:
+    def _cut_named(self) -> None:
+        """Cut the elements of ``named``, but for those that hold an article, a main or most of the body's unlinked text.
+
+        The last does not count on a page with an article or main elsewhere: a notice may be longer than a short article.
+        """
+        n = len(self.tag)
+        text, holds, above, inside_a = [0] * n, [0] * n, [0] * n, [False] * n
+        for i in range(1, n):
+            inside_a[i] = inside_a[self.parent[i]] or self.tag[i] == "a"
+            above[i] = above[self.parent[i]] + (self.tag[i] in ("article", "main"))
+        for node, part in self.parts:
+            if part and not self.cut[node] and not inside_a[node]:
+                text[node] += len("".join(part.split()))
+        for i in range(n - 1, 0, -1):
+            if not self.cut[i]:
+                p = self.parent[i]
+                text[p] += text[i]
+                holds[p] += holds[i] + (text[i] > 0 and self.tag[i] in ("article", "main"))
+        for i in range(1, n):
+            named = i in self.named and not holds[i] and (2 * text[i] <= text[0] or holds[0] > above[i])
+            self.cut[i] = self.cut[i] or self.cut[self.parent[i]] or named
+
+    def _furniture(self, tag: str, attrs: str, inside: int) -> bool | None:
+        """Whether an element is cut; None if only its names say so."""
         if tag in FURNITURE or tag in RAW:
             return True
         if tag == "header":  # an article's own header holds its title
             return not self._in_article(inside)
         if not attrs or tag in ("html", "body", "main", "article"):
             return False
+        named = False
         for m in _NAMED.finditer(attrs):
             name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
                 return True
-            if name in ("class", "id") and value.strip().lower() == "header" and not self._in_article(inside):
+            if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return True
-            if name == "style" and re.search(r"display\s*:\s*none", value, re.I) or name in ("class", "id") and NAMES.search(value):
-                return True
-        return False
+            if name in ("class", "id") and (value.strip().lower() == "header" and not self._in_article(inside) or NAMES.search(value) and NAMES.search(STYLING.sub("", value))):
+                named = True
+        return None if named else False
 
     def _close(self, stack: list[int], names: tuple[str, ...], boundary: frozenset[str] = frozenset()) -> None:
         if not any(self.open[n] for n in names):
@@ -131,7 +163,12 @@ class Page:
             node = len(self.tag)
             above = stack[-1]
             self.tag.append(name), self.parent.append(above)
-            self.cut.append(self.cut[above] or self._furniture(name, attrs, above))
+            furniture = self.cut[above] or self._furniture(name, attrs, above)
+            if furniture is None:
+                self.named.add(node)
+            self.cut.append(bool(furniture))
+            if name in ("svg", "math") and attrs.rstrip().endswith("/"):
+                continue
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
                 at = close.end() if close else len(source)
@@ -178,7 +215,8 @@ def _densities(page: Page) -> tuple[list[float], list[float], list[int], list[in
 def main_text(source: str | None) -> str:
     """The article of a page as blocks joined by line ends; empty for null or text-free pages.
 
-    Page furniture (see FURNITURE, ROLES, NAMES) is cut. Of the rest, the element with the largest sum of its
+    Page furniture (see FURNITURE, ROLES, NAMES) is cut, though by its names alone nothing that holds an article, a main
+    or, on a page without these elsewhere, most of the body's unlinked text. Of the rest, the element with the largest sum of its
     children's composite densities stands in the article; the least density on its path up to the page is the
     threshold. The article grows from that element to the container around it, and on as long as neighbours
     reach the threshold with prose; of those that stand beside it under the body each is kept for itself. Subtrees that are mostly

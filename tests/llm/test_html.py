@@ -47,3 +47,14 @@ def test_sections_under_body():
     for whole in (f"<html><body>{page}</body></html>", page):
         got = H.main_text(whole).split("\n")
         assert len(got) == len(want) and all(w in g for w, g in zip(want, got))
+
+
+def test_names_do_not_cut_the_article():
+    p = "<p>Prose of the article that goes on for a while, and then for some more.</p>"
+    text = "\n".join([p[3:-4]] * 4)
+    for name in ("overflow-hidden", "layout no-sidebar", "content has-sidebar", "row social"):
+        for body in (f"<article>{p * 4}</article>", f"<main>{p * 4}</main>", p * 4):
+            assert H.main_text(f'<body><div class="{name}">{body}</div><div class="sidebar"><p>Aside, of some words.</p></div></body>') == text
+            assert H.main_text(f'<body><main><div>{p * 5}</div><div class="{name}">{p * 4}</div></main></body>').count("Prose") == (5 if "social" in name else 9)
+    for empty in ('<svg class="i" />', "<math/>"):
+        assert H.main_text(f"<body><article>{p * 2}{empty}{p * 2}<svg><text>x</text></svg></article></body>") == text
