@@ -46,17 +46,26 @@ def byte_level_ranks(path: str) -> tuple[dict[bytes, int], str]:
     return {bytes(stand[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}, public_tokenizers.PATTERN
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Content -> id of the file's added tokens, which must be plain: found anywhere, with nothing stripped around them."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", [])
+    if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what stands around them")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 class Encoder:
-    """Ids of a byte-level BPE vocabulary; strings of special tokens are ordinary text."""
+    """Ids of a byte-level BPE vocabulary; strings of the file's added tokens are these tokens if ``added``, else ordinary text."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, added: bool = False):
         import tiktoken
 
         ranks, pattern = byte_level_ranks(path or vocabulary_path())
-        self.coder = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.coder = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added_tokens(path or vocabulary_path()) if added else {})
 
     def __call__(self, text: str) -> list[int]:
-        return self.coder.encode_ordinary(text)
+        return self.coder.encode(text, allowed_special="all", disallowed_special=())
 
 
 class CapacityTree:
@@ -120,9 +129,9 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
     return out
 
 
-def _packer(path: str | None, window: int, group_tokens: int, end_id: int):
+def _packer(path: str | None, window: int, group_tokens: int, end_id: int, added: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, ctx = Encoder(path), TaskContext.get()
+        encode, ctx = Encoder(path, added), TaskContext.get()
         base, used = (ctx.partitionId() if ctx else 0) << TASK_SHIFT, 0
         schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids_le", pa.binary())])
         full: list[tuple] = []
@@ -171,6 +180,7 @@ def pack_documents(
     window: int = WINDOW,
     group_tokens: int = GROUP_TOKENS,
     end_id: int = 0,
+    added: bool = False,
 ) -> DataFrame:
     """One row per piece of a document, placed in a sequence of at most ``window`` tokens.
 
@@ -180,11 +190,12 @@ def pack_documents(
     doing it again after a lost executor gives the same numbers. Repeated rows are packed each;
     null ids stay null; other columns are ignored; an empty table gives no rows.
 
-    ``ids_le`` holds the piece's ids as little-endian unsigned 32-bit integers.
+    With ``added`` the strings of the tokenizer file's added tokens are these tokens, as for its own library; else they
+    are ordinary text. ``ids_le`` holds the piece's ids as little-endian unsigned 32-bit integers.
     """
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_packer(tokenizer, window, group_tokens, end_id), SCHEMA)
+    return rows.mapInArrow(_packer(tokenizer, window, group_tokens, end_id, added), SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

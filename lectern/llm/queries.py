@@ -55,7 +55,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in windows of 1024 tokens: one row per piece."""
-    return packing.digest(packing.pack_documents(read(spark, sf_dir, "documents")))
+    return packing.digest(packing.pack_documents(read(spark, sf_dir, "documents"), added=True))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,12 @@ def test_best_fit(lengths):
             slow.remove(min(fits))
         slow.append((min(fits) if fits else 64) - lengths[k])
     assert all(v <= 64 for v in used.values()) and len(used) == len(slow)
+
+
+def test_query_finds_added_tokens(docs_of, tmp_path, spark):
+    from lectern.llm import queries
+
+    texts = {1: "x <|endoftext|> y", 2: "<|endoftext|><|endoftext|>", 3: "a<|endoftext|>b <|endoftext |>\n"}
+    docs_of(list(texts.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    own = Tokenizer.from_file(P.vocabulary_path())
+    check(queries.op6_packing(spark, str(tmp_path)).collect(), texts, lambda t: [*own.encode(t, add_special_tokens=False).ids, 0])
