@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.llm.common import arrow_batches, forget, persist_shared
 from lectern.operators.graph import connected_components
@@ -162,20 +164,27 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.where("key is not null").mapInArrow(sign, "doc_id long, key string, bands array<long>")
 
 
-def by_id(rows: DataFrame, ids: DataFrame, how: str, column: str = "doc_id") -> DataFrame:
-    """Join the wide ``rows`` with distinct ids: sent to all tasks if their counted number is small, else shuffled."""
+def by_id(rows: DataFrame, ids: DataFrame, how: str, column: str | list[str] = "doc_id") -> DataFrame:
+    """Join the wide ``rows`` with ids: sent to all tasks if their counted number is small, else shuffled."""
     few = ids.count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), column, how)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _node_texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the nodes in ``ids``, by the name of the node: of a document with several texts each node has its own."""
+    wanted = nodes.join(ids.select(F.col("doc_id").alias("node")), "node").select(F.col("doc_id"), F.col("key").alias("_key"), F.col("node").alias("_node"))
+    rows = by_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "inner")
+    return rows.where(F.md5(F.col("text").cast("binary")) == F.col("_key")).select(F.col("_node").alias("doc_id"), "text")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts have a probability Jaccard of at least ``similarity``.
 
     Texts of the documents in pairs are fetched once for b and once for a. The pairs of one a are dealt
     out in groups, so that a hub with many partners is no single task's work.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = persist_shared(by_id(docs.select("doc_id", "text"), ids, "left_semi"), "candidate-texts")
+    texts = persist_shared(_node_texts(docs, nodes, ids), "candidate-texts")
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
     part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / HUB_GROUP)).cast("int")
     dealt = pairs.join(sizes, "a").select("a", "b", part.alias("part"))
@@ -199,7 +208,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return found
 
 
-def _blocked_candidates(member: DataFrame, docs: DataFrame, labels: DataFrame, similarity: float) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+def _blocked_candidates(member: DataFrame, docs: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: float) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     """Pairs (a, b) of different components that share a bucket and whose sketches are close enough to verify.
 
     Members of a bucket are dealt into blocks and every two blocks of a bucket meet in one row, so that a
@@ -210,7 +219,7 @@ def _blocked_candidates(member: DataFrame, docs: DataFrame, labels: DataFrame, s
     mixed = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     at = persist_shared(at.join(mixed, "bucket"), "mixed-buckets")
     ids = at.select(F.col("id").alias("doc_id")).distinct()
-    sketched = _sketches(by_id(docs.select("doc_id", "text"), ids, "left_semi"))
+    sketched = _sketches(_node_texts(docs, nodes, ids))
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block")
     one = F.struct("id", "component", "buckets", "sketch")
     blocks = at.join(sketched, "id").groupBy("bucket", block).agg(F.collect_list(one).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -271,27 +280,43 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     whose members still fall in different components are then compared whole, in blocks, by sketches, and
     close pairs are verified. No bucket is capped.
 
-    Null texts are linked to nothing; a null id takes the class of its text, or null. Rows with equal ids
-    count as one document. Empty tables give no rows; further columns are ignored.
+    Null texts are linked to nothing; a null id takes the class of its text, or null. An id with several texts
+    is as many documents, which may fall in different classes. Empty tables give no rows; further columns are ignored.
     """
+    return _classes(docs, similarity).select("doc_id", "class_id")
+
+
+def _nodes(signed: DataFrame) -> DataFrame:
+    """(key, doc_id, node): the least id of each text and the text's own number, the id itself for the id's first text."""
+    least = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+    ranked = least.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("key")))
+    for salt in itertools.count():
+        nodes = persist_shared(ranked.select("key", "doc_id", F.when(F.col("rank") == 1, F.col("doc_id")).otherwise(F.xxhash64("key", F.lit(salt))).alias("node")), "nodes")
+        if nodes.where("node <> doc_id").isEmpty() or nodes.groupBy("node").count().where("count > 1").isEmpty():
+            return nodes
+        forget(nodes)
+
+
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, key, component, class_id) of every row: its text's key ('' for a null text) and component (null for null texts)."""
     spark = docs.sparkSession
     arrow_batches(spark)
     signed = persist_shared(signatures(docs), "signatures")
-    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    node = signed.where("bands is not null and doc_id is not null").join(nodes, ["key", "doc_id"]).select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")).distinct()
+    nodes = _nodes(signed)
+    node = signed.where("bands is not null and doc_id is not null").join(nodes, ["key", "doc_id"]).select(F.col("node").alias("id"), F.explode("bands").alias("bucket")).distinct()
     crowded = node.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     member = persist_shared(node.join(crowded, "bucket"), "buckets")
     scored = member.join(member.groupBy("id").agg(F.sum("n").alias("score")), "id")
     hub = scored.groupBy("bucket").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
     pairs = persist_shared(member.join(hub, "bucket").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "hub-pairs")
-    links = verified(pairs, docs, similarity)
+    links = verified(pairs, docs, nodes, similarity)
     labels = connected_components(links)
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near, used = _blocked_candidates(member, docs, labels, similarity)
+    near, used = _blocked_candidates(member, docs, nodes, labels, similarity)
     close = persist_shared(near.join(tested, ["a", "b"], "left_anti"), "close-pairs")
     forget(member, pairs, *used)
     if not close.isEmpty():
-        more = verified(close, docs, similarity)
+        more = verified(close, docs, nodes, similarity)
         if not more.isEmpty():
             # links between the components found so far
             named = more
@@ -302,21 +327,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             # a document without a link to its hub was its own component
             new = joined.join(labels.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
             labels = persist_shared(known.unionByName(new), "components")
-    names = nodes.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", F.coalesce("component", "doc_id").alias("class_id"))
-    classed = signed.select("doc_id", "key").join(names, "key").select("doc_id", "class_id")
+    names = nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = names.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    names = names.select("key", "component").join(least, "component")
+    classed = signed.select("doc_id", "key").join(names, "key", "left").select("doc_id", "key", "component", "class_id")
     rest = docs.where("text is null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    return classed.unionByName(rest.withColumn("class_id", F.col("doc_id")))
+    return classed.unionByName(rest.select("doc_id", F.lit("").alias("key"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("class_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class: the one of the least id.
+    """``docs`` with one document of each class: the one of the least id, and of its texts the one of the least key.
 
-    Rows of a null id stay, and so do rows of null text. Of rows that repeat an id one stays.
+    Rows of a null id stay, and so do rows of null text. Of rows that repeat both id and text one stays, the least by its columns.
     """
-    classes = persist_shared(near_duplicates(docs, similarity), "classes")
-    losers = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    kept = by_id(docs, losers, "left_anti")
-    repeated = classes.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    classes = persist_shared(_classes(docs, similarity), "classes")
+    chosen = classes.where("doc_id is not null and component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("c"))
+    losers = classes.where("doc_id is not null").join(chosen, "component").where("doc_id <> c.doc_id or key <> c.key").select("doc_id", F.col("key").alias("_key")).distinct()
+    keyed = docs.withColumn("_key", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    both = ["doc_id", "_key"]
+    kept = by_id(keyed, losers, "left_anti", both)
+    repeated = classes.where("doc_id is not null").groupBy("doc_id", F.col("key").alias("_key")).count().where("count > 1").select(both)
     if repeated.isEmpty():
-        return kept
-    return by_id(kept, repeated, "left_anti").unionByName(by_id(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
+        return kept.select(docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    one = by_id(kept, repeated, "left_semi", both).groupBy(both).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return by_id(kept, repeated, "left_anti", both).select(docs.columns).unionByName(one)

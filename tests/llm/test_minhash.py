@@ -98,3 +98,14 @@ def test_drop_and_edges(docs_of):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 5), (False, 7), (True, 0)]
     assert kept.columns == df.columns
     assert M.near_duplicates(df.limit(0)).count() == 0 and M.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_ids_with_several_texts(docs_of):
+    a, b, c, near = "one two three four five six", "red green blue black white grey", "sun moon star sky sea land", " ".join(f"w{i}" for i in range(80))
+    df = docs_of([(7, a), (7, b), (7, None), (7, b), (3, a), (9, b), (9, c), (8, near), (8, near + " end"), (7, near + " stop")])
+    classes = {(r.doc_id, r.class_id) for r in M.near_duplicates(df).collect()}
+    assert classes == {(7, 3), (7, 7), (3, 3), (9, 7), (9, 9), (8, 7)}
+    kept = sorted(((r.doc_id, r.text) for r in M.drop_near_duplicates(df).collect()), key=str)
+    assert kept == sorted([(3, a), (7, b), (7, None), (9, c), (7, near + " stop")], key=str)
+    again = docs_of([(8, near), (8, near + " end")])
+    assert M.drop_near_duplicates(again).count() == 1
