@@ -17,8 +17,7 @@ from lectern.llm.common import arrow_batches, persist_shared
 MAX_TRAIN_ROWS = 20_000
 N_FOURIER = 128
 RIDGE = 0.3
-#: A sample of fewer rows is not split: it fits and calibrates in whole.
-MIN_SPLIT = 1_000
+FOLDS = 5
 #: Squared distances of standardised statistics are divided by 2 * (WIDTH ** 2) * their number.
 WIDTH = 1.0
 THRESHOLD = 0.7
@@ -133,8 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_row
     """Fit on at most ``max_rows`` labelled documents; ``train`` is a condition on ``doc_id``.
 
     Rows with a null id or null quality teach nothing; an id with several labels takes their mean,
-    1 from a half on. Four fifths of the sample enter the normal equations, which every partition
-    sums for itself; the rest calibrates (samples below MIN_SPLIT do both in whole). None if no labelled document exists or all labels agree.
+    1 from a half on. The normal equations, which every partition sums for itself, are kept by fold: each
+    fold's scores for the calibration come from the weights of the other folds, at every size. None if no labelled document exists or all labels agree.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -150,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_row
         for f in frames:
             yield pd.DataFrame({"y": f.y, "fold": f.fold, "x": list(_matrix(f.text))})
 
-    folds = sample.select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5))).cast("int").alias("fold"))
+    folds = sample.select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS))).cast("int").alias("fold"))
     rows = persist_shared(folds.mapInPandas(measured, "y double, fold int, x array<double>"), "quality-sample")
 
     def moments(f: pd.DataFrame) -> np.ndarray:
@@ -164,20 +163,23 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_row
     model = QualityModel(mean, np.sqrt(np.maximum(m[2] / m[0] - mean**2, 1e-8)), np.zeros(0), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def normal(f: pd.DataFrame) -> np.ndarray:
-        z = model.fourier(model.scaled(np.stack(f.x.to_list())))
-        return np.hstack([z.T @ z, (z.T @ f.y.to_numpy())[:, None]])
+        z, y, fold = model.fourier(model.scaled(np.stack(f.x.to_list()))), f.y.to_numpy(), f.fold.to_numpy()
+        return np.vstack([np.hstack([z[fold == k].T @ z[fold == k], (z[fold == k].T @ y[fold == k])[:, None]]) for k in range(FOLDS)])
 
-    few = int(m[0][0]) < MIN_SPLIT
-    eq = _summed(rows if few else rows.where("fold != 0"), normal)
-    a, b = eq[:, :-1], eq[:, -1]
-    model.weights = np.linalg.solve(a + RIDGE * np.eye(len(a)), b)
+    def solved(eq: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(eq[:, :-1] + RIDGE * np.eye(len(eq)), eq[:, -1])
+
+    eq = np.stack(np.split(_summed(rows, normal), FOLDS))
+    model.weights = solved(eq.sum(0))
+    others = np.stack([solved(eq.sum(0) - eq[k]) for k in range(FOLDS)])
 
     def raw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                yield pd.DataFrame({"s": model.raw(np.stack(f.x.to_list())), "y": f.y})
+                z = model.fourier(model.scaled(np.stack(f.x.to_list())))
+                yield pd.DataFrame({"s": (z * others[f.fold.to_numpy()]).sum(1), "y": f.y})
 
-    held = (rows if few else rows.where("fold = 0")).mapInPandas(raw, "s double, y double").toPandas()
+    held = rows.mapInPandas(raw, "s double, y double").toPandas()
     if len(held):
         model.knots_x, model.knots_y = isotonic(held.s.to_numpy(), held.y.to_numpy())
     return model

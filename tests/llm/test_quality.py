@@ -29,3 +29,12 @@ def test_edges(docs_of, spark):
     assert all(v == k % 2 for k, v in by_id.items())
     assert Q.classify(docs, labels.limit(0)).first().score == 0.5 and Q.classify(docs.limit(0), labels).count() == 0
     assert Q.classify(docs, labels.withColumn("quality", F.lit(1))).where("score is null").count() == 0
+
+
+def test_calibration_is_held_out_at_every_size(docs_of, spark):
+    r = np.random.RandomState(3)
+    n = 400
+    docs = docs_of([(i, " ".join("abcdefgh"[: r.randint(1, 9)] for _ in range(r.randint(5, 60)))) for i in range(n)])
+    labels = spark.createDataFrame([(i, int(r.randint(2)), 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    # nothing can be learnt from labels by chance, so no score may be sure of them
+    assert Q.classify(docs, labels).where("score >= 0.7 or score <= 0.3").count() < n / 4
