@@ -16,7 +16,7 @@ from lectern.llm.common import arrow_batches
 
 #: Fixed values of the HTML standard and of common page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre search section summary table caption tbody td tfoot th thead tr ul".split()
@@ -28,13 +28,17 @@ HEADINGS = frozenset(("h1", "h2", "h3"))
 #: Elements that never hold the article.
 FURNITURE = frozenset("nav footer aside form button select dialog menu head search object canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Names in class and id that mark page furniture, notices, adverts and reader comments.
+#: Names in class and id that mark page furniture, adverts and reader comments, wherever they stand.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notice|nav|navs|navbar|navigation|menu|menus|menubar|breadcrumbs?|sidebar|side-?bar|side|rail|widgets?|"
-    r"comments?|comment-?list|respond|disqus\w*|reply|replies|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|toolbar|pagination|pager|"
-    r"footer|masthead|topbar|site-?header|page-?header|skip|tags?|toc|hidden|disclaimer|teasers?|copyright)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|nav|navs|navbar|navigation|menu|menus|menubar|breadcrumbs?|sidebar|side-?bar|"
+    r"comments?|comment-?list|respond|disqus\w*|reply|replies|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|pagination|pager|"
+    r"footer|masthead|topbar|site-?header|page-?header)(?:$|[\s_-])",
     re.I,
 )
+#: Names that mark furniture only outside of the article: within it they may name a part of the text.
+LOOSE_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:notice|banner|side|rail|widgets?|signup|login|popup|modal|overlay|toolbar|skip|tags?|toc|hidden|disclaimer|teasers?|copyright)(?:$|[\s_-])", re.I
+)
 #: Parts of names that say what is not there, or how a page is laid out.
 STYLING = re.compile(
     r"(?<![^\s_-])(?:(?:no|non|not|has|have|with|without|hide|show)[_-]\S*|(?:overflow|backface|scroll)(?:[_-][xy])?[_-]hidden(?![^\s])|hidden[_-](?:xs|sm|md|lg|xl|xxl|print|mobile|desktop|phone|tablet)\S*)",
@@ -60,9 +64,11 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.cut = ["#page"], [-1], [False]
         self.named: set[int] = set()  # elements whose class or id names furniture
+        self.loose: set[int] = set()  # elements whose names mean furniture only outside of the article
+        self.beside: set[int] = set()  # of these and what they hold, the elements that stand outside
         self.parts: list[tuple[int, str | None]] = []
         self._parse(source)
-        if self.named:
+        if self.named or self.loose:
             self._cut_named()
 
     def _in_article(self, node: int) -> bool:
@@ -76,6 +82,7 @@ class Page:
         """Cut the elements of ``named``, but for those that hold an article, a main or most of the body's unlinked text.
 
         The last does not count on a page with an article or main elsewhere: a notice may be longer than a short article.
+        Those of ``loose`` that stand in no article or main are noted, by the same rule, in ``beside``.
         """
         n = len(self.tag)
         text, holds, above, inside_a = [0] * n, [0] * n, [0] * n, [False] * n
@@ -91,8 +98,10 @@ class Page:
                 text[p] += text[i]
                 holds[p] += holds[i] + (text[i] > 0 and self.tag[i] in ("article", "main"))
         for i in range(1, n):
-            named = i in self.named and not holds[i] and (2 * text[i] <= text[0] or holds[0] > above[i])
-            self.cut[i] = self.cut[i] or self.cut[self.parent[i]] or named
+            outside = not holds[i] and (2 * text[i] <= text[0] or holds[0] > above[i])
+            self.cut[i] = self.cut[i] or self.cut[self.parent[i]] or i in self.named and outside
+            if self.parent[i] in self.beside or i in self.loose and outside and not above[i]:
+                self.beside.add(i)
 
     def _furniture(self, tag: str, attrs: str, inside: int) -> bool | None:
         """Whether an element is cut; None if only its names say so."""
@@ -109,8 +118,11 @@ class Page:
                 return True
             if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return True
-            if name in ("class", "id") and (value.strip().lower() == "header" and not self._in_article(inside) or NAMES.search(value) and NAMES.search(STYLING.sub("", value))):
-                named = True
+            if name in ("class", "id"):
+                plain = STYLING.sub("", value)
+                named = named or value.strip().lower() == "header" and not self._in_article(inside) or bool(NAMES.search(plain))
+                if LOOSE_NAMES.search(plain):
+                    self.loose.add(len(self.tag) - 1)
         return None if named else False
 
     def _close(self, stack: list[int], names: tuple[str, ...], boundary: frozenset[str] = frozenset()) -> None:
@@ -219,17 +231,21 @@ def main_text(source: str | None) -> str:
     or, on a page without these elsewhere, most of the body's unlinked text. Of the rest, the element with the largest sum of its
     children's composite densities stands in the article; the least density on its path up to the page is the
     threshold. The article grows from that element to the container around it, and on as long as neighbours
-    reach the threshold with prose; of those that stand beside it under the body each is kept for itself. Subtrees that are mostly
-    links and below the threshold fall out. Headings that stand in the article's ancestors before its last part belong to it. Ties go to the first element of the page.
+    reach the threshold with prose; of those that stand beside it under the body each is kept for itself. Where it has grown, and
+    on pages without a container, subtrees that are mostly links and below the threshold and those of LOOSE_NAMES fall out;
+    within the densest element, and within an article, lists of links and named blocks are text. Headings that stand in
+    the article's ancestors before its last part belong to it. Ties go to the first element of the page. Time and memory
+    are linear in the page, however long or deep it is.
     """
     if not source:
         return ""
     page = Page(source)
     density, total, chars, linked = _densities(page)
     n = len(page.tag)
-    best = max(range(n), key=lambda i: (total[i] if not page.cut[i] else -1.0, -i))
+    best = max(range(n), key=lambda i: (total[i] if not page.cut[i] and i not in page.beside else -1.0, -i))
     if not total[best]:
         best = 0
+    densest = best
     path, node = [], best
     while node >= 0:
         path.append(node)
@@ -240,7 +256,7 @@ def main_text(source: str | None) -> str:
         children.setdefault(page.parent[i], []).append(i)
 
     def prose(i: int) -> bool:
-        return not page.cut[i] and density[i] >= threshold and linked[i] <= LINKED * chars[i] and chars[i] > 0
+        return not page.cut[i] and i not in page.beside and density[i] >= threshold and linked[i] <= LINKED * chars[i] and chars[i] > 0
 
     while (up := page.parent[best]) > 0 and page.tag[up] not in ("html", "#page"):
         if page.tag[best] in CONTAINERS and (page.tag[up] == "body" or not any(prose(i) for i in children[up] if i != best)):
@@ -251,6 +267,7 @@ def main_text(source: str | None) -> str:
     beside = {i for i in children[up] if i != best and prose(i)} if ends else set()  # where growth ends, prose stands beside
     last = max(beside | {best})
     on_path = set(path[path.index(best) :])
+    loose_at = {i for i in path[: path.index(best) + 1] if page.tag[i] in ("html", "body", "#page") or i != densest and page.tag[i] != "article"}
     kept = [False] * n
     for i in range(n):
         if page.cut[i]:
@@ -259,7 +276,7 @@ def main_text(source: str | None) -> str:
         if i == best or i in beside:
             kept[i] = True
         elif p >= 0 and kept[p]:
-            kept[i] = not (density[i] < threshold and chars[i] and linked[i] > LINKED * chars[i] and page.tag[i] in BLOCK)
+            kept[i] = p not in loose_at or i not in page.beside and not (density[i] < threshold and chars[i] and linked[i] > LINKED * chars[i] and page.tag[i] in BLOCK)
         elif i < last and p in on_path and page.tag[i] in HEADINGS and i not in on_path:
             kept[i] = True
     blocks, now = [], []
@@ -275,7 +292,7 @@ def main_text(source: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text) of every row of ``pages``. Repeated rows are extracted each; other columns are ignored."""
+    """(page_id, url, text) of every row of ``pages``. Null and empty pages have empty text; repeated rows are extracted each; other columns are ignored; an empty table gives no rows."""
     arrow_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,8 @@
 import html
+import math
+import random
 import re
+from html.parser import HTMLParser
 
 from lectern.llm import html_extraction as H
 
@@ -33,7 +36,7 @@ def test_links_fall_out():
 
 def test_edges(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "plain &lt; text"), (4, "u", "<p>a<p>b"), (4, "u", "<p>a<p>b"), (None, None, "<" * 50), (6, "u", "<b>" * 3000 + "deep")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("x", "text")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' text", "1 n_chars", "2 page_no")
     got = [(r.page_id, r.text) for r in H.extract(df).collect()]
     assert sorted(got, key=str) == sorted([(1, ""), (2, ""), (3, "plain < text"), (4, "a\nb"), (4, "a\nb"), (None, "<" * 50), (6, "deep")], key=str)
     assert H.extract(df.limit(0)).count() == 0
@@ -58,3 +61,110 @@ def test_names_do_not_cut_the_article():
             assert H.main_text(f'<body><main><div>{p * 5}</div><div class="{name}">{p * 4}</div></main></body>').count("Prose") == (5 if "social" in name else 9)
     for empty in ('<svg class="i" />', "<math/>"):
         assert H.main_text(f"<body><article>{p * 2}{empty}{p * 2}<svg><text>x</text></svg></article></body>") == text
+
+
+class Tree(HTMLParser):
+    """A plain tree of a well-formed page: [tag, children], texts as strings."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = ["#page", []]
+        self.stack = [self.root]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, []]
+        self.stack[-1][1].append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][1].append(data)
+
+
+def brute_density(page):
+    """Composite density of every element in document order, each counted anew from its whole subtree."""
+
+    def inside(node, linked=False):
+        for c in node[1]:
+            if isinstance(c, str):
+                yield c, linked or node[0] == "a", None
+            else:
+                yield None, None, c[0]
+                yield from inside(c, linked or node[0] == "a")
+
+    def numbers(node, linked):
+        found = list(inside(node, linked))
+        size = lambda t: len("".join(t.split()))
+        c, lc = sum(size(t) for t, _, _ in found if t), sum(size(t) for t, k, _ in found if t and k)
+        return c, lc, max(1, sum(t is not None for _, _, t in found)), max(1, sum(t == "a" for _, _, t in found))
+
+    root = Tree(page).root
+    body_c, body_lc, _, _ = numbers(root, False)
+    out = []
+
+    def walk(node, linked):
+        c, lc, t, lt = numbers(node, linked)
+        base = math.log(c / max(1, c - lc) * lc + body_lc / max(1, body_c) * c + math.e)
+        out.append(c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / base if c else 0.0)
+        for k in node[1]:
+            if not isinstance(k, str):
+                walk(k, linked or k[0] == "a")
+
+    walk(root, False)
+    return out
+
+
+def nameless_page(r):
+    """A page without article, main, nav or telling names: (page, text of its article)."""
+    sentence = lambda n: " ".join("".join(r.choices("abcdefghijkl", k=r.randint(3, 8))) for _ in range(n)).capitalize() + "."
+    links = lambda n: "".join(f"<div><a>{sentence(2)[:-1]}</a></div>" for _ in range(n))
+    blocks = [sentence(r.randint(12, 40)) for _ in range(r.randint(3, 7))]
+    inner = "".join(f"<p>{b[: len(b) // 2]}<b>{b[len(b) // 2 :]}</b></p>" if r.random() < 0.3 else f"<p>{b}</p>" for b in blocks)
+    side = f"<div>{links(r.randint(6, 15))}</div>"
+    small = f"<div><div>{sentence(3)}</div><div><a>{sentence(2)}</a><a>{sentence(2)}</a></div></div>"
+    page = f"<html><body><div><div>{links(8)}</div></div><div><div>{side if r.random() < 0.5 else small}</div><div class='x1'>{inner}</div></div><div><div><a>{sentence(2)}</a></div><div><a>{sentence(3)}</a></div></div></body></html>"
+    return page, "\n".join(blocks)
+
+
+def test_densities_are_brute_force():
+    r = random.Random(6)
+    for _ in range(30):
+        page, _ = nameless_page(r)
+        got, want = H._densities(H.Page(page))[0], brute_density(page)
+        assert len(got) == len(want) and all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(got, want))
+
+
+def test_density_decides(monkeypatch):
+    """Without telling names the article comes from the densities: with all of them zero it is no longer found."""
+    r = random.Random(8)
+    pages = [nameless_page(r) for _ in range(60)]
+    assert all(H.main_text(page) == text for page, text in pages)
+    real = H._densities
+
+    def nothing(page):
+        density, total, chars, linked = real(page)
+        return [0.0] * len(density), [0.0] * len(total), chars, linked
+
+    monkeypatch.setattr(H, "_densities", nothing)
+    assert sum(H.main_text(page) == text for page, text in pages) == 0
+
+
+def test_named_blocks_of_the_article_stay():
+    p = "Prose of the article that goes on for a while, and then for some more."
+    for tag in ("article", "main"):
+        for block in ('<div class="price-tags">Price: 5 and more</div>', '<div class="widget">Part of the text</div>', '<p id="disclaimer">No claims are made</p>', '<p class="notice">Take care here</p>', "<math><mi>x</mi>+1</math>"):
+            want = " ".join(re.sub("<[^>]*>", "", block).split())
+            assert want in H.main_text(f"<body><{tag}><h1>Title</h1><p>{p}</p>{block}<p>{p}</p></{tag}></body>").split("\n"), block
+    listed = f"<article><p>{p}</p><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul><p>{p}</p></article>"
+    assert H.main_text(f"<body>{listed}</body>") == f"{p}\nFirst source\nSecond source\n{p}"
+    assert H.main_text(f'<body><div class="notice"><p>{p * 3}</p></div><article><p>Short one.</p></article></body>') == "Short one."
+    assert H.main_text(f'<body><div class="widget">Join us today, all of you.</div><div>{f"<p>{p}</p>" * 4}</div></body>') == "\n".join([p] * 4)
+
+
+def test_very_long_page():
+    p = "<p>Words of a paragraph in a page that is very long.</p>"
+    text = H.main_text(f"<body><article>{p * 40_000}</article>" + "<div>" * 30_000)
+    assert len(text) == 40_000 * (len(p) - 6) - 1
