@@ -64,9 +64,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, written as a marked transcript, in canonical turns: what the parser makes of its lines."""
-    conversations = read(spark, sf_dir, "conversations")
-    return chat_format.parse(chat_format.transcripts(conversations), chat_format.fit(conversations))
+    """Every conversation, written as a marked transcript, in canonical turns: what the parser makes of its lines.
+
+    The model learns from transcripts with known roles; the parser sees lines alone.
+    """
+    lines = chat_format.transcripts(read(spark, sf_dir, "conversations"))
+    return chat_format.parse(lines.drop("role", "opened_at"), chat_format.fit(lines))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
