@@ -97,11 +97,12 @@ class QualityModel:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators; returns the centres and means of the blocks."""
-    order = np.argsort(x, kind="stable")
+    """Pool equal x, then adjacent violators; returns the centres and means of the blocks. The order of the rows does not matter."""
+    values, at = np.unique(x, return_inverse=True)
+    sums, counts = np.bincount(at, y, len(values)), np.bincount(at, minlength=len(values)).astype(float)
     blocks: list[list[float]] = []  # sum of x, sum of y, count
-    for a, b in zip(x[order], y[order]):
-        blocks.append([a, b, 1])
+    for v, total, n in zip(values, sums, counts):
+        blocks.append([v * n, total, n])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             last = blocks.pop()
             blocks[-1] = [p + q for p, q in zip(blocks[-1], last)]
@@ -133,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_row
 
     Rows with a null id or null quality teach nothing; an id with several labels takes their mean,
     1 from a half on. The normal equations, which every partition sums for itself, are kept by fold: each
-    fold's scores for the calibration come from the weights of the other folds, at every size. None if no labelled document exists or all labels agree.
+    fold's scores for the calibration come from the weights of the other folds, at every size. None if no labelled document
+    exists; labels that all agree give that label's score to all.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -179,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_row
                 z = model.fourier(model.scaled(np.stack(f.x.to_list())))
                 yield pd.DataFrame({"s": (z * others[f.fold.to_numpy()]).sum(1), "y": f.y})
 
-    held = rows.mapInPandas(raw, "s double, y double").toPandas()
+    held = rows.mapInPandas(raw, "s double, y double").toPandas()  # max_rows pairs of numbers at most
     if len(held):
         model.knots_x, model.knots_y = isotonic(held.s.to_numpy(), held.y.to_numpy())
     return model
@@ -200,7 +202,8 @@ def score_column(model: QualityModel | None, text: str = "text") -> Column:
 def classify(docs: DataFrame, labels: DataFrame, train: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """All rows and columns of ``docs`` with ``score`` and ``predicted`` (1 from ``threshold`` on).
 
-    Null and empty texts are scored as texts without words. Columns of those names are replaced.
+    Null and empty texts are scored as texts without words, very long ones whole. Columns of those names are replaced.
+    Repeated rows are scored each; equal raw scores have one calibrated score; an empty table gives no rows.
     """
     arrow_batches(docs.sparkSession)
     model = fit(docs, labels, train)
