@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_batches
+from lectern.llm.common import arrow_batches, persist_shared
 
 #: Expected number of documents per language that a fit reads, chosen by a hash of their id.
 TRAIN_PER_LANGUAGE = 1_500
@@ -69,17 +69,20 @@ class LanguageModel:
     def vector(self, counts: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(counts) * self.idf)
 
-    def predict(self, text: str | None) -> tuple[str, float, float, bool]:
-        """(language, score, distance, rejected); UNKNOWN for texts without letters."""
-        if not text or not any(map(str.isalpha, text)) or not self.languages:
-            return UNKNOWN, 0.0, 1.0, True
-        near = self.centroids @ self.vector(ngram_counts(text))
-        by_language = np.full(len(self.languages), -1.0)
-        np.maximum.at(by_language, self.owner, near)
-        k = int(by_language.argmax())
-        e = np.exp(30 * (by_language - by_language[k]))
-        distance = float(1 - by_language[k])
-        return self.languages[k], float(min(1.0, 1 / e.sum())), distance, distance > self.reject
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
+        """(language, score, distance, rejected) of each text; UNKNOWN for texts without letters."""
+        out = [(UNKNOWN, 0.0, 1.0, True)] * len(texts)
+        at = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.languages else []
+        for some in (at[k : k + 64] for k in range(0, len(at), 64)):
+            near = self.vector(np.stack([ngram_counts(texts[i]) for i in some])) @ self.centroids.T
+            by_language = np.full((len(self.languages), len(some)), -1.0)
+            np.maximum.at(by_language, self.owner, near.T)
+            best = by_language.argmax(0)
+            cosine = by_language.max(0)
+            score = np.minimum(1.0, 1 / np.exp(30 * (by_language - cosine)).sum(0))
+            for i, k, s, d in zip(some, best, score.tolist(), (1 - cosine).tolist()):
+                out[i] = (self.languages[k], s, d, d > self.reject)
+        return out
 
 
 def _spherical_clusters(x: np.ndarray, k: int) -> np.ndarray:
@@ -102,7 +105,8 @@ def _spherical_clusters(x: np.ndarray, k: int) -> np.ndarray:
 def fit(docs: DataFrame, train: Column | None = None, per_language: int = TRAIN_PER_LANGUAGE) -> LanguageModel:
     """Learn from rows with text and lang under ``train``: about ``per_language`` of each language.
 
-    The sample of a language is what a hash of the ids deals out; all languages that occur are learnt.
+    The sample of a language is what a hash of the ids deals out; all languages that occur are learnt. Every language is
+    clustered in a task of its own: the driver sees document frequencies and centroids, never rows.
     """
     arrow_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -116,35 +120,60 @@ def fit(docs: DataFrame, train: Column | None = None, per_language: int = TRAIN_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = [np.minimum(ngram_counts(t), 65_535).astype(np.uint16).tobytes() for t in b.column(1).to_pylist()]
+            counts = [ngram_counts(t).astype(np.float32).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.binary())], names=["lang", "counts"])
 
-    got = part.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(count, "lang string, counts binary").toPandas()
-    languages = sorted(set(got.lang))
-    x = np.stack([np.frombuffer(c, np.uint16) for c in got.counts]).astype(np.float32) if len(got) else np.zeros((0, BUCKETS), np.float32)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
-    x = _unit(np.log1p(x) * idf).astype(np.float32)
-    centroids, owner = [], []
-    for k, lang in enumerate(languages):
-        c = _spherical_clusters(x[(got.lang == lang).to_numpy()], CENTROIDS)
-        centroids.append(c)
-        owner += [k] * len(c)
-    c = np.concatenate(centroids) if centroids else np.zeros((0, BUCKETS))
-    far = float(np.quantile(1 - (x @ c.T).max(1), REJECT_QUANTILE)) * 1.2 if len(x) else 1.0
-    return LanguageModel(languages, idf, c.astype(float), np.array(owner, int), far)
+    got = part.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(count, "lang string, counts binary")
+    got = persist_shared(got, "language-sample")
+
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In how many rows of a task every n-gram occurs; the last place counts the rows."""
+        n = np.zeros(BUCKETS + 1, np.int64)
+        for b in batches:
+            for c in b.column(0).to_pylist():
+                n[:BUCKETS] += np.frombuffer(c, np.float32) > 0
+                n[BUCKETS] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1)), pa.array(n)], names=["bucket", "n"])
+
+    found = np.zeros(BUCKETS + 1, np.int64)
+    for r in got.select("counts").mapInArrow(holding, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        found[r.bucket] = r.n
+    idf = np.log((1 + found[BUCKETS]) / (1 + found[:BUCKETS])) + 1
+
+    def cluster(f: pd.DataFrame) -> pd.DataFrame:
+        """One language's centroids, from at most about ``per_language`` rows."""
+        x = np.stack([np.frombuffer(c, np.float32) for c in sorted(f.counts)])
+        c = _spherical_clusters(_unit(np.log1p(x) * idf).astype(np.float32), CENTROIDS)
+        return pd.DataFrame({"lang": f.lang.iloc[0], "centroid": [v.astype(float).tobytes() for v in c]})
+
+    rows = got.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary").collect()  # CENTROIDS a language
+    rows = sorted(rows, key=lambda r: (r.lang, r.centroid))
+    languages = sorted({r.lang for r in rows})
+    centroids = np.stack([np.frombuffer(r.centroid) for r in rows]) if rows else np.zeros((0, BUCKETS))
+    model = LanguageModel(languages, idf, centroids, np.array([languages.index(r.lang) for r in rows], int), 1.0)
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([np.frombuffer(c, np.float32) for c in b.column(0).to_pylist()]) if b.num_rows else np.zeros((0, BUCKETS))
+            yield pa.RecordBatch.from_arrays([pa.array(1 - (model.vector(x) @ centroids.T).max(1) if len(x) else [], pa.float64())], names=["d"])
+
+    if languages:
+        model.reject = 1.2 * got.select("counts").mapInArrow(apart, "d double").agg(F.percentile("d", REJECT_QUANTILE)).first()[0]
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """All rows of ``docs`` with lang_pred, score (0 to 1), distance and rejected (the text is far from all centroids).
 
     Texts that are null or hold no letter are UNKNOWN with score 0. A rejected text keeps the nearest language
-    in ``lang_pred``. Ties go to the language that comes first in the alphabet.
+    in ``lang_pred``. Ties go to the language that comes first in the alphabet. Very long texts are read whole; repeated
+    rows are predicted each; columns of those names are replaced; an empty table gives no rows.
     """
     arrow_batches(docs.sparkSession)
 
     @F.pandas_udf("struct<lang_pred:string,score:double,distance:double,rejected:boolean>")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score", "distance", "rejected"])
+        return pd.DataFrame(model.predict(list(texts)), columns=["lang_pred", "score", "distance", "rejected"])
 
     new = ("lang_pred", "score", "distance", "rejected")
     out = docs.withColumn("_language", predict(F.col("text").cast("string")))
