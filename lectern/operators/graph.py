@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.skew import dealt_join
 from lectern.storage import forget, persist_shared
 
 
@@ -12,18 +13,18 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     """(id, component) of every id in ``links``; a component is called by its least id.
 
     Every round rewires each id's neighbours to the least of them and is written to the shared folder;
-    rounds grow with the logarithm of the longest chain. Links with a null and self links count as none.
-    The driver sees two sums a round, never the links.
+    rounds grow with the logarithm of the longest chain. The neighbours of an id that has a large part of all links are
+    dealt over several tasks. Links with a null and self links count as none. The driver sees two sums a round, never the links.
     """
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
     e = persist_shared(e, "links")
-    before = None
+    before, total = None, e.count()
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n"))
+        large = dealt_join(both.where("v > u"), least, "u", "v", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = dealt_join(large, least, "u", "v", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, e = e, persist_shared(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         forget(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
