@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from lectern.llm.common import arrow_batches, forget, persist_shared
 from lectern.operators.graph import connected_components
+from lectern.operators.skew import dealt_join
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -22,8 +23,8 @@ BANDS, ROWS = 25, 5
 #: Places of the sketches (a byte each) that compare the members of mixed buckets. At the threshold a pair's
 #: estimate has a standard error of 0.0125; pairs estimated SLACK of these below it are not verified.
 SKETCH_PLACES, SLACK = 1024, 4.5
-#: Members of one block of a bucket, on average.
-BLOCK = 64
+#: Members of one block of a bucket, on average, and blocks of one side of a task's share of a bucket.
+BLOCK, SHARE = 64, 16
 #: Up to so many ids (8 bytes each) are sent to all tasks; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Pairs of one hub are dealt out in groups of about this many.
@@ -187,7 +188,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: fl
     texts = persist_shared(_node_texts(docs, nodes, ids), "candidate-texts")
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
     part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / HUB_GROUP)).cast("int")
-    dealt = pairs.join(sizes, "a").select("a", "b", part.alias("part"))
+    dealt = dealt_join(pairs, sizes, "a", "b", pairs.count()).select("a", "b", part.alias("part"))
     left = texts.join(dealt.select(F.col("a").alias("doc_id"), "part").distinct(), "doc_id").select(F.col("doc_id").alias("a"), "part", F.col("text").alias("text_a"))
     rows = dealt.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(left, ["a", "part"]).select("a", "b", "text_a", "text_b")
 
@@ -212,20 +213,27 @@ def _blocked_candidates(member: DataFrame, docs: DataFrame, nodes: DataFrame, la
     """Pairs (a, b) of different components that share a bucket and whose sketches are close enough to verify.
 
     Members of a bucket are dealt into blocks and every two blocks of a bucket meet in one row, so that a
-    bucket of any size is compared whole, block by block, without a row for each pair. A pair that shares
-    several buckets is looked at in the first of them. The tables that the pairs are read from come with them.
+    bucket of any size is compared whole, block by block, without a row for each pair. A bucket's blocks are dealt in
+    groups of SHARE, and every two groups meet in a task's share of their own, so that a large bucket is many tasks' work.
+    A pair that shares several buckets is looked at in the first of them. The tables that the pairs are read from come with them.
     """
     at = member.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    at = persist_shared(at.join(mixed, "bucket"), "mixed-buckets")
+    mixed = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("n").alias("n")).where("lo <> hi").select("bucket", "n")
+    at = persist_shared(dealt_join(at.drop("n"), mixed, "bucket", "id", member.count()), "mixed-buckets")
     ids = at.select(F.col("id").alias("doc_id")).distinct()
     sketched = _sketches(_node_texts(docs, nodes, ids))
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block")
     one = F.struct("id", "component", "buckets", "sketch")
-    blocks = at.join(sketched, "id").groupBy("bucket", block).agg(F.collect_list(one).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    blocks = at.join(sketched, "id").groupBy("bucket", block).agg(F.collect_list(one).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("n").alias("n"))
     blocks = persist_shared(blocks, "blocks")
-    left, right = (blocks.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "m", "lo", "hi")]) for k in "xy")
-    rows = left.join(right, "bucket").where("block_x <= block_y and (lo_x <> hi_x or lo_y <> hi_y or lo_x <> lo_y)").select("bucket", "m_x", "m_y")
+    share = F.floor(F.col("block") / SHARE).cast("int")
+    last = F.floor((F.ceil(F.col("n") / BLOCK) - 1) / SHARE).cast("int")
+    held = ["bucket", "block", "m", "lo", "hi"]
+    left, right = (
+        blocks.select(*held, share.alias(f"share_{own}"), F.explode(others).alias(f"share_{other}")).select("bucket", "share_x", "share_y", *[F.col(c).alias(f"{c}_{own}") for c in held[1:]])
+        for own, other, others in (("x", "y", F.sequence(share, last)), ("y", "x", F.sequence(F.lit(0), share)))
+    )
+    rows = left.join(right, ["bucket", "share_x", "share_y"]).where("block_x <= block_y and (lo_x <> hi_x or lo_y <> hi_y or lo_x <> lo_y)").select("bucket", "m_x", "m_y")
     least = similarity - SLACK * (similarity * (1 - similarity) / SKETCH_PLACES) ** 0.5
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,11 +295,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def _nodes(signed: DataFrame) -> DataFrame:
-    """(key, doc_id, node): the least id of each text and the text's own number, the id itself for the id's first text."""
-    least = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+    """(key, doc_id, node, n): the least id of each text, the text's own number (the id itself for the id's first text) and its rows."""
+    least = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("doc_id is not null")
     ranked = least.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("key")))
     for salt in itertools.count():
-        nodes = persist_shared(ranked.select("key", "doc_id", F.when(F.col("rank") == 1, F.col("doc_id")).otherwise(F.xxhash64("key", F.lit(salt))).alias("node")), "nodes")
+        nodes = persist_shared(ranked.select("key", "doc_id", F.when(F.col("rank") == 1, F.col("doc_id")).otherwise(F.xxhash64("key", F.lit(salt))).alias("node"), "n"), "nodes")
         if nodes.where("node <> doc_id").isEmpty() or nodes.groupBy("node").count().where("count > 1").isEmpty():
             return nodes
         forget(nodes)
@@ -303,18 +311,19 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     arrow_batches(spark)
     signed = persist_shared(signatures(docs), "signatures")
     nodes = _nodes(signed)
-    node = signed.where("bands is not null and doc_id is not null").join(nodes, ["key", "doc_id"]).select(F.col("node").alias("id"), F.explode("bands").alias("bucket")).distinct()
-    crowded = node.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    member = persist_shared(node.join(crowded, "bucket"), "buckets")
+    node = signed.where("bands is not null and doc_id is not null").join(nodes.drop("n"), ["key", "doc_id"]).select(F.col("node").alias("id"), F.explode("bands").alias("bucket")).distinct()
+    crowded = persist_shared(node.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
+    member = persist_shared(dealt_join(node, crowded, "bucket", "id", BANDS * nodes.count()), "buckets")
+    n_members = member.count()
     scored = member.join(member.groupBy("id").agg(F.sum("n").alias("score")), "id")
-    hub = scored.groupBy("bucket").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
-    pairs = persist_shared(member.join(hub, "bucket").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "hub-pairs")
+    hub = scored.groupBy("bucket").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"), F.max("n").alias("n"))
+    pairs = persist_shared(dealt_join(member.drop("n"), hub, "bucket", "id", n_members).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "hub-pairs")
     links = verified(pairs, docs, nodes, similarity)
     labels = connected_components(links)
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     near, used = _blocked_candidates(member, docs, nodes, labels, similarity)
     close = persist_shared(near.join(tested, ["a", "b"], "left_anti"), "close-pairs")
-    forget(member, pairs, *used)
+    forget(member, crowded, pairs, *used)
     if not close.isEmpty():
         more = verified(close, docs, nodes, similarity)
         if not more.isEmpty():
@@ -327,10 +336,11 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
             # a document without a link to its hub was its own component
             new = joined.join(labels.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
             labels = persist_shared(known.unionByName(new), "components")
-    names = nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = names.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    names = names.select("key", "component").join(least, "component")
-    classed = signed.select("doc_id", "key").join(names, "key", "left").select("doc_id", "key", "component", "class_id")
+    names = nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("key", "doc_id", "n", F.coalesce("component", "node").alias("component"))
+    names = persist_shared(names, "text-components")
+    least = names.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("texts"))
+    named = dealt_join(names.select("key", "n", "component"), least, "component", "key", nodes.count(), n="texts").drop("texts")
+    classed = dealt_join(signed.select("doc_id", "key"), named, "key", "doc_id", signed.count(), "left").select("doc_id", "key", "component", "class_id")
     rest = docs.where("text is null").select(F.col("doc_id").cast("long").alias("doc_id"))
     return classed.unionByName(rest.select("doc_id", F.lit("").alias("key"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("class_id")))
 
@@ -341,8 +351,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     Rows of a null id stay, and so do rows of null text. Of rows that repeat both id and text one stays, the least by its columns.
     """
     classes = persist_shared(_classes(docs, similarity), "classes")
-    chosen = classes.where("doc_id is not null and component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("c"))
-    losers = classes.where("doc_id is not null").join(chosen, "component").where("doc_id <> c.doc_id or key <> c.key").select("doc_id", F.col("key").alias("_key")).distinct()
+    chosen = classes.where("doc_id is not null and component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("c"), F.count("*").alias("n"))
+    losers = dealt_join(classes.where("doc_id is not null"), chosen, "component", ["doc_id", "key"], classes.count()).where("doc_id <> c.doc_id or key <> c.key").select("doc_id", F.col("key").alias("_key")).distinct()
     keyed = docs.withColumn("_key", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
     both = ["doc_id", "_key"]
     kept = by_id(keyed, losers, "left_anti", both)
