@@ -12,15 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_batches
+from lectern.llm.common import arrow_batches, persist_shared
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents, chosen by a hash of their text, that potentials are estimated from (as expected number).
 TRAIN_DOCS = 20_000
-#: Distinct feature rows that reach the driver.
+#: Distinct feature rows that a fit takes at most, chosen by a hash.
 TRAIN_ROWS = 50_000
-SWEEPS = 12
 DAMPING = 0.3
+#: Messages of a document rest once none changes by more than this.
+REST = 1e-4
 #: Marginal probability from which a token belongs to an entity.
 ACCEPT = 0.6
 SPAN_TYPE = "array<struct<kind:string,start:long,end:long,base:boolean>>"
@@ -30,7 +31,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SEEN = re.compile(r"[0-9@]")
+_SEEN = re.compile(r"[0-9@]|[\[({]at[\])}]", re.I)
 _WORD = re.compile(r"\S+")
 
 
@@ -76,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Nodes:
-    """Tokens with a digit or an @ of some texts, as the nodes of one graph."""
+    """Tokens with a digit, an @ or a bracketed "at" of some texts, as the nodes of one graph."""
 
     text: list[int] = field(default_factory=list)
     start: list[int] = field(default_factory=list)
@@ -93,7 +94,8 @@ def _features(token: str, before: str) -> tuple[str, ...]:
     parts = token.strip(".,;:()").split(".")
     ip = len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) < 4 and int(p) <= 255 for p in parts)
     known = "luhn" if 12 <= len(d) <= 19 and luhn(d) else "address" if ip else "mail" if _DOMAIN.search(token.rpartition("@")[2]) and "@" in token else "plain"
-    return (f"s:{shape}", f"n:{min(len(d), 20)}", f"k:{known}", f"b:{re.sub('[0-9]', '9', before)[-6:].lower()}", f"p:{token[0] if not token[0].isalnum() else 'w'}", f"m:{known}:{min(len(d), 20)}")
+    ahead = re.sub("[0-9]", "9", before)[-6:].lower()
+    return (f"s:{shape}", f"n:{min(len(d), 20)}", f"k:{known}", f"b:{ahead}", f"j:{shape}:{ahead}", f"p:{token[0] if not token[0].isalnum() else 'w'}", f"m:{known}:{min(len(d), 20)}")
 
 
 def _key(token: str) -> str | None:
@@ -150,7 +152,11 @@ class SkipChain:
         return out
 
     def marginals(self, g: Nodes) -> np.ndarray:
-        """Loopy sum-product: all messages of all graphs step together, damped, until they rest."""
+        """Loopy sum-product: damped messages step together, and each document's stop once they rest.
+
+        A document's messages never depend on others. Evidence moves one link a step; messages that go round without
+        ever resting are stopped after 50 steps and twice the document's nodes.
+        """
         u = self.unary(g.features)
         n_labels = u.shape[1]
         edges = np.array(g.chain + g.skip, np.int64).reshape(-1, 2)
@@ -159,28 +165,36 @@ class SkipChain:
             pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
             source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
             back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-            message = np.zeros((len(source), n_labels))
-            total = u
-            for _ in range(SWEEPS):
-                belief = total[source] - message[back]
+            doc = np.array(g.text, np.int64)[source]
+            most = 50 + 2 * np.bincount(np.array(g.text, np.int64))
+            message, total = np.zeros((len(source), n_labels)), u.copy()
+            live, steps = np.arange(len(source)), 0
+            while len(live):
+                steps += 1
+                belief = total[source[live]] - message[back[live]]
                 belief = np.exp(belief - belief.max(1, keepdims=True))
-                new = np.log(np.einsum("el,elk->ek", belief, pair))
+                new = np.log(np.einsum("el,elk->ek", belief, pair[live]))
                 new -= new.max(1, keepdims=True)
-                moved = np.abs(new - message).max()
-                message = DAMPING * message + (1 - DAMPING) * new
-                total = u + np.stack([np.bincount(target, message[:, k], len(u)) for k in range(n_labels)], 1)
-                if moved < 1e-3:
-                    break
+                moved = np.zeros(len(most))
+                np.maximum.at(moved, doc[live], np.abs(new - message[live]).max(1))
+                message[live] = DAMPING * message[live] + (1 - DAMPING) * new
+                at = target[live]
+                fresh = u + np.stack([np.bincount(at, message[live][:, k], len(u)) for k in range(n_labels)], 1)
+                total[at] = fresh[at]
+                live = live[(moved[doc[live]] >= REST) & (steps < most[doc[live]])]
             u = total
         p = np.exp(u - u.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> SkipChain:
-    """Potentials by piecewise estimation from about ``train_docs`` documents, labelled by the fixed patterns.
+def fit(docs: DataFrame, annotations: DataFrame | None = None, train_docs: int = TRAIN_DOCS, train_rows: int = TRAIN_ROWS) -> SkipChain:
+    """Potentials by piecewise estimation from about ``train_docs`` documents, chosen by a hash of their text.
 
-    Each factor is estimated for itself: feature weights by logistic regression on counted feature rows, the
-    chain by smoothed label pairs, the skip edges by how often mentions of one key agree.
+    Labels are the matches of the fixed patterns and, where given, ``annotations``: (doc_id, kind, start, end) of mentions
+    that the patterns miss, such as numbers in parts or addresses that are written out. Each factor is estimated for
+    itself: feature weights by logistic regression on counted rows of features, at most ``train_rows`` distinct ones,
+    chosen by a hash; the chain by smoothed label pairs and the skip edges by how often mentions of one key agree, both
+    counted over the whole sample. Null texts teach nothing; repeated rows count each; without rows all potentials are flat.
     """
     arrow_batches(docs.sparkSession)
 
@@ -188,7 +202,12 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> SkipChain:
         seen: Counter = Counter()
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
-            g = nodes_of(texts, [base_spans(t) for t in texts])
+            spans = []
+            for t, more in zip(texts, b.column(1).to_pylist()):
+                base = base_spans(t)
+                extra = [(m["start"], KINDS.index(m["kind"]), m["end"]) for m in more or [] if m["kind"] in KINDS and not any(a < m["end"] and e > m["start"] for a, _, e in base)]
+                spans.append(sorted(base + extra))
+            g = nodes_of(texts, spans)
             seen.update(("f", "\x1f".join(f), y) for f, y in zip(g.features, g.label))
             for what, edges in (("c", g.chain), ("s", g.skip)):
                 seen.update((what, str(g.label[i]), g.label[j]) for i, j in edges)
@@ -197,9 +216,18 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> SkipChain:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["what", "feature", "label", "n"])
 
     total = max(1, docs.count())
+    text = F.col("text").cast("string").alias("text")
+    mention = "array<struct<kind:string,start:long,end:long>>"
     part = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, train_docs / total)))
-    counted = part.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "what string, feature string, label int, n long")
-    rows = counted.groupBy("what", "feature", "label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "what", "feature", "label").limit(TRAIN_ROWS).collect()
+    if annotations is None:
+        part = part.select(text, F.lit(None).cast(mention).alias("more"))
+    else:
+        known = annotations.groupBy("doc_id").agg(F.collect_list(F.struct("kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("more"))
+        part = part.select("doc_id", text).join(known, "doc_id", "left").select("text", "more")
+    counted = part.mapInArrow(count, "what string, feature string, label int, n long").groupBy("what", "feature", "label").agg(F.sum("n").alias("n"))
+    counted = persist_shared(counted, "field-counts")
+    pairs = counted.where("what <> 'f'").collect()  # label pairs
+    rows = pairs + counted.where("what = 'f'").orderBy(F.xxhash64("feature"), "feature", "label").limit(train_rows).collect()
     n_labels = 1 + len(KINDS)
     chain, agree = np.ones((n_labels, n_labels)), [1.0, 1.0]
     features: dict[str, int] = {}
@@ -215,7 +243,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> SkipChain:
     w = np.zeros((len(features) + 1, n_labels))
     w[-1, 0] = 1.0
     if index:
-        x, y, c = np.array(index), np.eye(n_labels)[label], np.minimum(np.array(weight), 50.0)
+        x, y, c = np.array(index), np.eye(n_labels)[label], np.array(weight)
         speed = np.full_like(w, 1e-8)
         for _ in range(150):
             z = w[x].sum(1) + w[-1]
@@ -267,7 +295,8 @@ def find(docs: DataFrame, model: SkipChain | None = None, id_col: str = "doc_id"
     """(doc_id, spans) of every row: spans holds kind, start, end (code points, end exclusive) and base, by start then kind.
 
     ``base`` marks matches of the fixed patterns; the others are the field's. Without a model there are only
-    base spans. A null text has none. Repeated rows are searched each; further columns are ignored.
+    base spans. A null or empty text has none, a very long one is searched whole. Repeated rows are searched each;
+    where two labels are as likely the first kind wins; further columns are ignored; an empty table gives no rows.
     """
     arrow_batches(docs.sparkSession)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
