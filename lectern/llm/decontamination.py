@@ -47,11 +47,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_seeds: int = BLOCK_SEE
 
     A window is 13 tokens of the item (the whole item if shorter) that stand in the document in the same
     order and distance with at most two tokens substituted (one below 13 tokens, none below 9). Masks laid
-    on every position of both sides find candidates by equal hashes; each is verified on its diagonal.
+    on every position of both sides find candidates by equal hashes; each is verified on its diagonal, with the tokens
+    around it alone, so that the work on a very long text grows with its length. Items of equal tokens are searched once.
     Items are counted first and go to the tasks in blocks of ``block_seeds`` seeds: documents are never
-    shuffled for the search. Null texts and items without tokens overlap nothing.
+    shuffled for the search. Null and empty texts and items without tokens overlap nothing; repeated rows and rows of
+    one id are searched by their texts; further columns are ignored; an empty table on either side finds nothing.
     """
-    items = _items(benchmark)
+    named = _items(benchmark)
+    items = named.groupBy("own", "length").agg(F.min("item_id").alias("item_id"))
     n_tokens, n_short = items.agg(F.coalesce(F.sum("length"), F.lit(0)), F.array_sort(F.collect_set(F.when(F.col("length") < SPAN, F.col("length"))))).first()
     masks = [*MASKS, *(tuple(range(k)) for k in n_short)]
     blocks = max(1, math.ceil(n_tokens * len(masks) / block_seeds))
@@ -59,28 +62,34 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_seeds: int = BLOCK_SEE
     hashed = docs.where("text is not null").select("doc_id", F.xxhash64(text).alias("text_key"), token_hashes(text).alias("hashes"))
     at = hashed.select("doc_id", "text_key", "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("q"))
     seeds = at.select("doc_id", "text_key", "hashes", "q", F.explode(F.array(*[masked_hash(F.col("hashes"), F.col("q"), m, k) for k, m in enumerate(masks)])).alias("seed"))
+    before, after = WINDOW - 1, SPAN + WINDOW - 2  # tokens around a hit that its windows can cover
+    left = F.greatest(F.lit(0), F.col("q") - before)
     found = None
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        part = items.where(F.pmod(F.xxhash64("own"), F.lit(blocks)) == k)
         where = part.select("item_id", "own", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("p"))
         long = F.col("length") >= SPAN
         own = [F.when(long if n < len(MASKS) else F.col("length") == len(m), masked_hash(F.col("own"), F.col("p"), m, n)) for n, m in enumerate(masks)]
         known = where.select("item_id", "p", F.explode(F.array(*own)).alias("seed")).where("seed is not null")
-        hits = seeds.join(F.broadcast(known), "seed").join(F.broadcast(part), "item_id")
-        ok = hits.where(_verified()).select("doc_id", "text_key", "item_id")
+        hits = seeds.join(F.broadcast(known), "seed").select("doc_id", "text_key", "item_id", "p", "q", left.alias("left"), F.slice("hashes", left + 1, before + after + 1).alias("near"))
+        ok = hits.join(F.broadcast(part), "item_id").where(_verified()).select("doc_id", "text_key", "item_id")
         found = ok if found is None else found.unionByName(ok)
-    return found.distinct()
+    same = named.select("own", F.col("item_id").alias("named")).join(items.select("own", "item_id"), "own").select("item_id", "named")
+    few = named.count() <= BROADCAST_IDS
+    out = found.distinct().join(F.broadcast(same) if few else same, "item_id")
+    return out.select("doc_id", "text_key", F.col("named").alias("item_id")).distinct()
 
 
 def _verified() -> Column:
-    """Whether a window of the item that covers the hit fits the document at the hit's diagonal."""
+    """Whether a window of the item that covers the hit fits the document at the hit's diagonal; ``near`` starts at ``left``."""
     length, shift = F.col("length"), F.col("q") - F.col("p")
     window = F.least(length, F.lit(WINDOW))
     need = window - F.when(window >= WINDOW, 2).when(window >= SPAN, 1).otherwise(0)
     first, last = F.greatest(F.lit(0), F.col("p") - WINDOW + 1), F.least(length - 1, F.col("p") + SPAN + WINDOW - 2)
+    place = lambda j: shift + j - F.col("left")
     equal = F.transform(
         F.sequence(first, last),
-        lambda j: F.when((shift + j >= 0) & F.coalesce(F.get("hashes", F.when(shift + j >= 0, shift + j)) == F.get("own", j), F.lit(False)), 1).otherwise(0),
+        lambda j: F.when((place(j) >= 0) & F.coalesce(F.get("near", F.when(place(j) >= 0, place(j))) == F.get("own", j), F.lit(False)), 1).otherwise(0),
     )
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), last - first + 2 - window))
     return F.exists(starts, lambda s: F.aggregate(F.slice(equal, s, window), F.lit(0), lambda a, x: a + x) >= need)
@@ -89,7 +98,8 @@ def _verified() -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """For every row of ``docs``: doc_id, contaminated, n_items, items (ids of the items found, ascending).
 
-    Rows of equal id are judged by their own texts; null texts are clean. An empty benchmark finds nothing.
+    Rows of equal id are judged by their own texts, very long ones whole; null and empty texts are clean; repeated rows stay.
+    An empty benchmark finds nothing, and an empty table gives no rows.
     """
     by_doc = overlaps(docs, benchmark).groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("item_id")).alias("ids"))
     rows = docs.select(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key")).alias("d")

@@ -36,3 +36,12 @@ def test_no_python_in_the_plan(spark, docs_of):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     plan = C.contaminated(docs_of([(1, "a")]), bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_very_long_text_and_equal_items(spark, docs_of):
+    item = words(30)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item).upper()), (3, " ".join(words(20, "v"))), (9, " ".join(item))], "item_id long, text string")
+    filler = [f"f{i % 977}" for i in range(400_000)]
+    text = " ".join([*filler[:200_000], *item, *filler[200_000:], *item[5:20]] + item * 500)
+    rows = C.contaminated(docs_of([(1, text), (2, " ".join(filler)), (3, " ".join(item)), (3, " ".join(item))]), bench).collect()
+    assert sorted((r.doc_id, r.items) for r in rows) == [(1, "1,2,9"), (2, ""), (3, "1,2,9"), (3, "1,2,9")]
