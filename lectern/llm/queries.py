@@ -46,6 +46,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def token_counts_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of real token ids: all documents, those of ``src1`` withdrawn and counted anew by another version; commits are repeated."""
+    at = {"byte-bpe-50k": token_rollup.vocabulary_tokens(), "words-v2": token_rollup.letter_runs}
+    counts = persist_shared(token_rollup.count_tokens(read(spark, sf_dir, "documents"), at), "vocabulary-counts")
+    rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    one = counts.where("source = 'src1'")
+    for _ in range(2):
+        rollup.commit("load", token_rollup.signed(token_rollup.version(counts, "byte-bpe-50k"), 1))
+        rollup.commit("recount", token_rollup.revised(token_rollup.version(one, "byte-bpe-50k"), token_rollup.version(one, "words-v2")))
+    return rollup.totals()
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language; rows of fold 1 are never learnt from."""
     docs = read(spark, sf_dir, "documents")
@@ -89,6 +101,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
+    "token_counts_vocabulary": token_counts_vocabulary,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm import packing
+
 KEYS = ("source", "lang", "tokenizer_version")
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
@@ -31,9 +37,10 @@ def _summed(rows: DataFrame) -> DataFrame:
 class TokenRollup:
     """Additive totals by source, language and tokenizer version, in a folder of any Hadoop file system.
 
-    Every batch is a small folder of its summed changes. It counts from the moment its ``_SUCCESS`` mark
-    stands, and a batch whose mark stands is never written again: a repeated commit, after a lost driver or a
-    replayed stream, changes nothing. Totals are sums over the last snapshot and the batches after it.
+    Every batch is a small folder of its summed changes, written aside and renamed in one step once it is whole. A
+    batch that is there is never written again, and of two writers of one batch the first rename counts: a repeated
+    commit, after a lost driver or a replayed stream, changes nothing. Totals are sums over the last snapshot and the
+    batches after it.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -48,23 +55,49 @@ class TokenRollup:
         return fs.exists(p)
 
     def _children(self, at: str) -> list[str]:
-        """Names of the committed folders in ``at``."""
-        fs, p = self._fs(at)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(n for n in names if self._exists(f"{at}/{n}/_SUCCESS"))
+        """Names of the committed folders in ``at``, by one listing."""
+        fs, p = self._fs(f"{at}/*/_SUCCESS")
+        return sorted(s.getPath().getParent().getName() for s in fs.globStatus(p) or [])
+
+    def _snapshot(self) -> str | None:
+        found = self._children(f"{self.path}/snapshots")
+        return f"{self.path}/snapshots/{found[-1]}" if found else None
+
+    def _merged(self, snapshot: str | None) -> DataFrame:
+        """Names of the batches that the snapshot holds."""
+        return self.spark.read.schema("batch string").parquet(f"{snapshot}/batches") if snapshot else self.spark.createDataFrame([], "batch string")
+
+    def _open(self, snapshot: str | None) -> list[str]:
+        """Names of the batches after the snapshot."""
+        names = [n.removeprefix("batch=") for n in self._children(f"{self.path}/batches")]
+        if not snapshot or not names:
+            return names
+        listed = self.spark.createDataFrame([(n,) for n in names], "batch string")
+        return sorted(r.batch for r in listed.join(self._merged(snapshot), "batch", "left_anti").collect())
 
     def committed(self) -> list[str]:
         """Names of all batches that count."""
-        return sorted({n.removeprefix("batch=") for n in self._children(f"{self.path}/batches")} | {b for s in self._snapshot()[1:] for b in s})
-
-    def _snapshot(self) -> tuple[str, ...] | tuple[str, list[str]] | tuple[()]:
-        found = self._children(f"{self.path}/snapshots")
-        if not found:
-            return ()
-        at = f"{self.path}/snapshots/{found[-1]}"
-        return at, [r.batch for r in self.spark.read.schema("batch string").parquet(f"{at}/batches").collect()]
+        snapshot = self._snapshot()
+        return sorted({*self._open(snapshot), *(r.batch for r in self._merged(snapshot).collect())})
+
+    def _holds(self, name: str) -> bool:
+        """Whether a batch counts, without a look at the others."""
+        return self._exists(f"{self.path}/batches/batch={name}/_SUCCESS") or not self._merged(self._snapshot()).where(F.col("batch") == name).isEmpty()
+
+    def _publish(self, rows: DataFrame, to: str) -> bool:
+        """Write rows aside and rename their folder to ``to``; False, and nothing left, if that is there already."""
+        own = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/aside/{own}")
+        fs, source = self._fs(f"{self.path}/aside/{own}")
+        _, target = self._fs(to)
+        fs.mkdirs(target.getParent())
+        if not fs.exists(target) and fs.rename(source, target):
+            _, nested = self._fs(f"{to}/{own}")  # a rename to a folder that came up meanwhile moves into it
+            if not fs.exists(nested):
+                return True
+            source = nested
+        fs.delete(source, True)
+        return False
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of change rows (see ``signed``); False, and nothing done, if it was committed before.
@@ -72,34 +105,31 @@ class TokenRollup:
         The rows are summed by key before they move, so that a key with most of the rows moves as one row a task.
         """
         name = "".join(c if c.isalnum() or c in "._-" else f"%{ord(c):02x}" for c in str(batch))
-        if name in self.committed():
-            return False
-        _summed(changes).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batches/batch={name}")
-        return True
+        return not self._holds(name) and self._publish(_summed(changes), f"{self.path}/batches/batch={name}")
 
     def commit_stream(self, changes: DataFrame, batch_id: int) -> None:
         """For ``foreachBatch``: replayed micro-batches keep their id and so count once."""
         self.commit(f"stream-{batch_id:012d}", changes)
 
-    def _deltas(self) -> DataFrame:
-        snapshot = self._snapshot()
-        done = set(snapshot[1]) if snapshot else set()
-        at = [f"{self.path}/batches/{n}" for n in self._children(f"{self.path}/batches") if n.removeprefix("batch=") not in done]
-        at += [f"{snapshot[0]}/totals"] if snapshot else []
+    def _deltas(self, snapshot: str | None, batches: list[str]) -> DataFrame:
+        at = [f"{self.path}/batches/batch={n}" for n in batches] + ([f"{snapshot}/totals"] if snapshot else [])
         return self.spark.read.schema(SCHEMA).parquet(*at) if at else self.spark.createDataFrame([], SCHEMA)
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, n_docs, n_tokens) of all keys whose sums aren't zero."""
-        return _summed(self._deltas()).where("n_docs <> 0 or n_tokens <> 0")
+        snapshot = self._snapshot()
+        return _summed(self._deltas(snapshot, self._open(snapshot))).where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
         """Sum all committed batches into one snapshot. A snapshot counts once its own mark is written, last."""
-        batches, names = self.committed(), self._children(f"{self.path}/snapshots")
-        at = f"{self.path}/snapshots/{len(names):012d}"
-        _summed(self._deltas()).coalesce(1).write.mode("overwrite").parquet(f"{at}/totals")
-        self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{at}/batches")
-        fs, p = self._fs(f"{at}/_SUCCESS")
-        fs.create(p, True).close()
+        snapshot = self._snapshot()
+        batches = self._open(snapshot)
+        at = f"{self.path}/snapshots/{len(self._children(f'{self.path}/snapshots')):012d}"
+        if self._publish(_summed(self._deltas(snapshot, batches)), f"{at}/totals"):
+            new = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+            self._merged(snapshot).unionByName(new).write.mode("overwrite").parquet(f"{at}/batches")
+            fs, p = self._fs(f"{at}/_SUCCESS")
+            fs.create(p, True).close()
 
 
 def whitespace_words(text: Column) -> Column:
@@ -121,11 +151,30 @@ COUNTERS = {"words-v1": whitespace_words, "words-v2": letter_runs, "bytes-v1": u
 
 
 def count_tokens(docs: DataFrame, counters: dict = COUNTERS) -> DataFrame:
-    """(doc_id, source, lang) of every row and one count column for each tokenizer version, in one pass over the texts."""
+    """(doc_id, source, lang) of every row and one count column for each tokenizer version, in one pass over the texts.
+
+    Null and empty texts have 0 tokens; very long texts are counted whole; repeated rows count each; other columns are
+    ignored; an empty table gives no rows.
+    """
     text = F.col("text").cast("string")
     return docs.select("doc_id", "source", "lang", *[f(text).alias(k) for k, f in counters.items()])
 
 
+def vocabulary_tokens(path: str | None = None):  # noqa: ANN201
+    """A counter of ``COUNTERS``' kind: ids by the vocabulary file at ``path``; strings of its added tokens are these tokens."""
+
+    def counter(text: Column) -> Column:
+        @F.pandas_udf("long")
+        def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            encoder = packing.Encoder(path, added=True)
+            for texts in parts:
+                yield pd.Series([len(encoder(t)) if t else 0 for t in texts], dtype="int64")
+
+        return count(text)
+
+    return counter
+
+
 def version(counts: DataFrame, name: str) -> DataFrame:
     """Rows of one tokenizer version, as ``signed`` takes them."""
     return counts.select("source", "lang", F.lit(name).alias("tokenizer_version"), F.col(f"`{name}`").alias("n_tokens"))

@@ -1,4 +1,5 @@
 import uuid
+from collections import Counter
 
 from compare import assert_same
 
@@ -30,3 +31,35 @@ def test_commits(spark):
     half = K.TokenRollup(spark, r.path)
     K.signed(new, 1).write.parquet(f"{r.path}/batches/batch=lost/_temporary/0")  # a batch that never finished counts nothing
     assert sorted(map(tuple, half.totals().collect()), key=str) == rows()
+
+
+def test_real_tokens(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    from lectern.llm import packing
+
+    tok, want = Tokenizer.from_file(packing.vocabulary_path()), Counter()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        if r.source != "src1":
+            want[r.source, r.lang] += len(tok.encode(r.text or "", add_special_tokens=False).ids)
+    got = queries.token_counts_vocabulary(spark, sf_dir).collect()
+    assert {(r.source, r.lang): r.n_tokens for r in got if r.tokenizer_version == "byte-bpe-50k"} == dict(want)
+    assert all(r.tokenizer_version == "words-v2" for r in got if r.source == "src1") and any(r.source == "src1" for r in got)
+
+
+def test_counting_edges(docs_of):
+    df = docs_of([(1, None), (2, ""), (2, "two words"), (2, "two words"), (None, "x" * 500_000), (3, "a " * 100_000), (4, "<|endoftext|>")])
+    at = K.COUNTERS | {"bpe": K.vocabulary_tokens()}
+    got = sorted(((r.doc_id, r["words-v1"], r["bytes-v1"]) for r in K.count_tokens(df, at).collect()), key=str)
+    assert got == sorted([(1, 0, 0), (2, 0, 0), (2, 2, 9), (2, 2, 9), (None, 1, 500_000), (3, 100_000, 200_000), (4, 1, 13)], key=str)
+    ids = {(r.doc_id, r["words-v1"]): r.bpe for r in K.count_tokens(df, at).collect()}
+    assert ids[1, 0] == 0 and ids[2, 2] == 2 and ids[4, 1] == 1 and ids[None, 1] > 1000
+    assert K.count_tokens(df.limit(0)).count() == 0
+
+
+def test_two_writers_of_one_batch(spark):
+    r = K.TokenRollup(spark, f"{shared_dir(spark)}/w-{uuid.uuid4().hex}")
+    c = spark.createDataFrame([("a", "en", "v1", 3)], "source string, lang string, tokenizer_version string, n_tokens long")
+    at = f"{r.path}/batches/batch=one"
+    assert r._publish(K._summed(K.signed(c, 1)), at) and not r._publish(K._summed(K.signed(c, 1)), at)
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 1, 3)] and r.committed() == ["one"]
