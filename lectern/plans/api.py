@@ -146,8 +146,8 @@ def _links(t: Tables) -> DataFrame:
     return o.groupBy("code").agg(all_.alias("course_catalogue_links")).withColumn("link_course_catalogue", F.get("course_catalogue_links", 0)["link_course_catalogue"])
 
 
-def courses(t: Tables, code: str | None = None, faculty_id: int | None = None, faculty_name: str | None = None, program_id: int | None = None, program_name: str | None = None, q: str | None = None, limit: int | None = None, **filters) -> DataFrame:  # noqa: ANN003
-    """Distinct courses by code, 50 if no limit is given; catalogue links only where one to three rows are found."""
+def _found_courses(t: Tables, code: str | None = None, faculty_id: int | None = None, faculty_name: str | None = None, program_id: int | None = None, program_name: str | None = None, q: str | None = None, **filters) -> DataFrame:  # noqa: ANN003
+    """All courses that fit, each once."""
     course, semi = _split(filters, _COURSE), _split(filters, _SEMI)
     x = _courses(t).where(_course_filter(**course)).where(R.all_of([None if code is None else R.code_match("code", code), R.optional_equal("faculty_id", faculty_id), R.optional_like(["cf_name_en", "cf_name_de", "cf_name_fr"], faculty_name)]))
     x = _semi(x, t, **semi)
@@ -157,7 +157,12 @@ def courses(t: Tables, code: str | None = None, faculty_id: int | None = None, f
         co = t["consist_of"].select("program_id", "code", F.col("course_name").alias("co_name"), F.col("description").alias("co_description")).join(p, "program_id", "left")
         y = x.join(co, "code", "left").where(R.all_of([R.optional_equal("program_id", program_id), R.optional_like(names, program_name), R.optional_like(["name", "description", "learning_goals", "co_name", "co_description", "domain_name", *names], q)]))
         x = x.join(y.select("code").distinct(), "code", "left_semi")
-    top = x.withColumnRenamed("cf_name_en", "faculty_name").drop("cf_name_de", "cf_name_fr").distinct().orderBy("code").limit(50 if limit is None else limit)
+    return x.withColumnRenamed("cf_name_en", "faculty_name").drop("cf_name_de", "cf_name_fr").distinct()
+
+
+def courses(t: Tables, limit: int | None = None, **filters) -> DataFrame:  # noqa: ANN003
+    """Distinct courses by code, 50 if no limit is given; catalogue links only where one to three rows are found."""
+    top = _found_courses(t, **filters).orderBy("code").limit(50 if limit is None else limit)
     return R.hide_if_many(R.hide_if_many(top.join(_links(t), "code", "left"), "link_course_catalogue", 3), "course_catalogue_links", 3).orderBy("code")
 
 
@@ -275,7 +280,7 @@ def mobility(t: Tables, semesters: list[str], interest: str | None = None, langu
     out = None
     for s in semesters[:2]:
         tries = [(interest, language), (interest, None), (None, language)]
-        found = [courses(t, mobility=True, semester=s, q=i, language=lang, limit=1_000_000).select("code") for i, lang in tries]
+        found = [_found_courses(t, mobility=True, semester=s, q=i, language=lang).select("code") for i, lang in tries]
         one = R.staged_union(found, "code", ["code"], enough).select(F.lit(s).alias("sem_id"), "code", "attempt")
         out = one if out is None else out.unionByName(one)
     return out.orderBy("sem_id", "attempt", "code")
@@ -296,6 +301,8 @@ TOOLS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "get_semesters": (semesters, ()),
     "get_planner_programs": (planner_programs, ("locale", "degree_level", "q", "limit")),
     "get_planner_courses": (planner_courses, ("sem_id", "program_ids", "locale")),
+    "get_study_program_plan": (plan_proposal, ("program_id", "semesters", "total_ects", "selected", "completed")),
+    "get_offering": (offering, ("offering_id",)),
     "search_mobility": (mobility, ("semesters", "interest", "language", "enough")),
     "extract_codes": (lambda t, text: t["course"].sparkSession.range(1).select(F.explode(extract_codes(F.lit(text))).alias("code")), ("text",)),
     "match_code": (lambda t, code: t["course"].where(code_loose(F.col("code")) == code.upper().strip().removeprefix("UE-")), ("code",)),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.plans import content, relational
+from lectern.plans import content, endpoints, relational
 
-_PARTS = (relational, content)
+_PARTS = (relational, content, endpoints)
 QUERIES: dict = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for p in _PARTS for k, s in p.ORACLE_SQL.items()}
