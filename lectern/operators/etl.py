@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import text as T
 from lectern.operators.relational import either_key, latest_per_key
+from lectern.storage import persist_shared
 
 
 def _split_null_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -42,19 +43,23 @@ def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], seq: str
 def surrogate_keys(values: DataFrame, column: str, name: str, existing: DataFrame | None = None) -> DataFrame:
     """(value, key): numbers from 1 (or after the largest one of ``existing``) in the order of the values; nulls get none.
 
-    Values are ranked by ranges: a count of every range, then a rank within it, so that no task sees all of them.
+    Values are sorted by ranges, written to the shared folder, and numbered by their place in the range and the sizes of
+    the ranges before it: no task sees all values, whatever they look like. The driver sees a size for each range.
     """
     fresh = values.where(F.col(column).isNotNull()).select(column).distinct()
     base = 0
     if existing is not None:
         fresh = fresh.join(existing.select(column), column, "left_anti")
         base = existing.agg(F.coalesce(F.max(name), F.lit(0))).first()[0]
-    ranged = fresh.withColumn("_bin", F.substring(F.col(column).cast("string"), 1, 4))
-    sizes = ranged.groupBy("_bin").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("_before", before).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_bin").orderBy(column))
-    out = ranged.join(starts, "_bin").select(column, (F.lit(base) + F.col("_before") + rank).cast("long").alias(name))
+    row = F.monotonically_increasing_id()
+    ranged = fresh.repartitionByRange(column).sortWithinPartitions(column).withColumns({"_part": F.shiftright(row, 33), "_row": row.bitwiseAND(F.lit((1 << 33) - 1))})
+    ranged = persist_shared(ranged, "ranges")
+    sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    starts, so_far = [], base
+    for part in sorted(sizes):
+        starts, so_far = [*starts, (part, so_far)], so_far + sizes[part]
+    start = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in starts for x in kv]), F.col("_part")) if starts else F.lit(base)
+    out = ranged.select(column, (start + F.col("_row") + 1).cast("long").alias(name))
     return out if existing is None else existing.select(column, name).unionByName(out)
 
 

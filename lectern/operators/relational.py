@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A dimension of up to so many rows is sent to all tasks; counted before.
-BROADCAST_ROWS = 1_000_000
+#: A dimension of up to so many bytes, as measured on its rows, is sent to all tasks.
+BROADCAST_BYTES = 64_000_000
 
 # ---- predicates (an argument that is None filters nothing) ----
 
@@ -124,10 +124,21 @@ def semester_label(kind: Column, year: Column) -> Column:
 # ---- joins ----
 
 
-def lookup(facts: DataFrame, dimension: DataFrame, on: list[str] | str, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a dimension: sent to all tasks if its counted rows are few, by a shuffle otherwise."""
-    few = dimension.limit(limit + 1).count() <= limit
-    return facts.join(F.broadcast(dimension) if few else dimension, on, how)
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of ``df`` hold at most ``limit`` bytes: 16 a value, and what texts, bytes and lists take."""
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind == "string" or kind == "binary":
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= limit
+
+
+def lookup(facts: DataFrame, dimension: DataFrame, on: list[str] | str, how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a dimension: sent to all tasks if its measured bytes are few, by a shuffle otherwise."""
+    return facts.join(F.broadcast(dimension) if small(dimension, limit) else dimension, on, how)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

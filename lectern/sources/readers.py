@@ -67,8 +67,8 @@ def json_loose(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def texts(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(path, text) of every *.txt file; names that start with _ are skipped."""
-    r = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").option("recursiveFileLookup", recursive)
-    return r.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    found = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=recursive)
+    return found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
