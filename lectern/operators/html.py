@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.storage import small_batches
+from lectern.storage import persist_shared, small_batches
 
 SECTION = "page_id long, section_no int, heading string, heading_level int, text string"
 LINK = "page_id long, position int, text string, url string"
@@ -186,16 +186,24 @@ def reachable(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def tree_paths(nodes: DataFrame, depth: int = 20) -> DataFrame:
-    """(id, path): names from the root joined by " > "; ``nodes``: id, parent (null at roots), name."""
-    level = nodes.where("parent is null").select("id", F.col("name").alias("path"))
-    out = level
-    for _ in range(depth):
-        level = nodes.alias("n").join(level.alias("p"), F.col("n.parent") == F.col("p.id")).select("n.id", F.concat("p.path", F.lit(" > "), "n.name").alias("path"))
-        if level.isEmpty():
-            break
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """(id, path): names from the root joined by " > "; ``nodes``: id, parent (null at roots), name.
+
+    Levels are followed until one is empty, however deep the tree; every level is written to the shared folder. Nodes that
+    no root leads to have no path. An id that is met again, which no tree has, is an error.
+    """
+    level = persist_shared(nodes.where("parent is null").select("id", F.col("name").alias("path")), "tree-level")
+    out, met, total = level, level.count(), nodes.count()
+    while True:
+        below = nodes.alias("n").join(level.alias("p"), F.col("n.parent") == F.col("p.id")).select("n.id", F.concat("p.path", F.lit(" > "), "n.name").alias("path"))
+        level = persist_shared(below, "tree-level")
+        more = level.count()
+        if not more:
+            return out
+        met += more
+        if met > total:
+            raise ValueError("not a tree")
         out = out.unionByName(level)
-    return out
 
 
 def best_title(candidates: Column, unwanted: list[str]) -> Column:

@@ -187,32 +187,55 @@ def suggest_courses(courses: DataFrame, target: float = 30.0, extra: int | None
 
     def choose(rows: list) -> list[tuple]:
         needed = sorted((r for r in rows if r.required), key=lambda r: r.code)
-
-        def clash(picked: list, new) -> bool:  # noqa: ANN001
-            return any(p.code != new.code and _clash(p.blocks, new.blocks) for p in picked)
-
-        def badness(picked: list) -> tuple:
-            positive = sum(r.ects > 0 for r in picked)
-            wanted = 0 if extra is None else abs(positive - len(needed) - extra)
-            return wanted, abs(sum(r.ects for r in picked) - target), -sum(bool(r.mandatory) for r in picked), positive
-
-        if not any(clash(needed[:i], r) for i, r in enumerate(needed)):
+        have = {r.code for r in needed}
+        free = [r for r in rows if r.code not in have]
+        order = needed + sorted((r for r in free if r.ects > 0), key=lambda r: (not r.mandatory, -r.ects, r.code)) + sorted((r for r in free if r.ects <= 0), key=lambda r: r.code)
+        # clashes[i] has a bit for every course that can't stand beside course i
+        clashes = [0] * len(order)
+        for i, a in enumerate(order):
+            for j in range(i):
+                if order[j].code != a.code and _clash(order[j].blocks, a.blocks):
+                    clashes[i] |= 1 << j
+                    clashes[j] |= 1 << i
+        n = len(needed)
+
+        def badness(state: tuple) -> tuple:
+            _, credits, mandatory, positive, _ = state
+            wanted = 0 if extra is None else abs(positive - n - extra)
+            return wanted, abs(credits - target), -mandatory, positive
+
+        # a set is (bits, credits, mandatory courses, courses with credits, (last course, set before it))
+        start = (0, 0.0, 0, 0, None)
+        fits = True
+        for i in range(n):
+            fits = fits and not clashes[i] & start[0]
+            r = order[i]
+            start = (start[0] | 1 << i, start[1] + r.ects, start[2] + bool(r.mandatory), start[3] + (r.ects > 0), (i, start[4]))
+        if fits:
             most = int((target + 6) * 2)
-            best = {round(sum(r.ects for r in needed) * 2): needed}
-            have = {r.code for r in needed}
-            free = [r for r in rows if r.code not in have]
-            for r in sorted((r for r in free if r.ects > 0), key=lambda r: (not r.mandatory, -r.ects, r.code)):
-                for units, picked in list(best.items()):
-                    more = units + round(r.ects * 2)
-                    if more <= most and not clash(picked, r):
-                        new = [*picked, r]
-                        if more not in best or badness(new) < badness(best[more]):
-                            best[more] = new
-            needed = min(best.values(), key=badness)
-            for r in sorted((r for r in free if r.ects <= 0), key=lambda r: r.code):
-                if not clash(needed, r):
-                    needed = [*needed, r]
-        return [(r.plan, r.code) for r in needed]
+            best = {round(start[1] * 2): start}
+            ranks = {k: badness(s) for k, s in best.items()}
+            for i in range(n, len(order)):
+                r = order[i]
+                if r.ects <= 0:
+                    break
+                units = round(r.ects * 2)
+                for before, s in list(best.items()):
+                    more = before + units
+                    if more <= most and not clashes[i] & s[0]:
+                        new = (s[0] | 1 << i, s[1] + r.ects, s[2] + bool(r.mandatory), s[3] + 1, (i, s[4]))
+                        rank = badness(new)
+                        if more not in best or rank < ranks[more]:
+                            best[more], ranks[more] = new, rank
+            start = min(best.values(), key=badness)
+            for i in range(n, len(order)):
+                if order[i].ects <= 0 and not clashes[i] & start[0]:
+                    start = (start[0] | 1 << i, *start[1:4], (i, start[4]))
+        picked, link = [], start[4]
+        while link:
+            picked.append(order[link[0]])
+            link = link[1]
+        return [(r.plan, r.code) for r in reversed(picked)]
 
     known = courses.withColumn("ects", F.coalesce(F.col("ects").cast("double"), F.lit(0.0)))
     return per_group(known, ["plan"], ["code"], choose, "plan long, code string")
@@ -265,12 +288,19 @@ def lanes(blocks: DataFrame) -> DataFrame:
     return per_group(blocks, ["plan", "day"], ["start", "end", "code"], lay, "plan long, day string, code string, start int, end int, lane int")
 
 
-def overlap_depth(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """(keys, depth): the largest number of half-open intervals that hold one moment."""
+def overlap_depth(df: DataFrame, keys: list[str], start: str, end: str, width: float = 1440.0) -> DataFrame:
+    """(keys, depth): the largest number of half-open intervals that hold one moment.
+
+    Starts and ends are counted in bins of ``width``: each bin's running sum rises from what the bins before it leave open,
+    so that a key with very many intervals is as many tasks' work as it fills bins.
+    """
     up = df.select(*keys, F.col(start).alias("t"), F.lit(1).alias("d"))
     down = df.select(*keys, F.col(end).alias("t"), F.lit(-1).alias("d"))
-    w = Window.partitionBy(*keys).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
-    return up.unionByName(down).withColumn("depth", F.sum("d").over(w)).groupBy(*keys).agg(F.max("depth").alias("depth"))
+    steps = up.unionByName(down).groupBy(*keys, "t").agg(F.sum("d").alias("d")).withColumn("_bin", F.floor(F.col("t") / width))
+    w = Window.partitionBy(*keys, "_bin").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    per = steps.withColumn("run", F.sum("d").over(w)).groupBy(*keys, "_bin").agg(F.max("run").alias("most"), F.sum("d").alias("left"))
+    before = F.coalesce(F.sum("left").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return per.withColumn("depth", F.col("most") + before).groupBy(*keys).agg(F.max("depth").alias("depth"))
 
 
 def timetable(offerings: DataFrame) -> DataFrame:

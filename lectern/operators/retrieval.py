@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,38 +17,86 @@ from lectern.operators.relational import latest_per_key, with_count
 BLOCK_NUMBERS = 4_000_000
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _best(query: np.ndarray, vec: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query number, vector id, distance) triples the ``k`` nearest of every query; ties by id."""
+    order = np.lexsort((vec, dist, query))
+    query, vec, dist = query[order], vec[order], dist[order]
+    first = np.concatenate([[True], query[1:] != query[:-1]]) if len(query) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
+    keep = np.arange(len(query)) - start < k
+    return query[keep], vec[keep], dist[keep]
+
 
+def _nearest(ids: np.ndarray, q: np.ndarray, k: int, metric: str, digits: int, include_self: bool):  # noqa: ANN202
+    """A function of Arrow batches of (vec_id, embedding) that gives each task's ``k`` nearest of every query.
 
-def distance(a: Column, b: Column, metric: str) -> Column:
-    """l2 (root of the squared differences) or cosine (1 - similarity; 1 if a vector is zero)."""
-    if metric == "l2":
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    return 1 - F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+    A matrix product finds who may be among them; only for these the distance is taken exactly.
+    """
+    norms = np.sqrt((q * q).sum(1))
+    unit = q / np.where(norms > 0, norms, 1)[:, None]
+    rows = max(1, BLOCK_NUMBERS // max(1, len(ids)))
+    margin = 2 * 10.0**-digits + 1e-7
+
+    def exact(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i))
+        for at in range(0, len(i), 50_000):
+            a, b = x[i[at : at + 50_000]], q[j[at : at + 50_000]]
+            if metric == "l2":
+                out[at : at + 50_000] = np.sqrt(((a - b) ** 2).sum(1))
+            else:
+                size = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))
+                out[at : at + 50_000] = 1 - np.divide((a * b).sum(1), size, out=np.zeros(len(a)), where=size > 0)
+        return np.round(out, digits)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        bound = np.full(len(ids), np.inf)
+        for batch in batches:
+            lists = batch.column(1)
+            fits = np.array([n == q.shape[1] for n in np.diff(lists.offsets.to_numpy())]) & ~np.array(lists.is_null())
+            kept = batch.filter(pa.array(fits))
+            vec, x = kept.column(0).to_numpy().astype(np.int64), kept.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, q.shape[1])
+            for at in range(0, len(x), rows):
+                part, own = x[at : at + rows], vec[at : at + rows]
+                if metric == "l2":
+                    d = np.sqrt(np.maximum(0, (part * part).sum(1)[:, None] + (norms**2)[None] - 2 * part @ q.T))
+                else:
+                    size = np.sqrt((part * part).sum(1))
+                    d = 1 - (part / np.where(size > 0, size, 1)[:, None]) @ unit.T
+                if not include_self:
+                    d[own[:, None] == ids[None]] = np.inf
+                limit = np.minimum(bound, np.partition(d, k - 1, axis=0)[k - 1]) if len(part) >= k else bound
+                i, j = np.nonzero((d <= limit[None] + margin) & np.isfinite(d))
+                found = (j, own[i], exact(part, i, j))
+                best = _best(*(np.concatenate(c) for c in zip(best, found)), k)
+                full = np.bincount(best[0], minlength=len(ids)) >= k
+                last = np.full(len(ids), -np.inf)
+                np.maximum.at(last, best[0], best[2])
+                bound = np.where(full, last, np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())], names=["query_id", "vec_id", "distance"])
+
+    return near
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", digits: int = 9, include_self: bool = False) -> DataFrame:
     """(query_id, vec_id, distance, rank) of the ``k`` nearest vectors of every query, exactly; ties by vec_id.
 
-    Queries are counted and go to all tasks in blocks of bounded size; a task keeps only the k best of its own
-    vectors for each query before anything moves. Distances are rounded to ``digits`` before ranking.
+    Distances, l2 or cosine (1 - similarity; 1 if a vector is zero), are rounded to ``digits`` before ranking. Queries are
+    counted and go to all tasks in blocks of BLOCK_NUMBERS numbers at most; every task keeps the ``k`` nearest of its own
+    vectors while it reads them, and only these move. Null vectors, and those of another length than most places, meet none.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = queries.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("q"))
     n, places = q.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
     blocks = max(1, -(-n * places // BLOCK_NUMBERS))
-    best = F.sort_array(F.collect_list(F.struct("distance", "vec_id")))
+    data = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     out = None
     for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = vectors.select("vec_id", "embedding").join(F.broadcast(part), F.lit(True) if include_self else F.col("vec_id") != F.col("query_id"))
-        near = pairs.select("query_id", "vec_id", F.round(distance(F.col("embedding"), F.col("q"), metric), digits).alias("distance"))
-        # the k best within a task's share, then the k best of these
-        local = near.withColumn("part", F.spark_partition_id()).groupBy("query_id", "part").agg(F.slice(best, 1, k).alias("b"))
+        part = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).where(F.size("q") == places).collect()  # one block
+        ids, block = np.array([r.query_id for r in part], np.int64), np.array([r.q for r in part], float).reshape(len(part), places)
+        local = data.mapInArrow(_nearest(ids, block, k, metric, digits, include_self), "query_id long, vec_id long, distance double")
         out = local if out is None else out.unionByName(local)
-    merged = out.select("query_id", F.explode("b").alias("x")).select("query_id", "x.*")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return merged.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def metadata_filter(docs: DataFrame, program: str | None = None, degree: str | None = None, ects: float | None = None) -> DataFrame:

@@ -61,18 +61,11 @@ def overlap_depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 2000 AS a, l_partkey % 2000 AS b FROM lineitem WHERE l_quantity > 49 AND l_orderkey % 2000 <> l_partkey % 2000),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, root) AS (SELECT a, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.id WHERE r.root < s.b)
-SELECT id, min(root) AS component FROM (SELECT id, root FROM r UNION ALL SELECT a, a FROM s) GROUP BY id""")
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -l_partkey - 1 AS b FROM lineitem), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, component) USING KEY (id) AS (SELECT DISTINCT a, a FROM s UNION (SELECT s.a, min(n.component) FROM r n JOIN s ON s.b = n.id JOIN recurring.r o ON o.id = s.a WHERE n.component < o.component GROUP BY s.a))
+SELECT id, component FROM r""")
 def equivalence_components(spark: SparkSession, d: str) -> DataFrame:
-    """Connected components of links between keys."""
-    e = table(spark, d, "lineitem").where("l_quantity > 49").select((F.col("l_orderkey") % 2000).alias("a"), (F.col("l_partkey") % 2000).alias("b"))
-    return connected_components(e)
-
-
-@query(None)
-def equivalence_components_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Connected components of orders and parts linked by all lineitems, without a SQL twin. Part k stands as -k - 1, apart from order k."""
+    """Connected components of all orders and parts that lineitems link. Part k stands as -k - 1, apart from order k."""
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("a"), (-F.col("l_partkey").cast("long") - 1).alias("b"))
     return connected_components(e)
 
@@ -114,10 +107,7 @@ def equivalent_courses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    return _with_blocks(_plan_courses(spark, d))
-
-
-def _with_blocks(c: DataFrame) -> DataFrame:
+    c = _plan_courses(spark, d)
     return c.select("plan", "code", F.explode(T.time_blocks(F.col("day_time_info"))).alias("b")).select("plan", "code", "b.day", "b.start", "b.end")
 
 
@@ -128,16 +118,10 @@ def conflict_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT o_custkey AS plan, CAST(o_orderkey AS VARCHAR) AS code, o_orderkey % 5 AS day, (8 + o_orderkey % 9) * 60 + 15 AS s, (10 + o_orderkey % 9) * 60 AS e FROM orders WHERE o_orderstatus = 'F')
+WITH c AS (SELECT o_custkey AS plan, CAST(o_orderkey AS VARCHAR) AS code, o_orderkey % 5 AS day, (8 + o_orderkey % 9) * 60 + 15 AS s, (10 + o_orderkey % 9) * 60 AS e FROM orders)
 SELECT a.plan, a.code AS a, b.code AS b FROM c a JOIN c b ON a.plan = b.plan AND a.day = b.day AND a.code < b.code AND a.s < b.e AND b.s < a.e""")
 def schedule_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of a plan's mandatory courses, as in the SQL twin, whose weekly blocks, read from free text, overlap."""
-    return _clashes(_with_blocks(_plan_courses(spark, d).where("course_type = 'Mandatory'")))
-
-
-@query(None)
-def schedule_conflicts_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of a plan's courses of any type whose weekly blocks overlap, without a SQL twin."""
+    """Pairs of a plan's courses whose weekly blocks, read from free text, overlap."""
     return _clashes(_blocks(spark, d))
 
 

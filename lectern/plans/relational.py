@@ -113,9 +113,11 @@ def orphan_check_all(spark: SparkSession, d: str) -> DataFrame:
     return quality.foreign_key_checks({t: table(spark, d, t) for t in {x for c, _, p, _ in _KEYS for x in (c, p)}}, _KEYS)
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' AND o.o_orderpriority = '1-URGENT')")
 def anti_without_children(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """Customers without an urgent order that is under way."""
+    urgent = table(spark, d, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query("""
@@ -270,22 +272,12 @@ def credit_set_compare(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_size = 7)
-SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity
-FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w)) > 0""")
+WITH t AS (SELECT DISTINCT p_partkey, p_brand, list_sort(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part WHERE p_partkey IS NOT NULL AND p_brand IS NOT NULL AND p_name IS NOT NULL),
+c AS (SELECT p_brand, w, min(p_partkey) AS c FROM t GROUP BY p_brand, w)
+SELECT p_brand, 'member' AS kind, c AS a, p_partkey AS b, CAST(1 AS DOUBLE) AS similarity FROM t JOIN c USING (p_brand, w) WHERE p_partkey <> c
+UNION ALL SELECT x.p_brand, 'classes', x.c, y.c, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w)))::DOUBLE, 6) FROM c x JOIN c y ON x.p_brand = y.p_brand AND x.c < y.c AND list_has_any(x.w, y.w)""")
 def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Token Jaccard of parts that share a brand and a word; pairs meet by an equal join on both."""
-    t = table(spark, d, "part").where("p_size = 7").select("p_partkey", "p_brand", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
-    e = t.select("p_partkey", "p_brand", "w", F.explode("w").alias("k"))
-    a, b = e.alias("a"), e.alias("b")
-    pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    home = F.array_min(F.array_intersect("a.w", "b.w")) == F.col("a.k")  # a pair with several shared words is kept once
-    return pairs.where(home).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(R.jaccard(F.col("a.w"), F.col("b.w")), 6).alias("similarity"))
-
-
-@query(None)
-def token_jaccard_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Token Jaccard of all parts of a brand that share a word, by classes of equal token sets, without a SQL twin.
+    """Token Jaccard of all parts of a brand that share a word, by classes of equal token sets.
 
     A class is called by its least part. Rows of kind 'member' hold a class (a) and each other part of it (b), those of
     kind 'classes' two classes that share a word: every part of the one has that similarity to every part of the other.

@@ -1,4 +1,4 @@
-"""Queries over whole tables that have no SQL twin, against brute force."""
+"""Queries over whole tables against brute force."""
 
 
 from collections import defaultdict
@@ -6,7 +6,7 @@ from collections import defaultdict
 from lectern.plans import catalogue
 
 
-def test_equivalence_components_whole(spark, tmp_path):
+def test_equivalence_components(spark, tmp_path):
     # far keys, small quantities and keys that a modulus of 2,000 would merge
     lines = [(1, 5, 1.0), (2001, 5, 50.0), (2001, 7, 2.0), (5, 2005, 50.0), (4001, 2007, 3.0), (7, 9, 1.0), (None, 9, 1.0), *[(10_000 + i, 20_000 + i // 3, 1.0) for i in range(3000)]]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
@@ -21,14 +21,14 @@ def test_equivalence_components_whole(spark, tmp_path):
         if a is not None:
             x, y = sorted((find(a), find(-b - 1)))
             root[y] = x
-    got = {r.id: r.component for r in catalogue.QUERIES["equivalence_components_whole"](spark, str(tmp_path)).collect()}
+    got = {r.id: r.component for r in catalogue.QUERIES["equivalence_components"](spark, str(tmp_path)).collect()}
     assert got == {x: find(x) for x in root} and len(got) > 4000 and got[1] == got[2001] != got[5] != got[4001]
 
 
-def test_token_jaccard_whole(spark, sf_dir):
+def test_token_jaccard(spark, sf_dir):
     parts = {r.p_partkey: (r.p_brand, frozenset(r.p_name.lower().split(" "))) for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
     want = {(a, b): round(len(x & y) / len(x | y), 6) for a, (p, x) in parts.items() for b, (q, y) in parts.items() if a < b and p == q and x & y}
-    rows = catalogue.QUERIES["token_jaccard_whole"](spark, sf_dir).collect()
+    rows = catalogue.QUERIES["token_jaccard"](spark, sf_dir).collect()
     of = defaultdict(list)
     for r in rows:
         if r.kind == "member":
@@ -67,7 +67,7 @@ def test_timetables_of_all_courses(spark, tmp_path):
     run = lambda q: catalogue.QUERIES[q](spark, str(tmp_path)).collect()
     start, end = lambda k: (8 + k % 9) * 60 + 15, lambda k: (10 + k % 9) * 60
     want = {(p, str(a), str(b)) for a, p, *_ in orders for b, q, *_ in orders if p == q and str(a) < str(b) and a % 5 == b % 5 and start(a) < end(b) and start(b) < end(a)}
-    assert {tuple(r) for r in run("schedule_conflicts_whole")} == want
+    assert {tuple(r) for r in run("schedule_conflicts")} == want
     assert {(r.plan, r.code) for r in run("timetable_lanes")} == {(p, str(k)) for k, p, *_ in orders}
     clashing = {(p, c) for p, a, b in want for c in (a, b)}
     assert {(r.plan, c) for r in run("conflict_groups") for c in r.codes.split(",")} == clashing
