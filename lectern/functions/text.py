@@ -175,6 +175,16 @@ def extract_codes(c: Column) -> Column:
     return F.array_distinct(F.concat(loose, strict))
 
 
+#: Fixed value: course codes as converted pages write them, with blanks around the point and between digits.
+PAGE_CODE = r"\b(?:UE\s*-\s*)?(?=[A-Z0-9]{2,4}\s*\.)[A-Z0-9]*[A-Z][A-Z0-9]*\s*\.\s*(?:[0-9]\s*){5}\b"
+
+
+def page_codes(c: Column) -> Column:
+    """Distinct codes of a converted page's line, in order, without blanks and with the UE- prefix."""
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", ""), "^UE-", "")
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(f"({PAGE_CODE})"), F.lit(1)), lambda x: F.concat(F.lit("UE-"), bare(x))))
+
+
 # ---- schedules ----
 
 #: Names of the days in three languages.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -95,6 +95,35 @@ def staging_to_final(staging: DataFrame, courses: DataFrame) -> DataFrame:
     return latest_per_key(out, ["program_id", "code"], [F.desc("staging_id")]).drop("staging_id")
 
 
+def scoped(df: DataFrame, program_id: int | None = None, limit: int | None = None, order: str = "staging_id") -> DataFrame:
+    """The staged rows of one programme, or of all; the first ``limit`` of them by ``order`` if that is asked for."""
+    own = df if program_id is None else df.where(F.col("program_id") == program_id)
+    return own if limit is None else own.orderBy(order).limit(limit)
+
+
+def rebuild_links(spark: SparkSession, staging: DataFrame, courses: DataFrame, path: str, program_id: int | None = None, limit: int | None = None, dry_run: bool = False) -> DataFrame:
+    """Rebuild the final links at ``path``, of one programme or of all, from the staged references; (action, n) of what is done.
+
+    A programme's links are replaced as a partition, all links as a table. With ``dry_run`` nothing is written, and the
+    counts tell what would be.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)  # noqa: SLF001
+    old = spark.read.parquet(path) if there else None
+    gone = 0 if old is None else (old if program_id is None else old.where(F.col("program_id") == program_id)).count()
+    new = persist_shared(staging_to_final(scoped(staging, program_id, limit), courses), "links")
+    counts = [("deleted", gone), ("inserted", new.count())]
+    if not dry_run:
+        if program_id is None:
+            new.repartition("program_id").write.mode("overwrite").partitionBy("program_id").parquet(path)
+        elif counts[1][1]:
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("program_id").parquet(path)
+        elif gone:
+            own = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/program_id={program_id}")  # noqa: SLF001
+            own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)  # noqa: SLF001
+    return spark.createDataFrame(counts, "action string, n long")
+
+
 def flatten_documents(items: DataFrame) -> DataFrame:
     """One row per item and document address, from documents (url, label), file_urls and files (url, path, checksum, status).
 

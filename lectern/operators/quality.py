@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.values import renormalised_score, weighted_score
-from lectern.operators.relational import orphans
+from lectern.operators.relational import orphans, present
 
 #: Weights of the total score, and of the component scores.
 TOTAL = {
@@ -136,3 +136,100 @@ def coverage(expected: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
     e, p = expected.select(key).distinct().withColumn("_e", F.lit(1)), parsed.select(key).distinct().withColumn("_p", F.lit(1))
     x = e.join(p, key, "full")
     return x.agg(F.count("_e").alias("expected"), F.count("_p").alias("parsed"), F.count(F.when(F.col("_p").isNull(), 1)).alias("missing"), F.count(F.when(F.col("_e").isNull(), 1)).alias("unexpected"), F.try_divide(F.count(F.when(F.col("_e").isNotNull() & F.col("_p").isNotNull(), 1)), F.count("_e")).alias("coverage"))
+
+
+#: What counts as valid, and the fields whose completeness counts.
+LEVELS, DOC_TYPES, COURSE_TYPES = ("Bachelor", "Master", "Doctorate"), ("study_plan", "regulation", "brochure", "other"), ("Mandatory", "Elective")
+PARSED = ("ok", "parsed", "downloaded", "already_present", "success")
+UNKNOWN_FACULTY = 100
+
+
+def _repeated(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """One row, ``again``: whether any key occurs twice."""
+    return df.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("n")).agg(F.coalesce(F.max(F.col("n") > 1), F.lit(False)).alias("again"))
+
+
+def _rows(one: DataFrame, component: str, measures: dict[str, Column], factor: Column | None = None) -> DataFrame:
+    weights = COMPONENTS[component]
+    entries = [F.struct(F.lit(m).alias("measure"), c.cast("double").alias("value"), F.lit(weights[m]).alias("weight")) for m, c in measures.items()]
+    return one.select(F.explode(F.array(*entries)).alias("r"), (F.lit(1.0) if factor is None else factor).alias("factor")).select(F.lit(component).alias("component"), "r.*", "factor")
+
+
+def component_measures(t: dict[str, DataFrame]) -> DataFrame:
+    """(component, measure, value, weight, factor) of the catalogue's tables, one pass over each; shares of nothing are null.
+
+    ``factor`` lowers a component as a whole: a programme table with repeated (name, level, credits) loses a fifth.
+    """
+    n = lambda c: F.count(F.when(c, 1))
+    share = lambda a, b: F.try_divide(F.col(a) if isinstance(a, str) else a, F.col(b))
+    mean = lambda *cs: sum(cs[1:], cs[0]) / len(cs)
+    codes = lambda name: t[name].select("code").distinct()
+    p, d, s, c, course = (t[k] for k in ("studyprogram", "programdocument", "programcoursestaging", "consist_of", "course"))
+    with_docs, with_courses = (x.select("program_id").where("program_id is not null").distinct() for x in (d, c))
+    marked = p.join(with_docs.withColumn("_d", F.lit(1)), "program_id", "left").join(with_courses.withColumn("_c", F.lit(1)), "program_id", "left")
+    filled = {k: present(p, k) for k in ("name", "degree_level", "total_ects", "faculty_id")}
+    programmes = marked.agg(
+        F.count("*").alias("total"), *[n(v).alias(f"f_{k}") for k, v in filled.items()], n(~F.col("degree_level").isin(*LEVELS)).alias("bad_level"), n(F.coalesce(F.col("total_ects").between(0.000001, 300), F.lit(False))).alias("good_ects"),
+        n(F.col("faculty_id") == UNKNOWN_FACULTY).alias("unknown"), F.count("_d").alias("docs"), F.count("_c").alias("courses"),
+    ).join(_repeated(p, [F.lower("name"), F.col("degree_level"), F.col("total_ects")]), F.lit(True))
+    out = [_rows(programmes, "studyprogram_quality", {
+        "completeness": mean(*[share(f"f_{k}", "total") for k in filled]), "valid_degree": share(F.col("total") - F.col("bad_level"), "total"), "valid_ects": share("good_ects", "total"),
+        "known_faculty": share(F.col("total") - F.col("unknown"), "total"), "with_documents": share("docs", "total"), "with_courses": share("courses", "total"),
+    }, F.when(F.col("again"), DUPLICATE_PENALTY).otherwise(1.0))]
+    filled = {k: present(d, k) for k in ("program_id", "url", "doc_type")}
+    parsed = F.lower("parse_status").isin(*PARSED) | F.col("parse_status").isNull() if "parse_status" in d.columns else F.lit(True)
+    documents = d.agg(
+        F.count("*").alias("total"), *[n(v).alias(f"f_{k}") for k, v in filled.items()], n(F.col("doc_type").isin(*DOC_TYPES)).alias("typed"), n(parsed).alias("parsed"), F.countDistinct("program_id").alias("owners"),
+        F.countDistinct(F.when(filled["url"], F.col("url"))).alias("urls"),
+    ).join(p.agg(F.count("*").alias("programmes")), F.lit(True)).join(_repeated(d, [F.col("program_id"), F.col("url"), F.col("doc_type")]), F.lit(True))
+    once = F.when(F.col("again"), 0.0).otherwise(1.0)
+    out.append(_rows(documents, "document_quality", {
+        "completeness": mean(*[share(f"f_{k}", "total") for k in filled]), "valid_types": share("typed", "total"), "parsed": share("parsed", "total"), "programs_with_documents": share("owners", "programmes"),
+        "unique_urls": share("urls", "total"), "no_duplicates": once,
+    }))
+    coded = s.withColumn("_code", F.nullif(F.trim("extracted_code"), F.lit(""))).join(course.select(F.col("code").alias("_code"), F.lit(1).alias("_known")).distinct(), "_code", "left")
+    staged = coded.agg(F.count("*").alias("total"), *[n(present(s, k)).alias(k) for k in ("raw_text", "source_doc_id", "extracted_title", "inferred_type")], F.count("_code").alias("coded"), F.count("_known").alias("known"))
+    out.append(_rows(staged, "parser_import_quality", {
+        "raw_text": share("raw_text", "total"), "source_doc": share("source_doc_id", "total"), "code": share("coded", "total"), "valid_code": share("known", "coded"), "title": share("extracted_title", "total"), "inferred_type": share("inferred_type", "total"),
+    }))
+    links = c.agg(F.count("*").alias("total"), n(F.col("course_type").isin(*COURSE_TYPES)).alias("typed"), n(present(c, "course_name")).alias("named"), F.countDistinct("program_id").alias("owners"))
+    links = links.join(p.agg(F.count("*").alias("programmes")), F.lit(True)).join(_repeated(c, [F.col("program_id"), F.col("code")]), F.lit(True))
+    out.append(_rows(links, "final_program_course_quality", {"valid_types": share("typed", "total"), "course_name": share("named", "total"), "programs_with_links": share("owners", "programmes"), "no_duplicates": once}))
+    taught = course.join(codes("courseoffering").withColumn("_o", F.lit(1)), "code", "left").join(codes("teaches").withColumn("_t", F.lit(1)), "code", "left")
+    catalogue = taught.agg(F.count("*").alias("total"), n(present(course, "name")).alias("named"), n(F.col("ects").between(0, 60)).alias("plausible"), F.count("_o").alias("offered"), F.count("_t").alias("taught"))
+    out.append(_rows(catalogue, "course_catalogue_quality", {"name": share("named", "total"), "plausible_ects": share("plausible", "total"), "with_offering": share("offered", "total"), "with_teacher": share("taught", "total")}))
+    return reduce(DataFrame.unionByName, out)
+
+
+def component_scores(measures: DataFrame) -> DataFrame:
+    """(component, score): weighted sums of the measures, a missing one as 0, between 0 and 1."""
+    clamped = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    value = F.coalesce(F.col("value"), F.lit(0.0)) * F.col("weight")
+    return measures.groupBy("component").agg(clamped(F.sum(value) * F.min("factor")).alias("score"))
+
+
+#: Match types that count as matched.
+MATCHED = ("matched", "matched_by_doc", "matched_by_id", "fuzzy", "exact")
+
+
+def stage_summary(records: DataFrame) -> DataFrame:
+    """One row of each stage with its measures: records, keys, addresses, documents, shared documents, matches and their rates.
+
+    ``records``: stage, key (of a programme), urls (list), curriculum_url, match_type.
+    """
+    urls = F.coalesce("urls", F.array().cast("array<string>"))
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    n = lambda c: F.count(F.when(c, 1))
+    one = records.groupBy("stage").agg(
+        F.count("*").alias("records"), F.countDistinct("key").alias("keys"), n(F.length(F.trim("curriculum_url")) > 0).alias("with_curriculum_url"), n(F.size(urls) > 0).alias("with_documents"), F.sum(F.size(urls)).alias("document_refs"),
+        n(F.col("match_type").isin(*MATCHED)).alias("matched"), n(F.col("match_type") == "unmatched").alias("unmatched"),
+    )
+    per_url = records.select("stage", "key", F.explode(urls).alias("url")).groupBy("stage", "url").agg(F.countDistinct("key").alias("owners"))
+    shared = per_url.groupBy("stage").agg(F.count("*").alias("unique_urls"), n(F.col("owners") > 1).alias("shared_urls"), n(F.col("owners") > 3).alias("suspicious_urls"))
+    x = one.join(shared, "stage", "left").na.fill(0, ["unique_urls", "shared_urls", "suspicious_urls"])
+    c = F.col
+    return x.withColumns({
+        "duplicate_records": c("records") - c("keys"), "duplicate_rate": rate(c("records") - c("keys"), c("records")), "curriculum_url_coverage": rate(c("with_curriculum_url"), c("records")), "document_coverage": rate(c("with_documents"), c("records")),
+        "duplicate_refs": c("document_refs") - c("unique_urls"), "duplicate_ref_rate": rate(c("document_refs") - c("unique_urls"), c("document_refs")), "refs_per_record": rate(c("document_refs"), c("records")),
+        "match_rate": F.round(F.try_divide(c("matched"), c("matched") + c("unmatched")), 6),
+    })

@@ -116,6 +116,16 @@ def program_type(ects: Column, level: Column) -> Column:
     return F.when(ects < 90, "minor").otherwise(F.when(ects.isNotNull(), by_level))
 
 
+#: How a doctorate's level is written.
+DOCTORATES = ("d", "do", "phd", "doctorate", "doctorat")
+
+
+def without_doctorates(df: DataFrame, level: str) -> tuple[DataFrame, DataFrame]:
+    """(other programmes, doctorates); a programme without a level is none of the latter."""
+    is_one = F.coalesce(F.lower(F.trim(level)).isin(*DOCTORATES), F.lit(False))
+    return df.where(~is_one), df.where(is_one)
+
+
 def semester_label(kind: Column, year: Column) -> Column:
     """HS or FS (nothing for other kinds) and the year."""
     return F.concat(F.when(kind == "Autumn", "HS ").when(kind == "Spring", "FS ").otherwise(""), year.cast("string"))
@@ -261,6 +271,11 @@ def shared_resources(df: DataFrame, resource: str, owner: str, suspicious: int =
     return df.groupBy(resource).agg(n.alias("owners")).withColumn("kind", kind)
 
 
+def url_references(df: DataFrame, url: str, owner: str, top: int = 25) -> DataFrame:
+    """The ``top`` addresses that are referred to more than once: references and distinct owners."""
+    return df.groupBy(url).agg(F.count("*").alias("refs"), F.countDistinct(owner).alias("owners")).where("refs > 1").orderBy(F.desc("refs"), url).limit(top)
+
+
 def with_deltas(df: DataFrame, order: list[str], measures: list[str], partition: list[str] | None = None) -> DataFrame:
     """Every measure's change from the row before; null in the first row."""
     w = (Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))).orderBy(*order)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -99,6 +99,23 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", digi
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_stored(spark: SparkSession, path: str, query: list[float], k: int, digits: int = 9) -> DataFrame:
+    """As ``knn`` by l2 for one query over vectors that ``write_vectors`` put in buckets; only buckets that may matter are read.
+
+    A bucket tells the signs of the first places. The query's own bucket gives a distance that the ``k`` nearest can't
+    exceed; a bucket of other signs holds nothing nearer than the query's distance from that side, so the rest is exact.
+    """
+    store = spark.read.parquet(path)
+    one = spark.createDataFrame([(-1, query)], "vec_id long, embedding array<double>")
+    bits = [r.bucket for r in store.select("bucket").distinct().collect()]  # folder names
+    own = sum(2**i for i, x in enumerate(query[: max(1, max(bits, default=0).bit_length())]) if x > 0)
+    first = knn(one, store.where(F.col("bucket") == own), k, "l2", digits)
+    n, far = first.agg(F.count("*"), F.max("distance")).first()
+    reach = far + 10.0**-digits if n == k else float("inf")
+    apart = lambda b: sum(x * x for i, x in enumerate(query) if (b ^ own) >> i & 1) ** 0.5
+    return knn(one, store.where(F.col("bucket").isin([b for b in bits if apart(b) <= reach])), k, "l2", digits)
+
+
 def metadata_filter(docs: DataFrame, program: str | None = None, degree: str | None = None, ects: float | None = None) -> DataFrame:
     """Chunks of a programme; degree and credits also let chunks pass that don't state them."""
     out = docs

@@ -43,6 +43,11 @@ _CONSIST = {
     "course_name": "CASE WHEN line % 3 <> 0 THEN concat('Module ', line) END", "course_type": "CASE WHEN flag = 'A' THEN 'Mandatory' ELSE 'Elective' END",
     "description": "CASE line % 5 WHEN 1 THEN '1. Studienjahr' WHEN 2 THEN '2. Studienjahr' WHEN 3 THEN ' ' WHEN 4 THEN '3. Studienjahr' END", "ordinal": "place * 100000000 + l_partkey",
 }
+_STAGED = {
+    "staging_id": "ordinal", "program_id": "program_id", "source_doc_id": "CASE WHEN ordinal % 5 <> 0 THEN program_id END", "page_no": "CAST(ordinal % 9 AS INT)", "section": "description", "raw_text": "concat('| ', code, ' |')",
+    "extracted_code": "CASE WHEN ordinal % 7 <> 0 THEN concat(' ', code, CASE WHEN ordinal % 11 = 0 THEN 'X' ELSE '' END) END", "extracted_title": "course_name", "reference_type": "CASE WHEN ordinal % 13 = 0 THEN 'module' ELSE 'course' END",
+    "inferred_type": "CASE WHEN ordinal % 3 <> 0 THEN course_type END", "module": "CAST(NULL AS VARCHAR(10))",
+}
 _OFFERING = {
     "offering_id": "l_partkey * 1000 + (year - 1990) * 2 + half", "code": "concat('UE-EC.', 10000000 + l_partkey)", "sem_id": "concat(CASE WHEN half = 1 THEN 'HS-' ELSE 'FS-' END, year)", "offering_type": "'Weekly'",
     "day_time_info": _case("l_partkey % 5", _TIMES), "link_course_catalogue": "CASE WHEN (l_partkey + year) % 3 <> 0 THEN concat('https://x.example/', l_partkey, '/', year, '/', half) END",
@@ -64,6 +69,7 @@ def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     sold = line.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     held = sold.groupBy("o_custkey", "l_partkey").agg(F.min("l_linenumber").alias("line"), F.min("l_returnflag").alias("flag"), F.min(place).alias("place"))
     t["consist_of"] = held.selectExpr("o_custkey AS program_id", "concat('UE-EC.', 10000000 + l_partkey) AS code", *_select(_CONSIST))
+    t["programcoursestaging"] = t["consist_of"].selectExpr(*_select(_STAGED)).withColumn("fetched_at", F.lit(None).cast("timestamp"))
     halves = line.select("l_partkey", F.year("l_shipdate").cast("long").alias("year"), (F.month("l_shipdate") >= 7).cast("int").alias("half")).distinct()
     t["courseoffering"] = halves.selectExpr(*_select(_OFFERING))
     t["semester"] = halves.select("year", "half").distinct().selectExpr(*_select(_SEMESTER))
@@ -86,6 +92,7 @@ SQL = "WITH " + ",\n".join([
     *[_cte(n, f"SELECT {', '.join(_select(c))} FROM {_SOURCES[n]}") for n, c in _EXPRESSIONS.items() if n != "programdocument"],
     _cte("programdocument", f"SELECT * EXCLUDE (fetched_day), TIMESTAMP '2025-01-01' + to_days(CAST(fetched_day AS INT)) AS fetched_at FROM (SELECT {', '.join(_select(_EXPRESSIONS['programdocument']))} FROM documents)"),
     _cte("consist_of", f"SELECT o_custkey AS program_id, concat('UE-EC.', 10000000 + l_partkey) AS code, {', '.join(_select(_CONSIST))} FROM (SELECT o_custkey, l_partkey, min(l_linenumber) AS line, min(l_returnflag) AS flag, min(l_orderkey * 8 + l_linenumber) AS place FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey)"),
+    _cte("programcoursestaging", f"SELECT {', '.join(_select(_STAGED))} FROM consist_of"),
     _cte("halves", "SELECT DISTINCT l_partkey, year(l_shipdate) AS year, CASE WHEN month(l_shipdate) >= 7 THEN 1 ELSE 0 END AS half FROM lineitem"),
     _cte("courseoffering", f"SELECT {', '.join(_select(_OFFERING))} FROM halves"),
     _cte("semester", f"SELECT {', '.join(_select(_SEMESTER))} FROM (SELECT DISTINCT year, half FROM halves)"),

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators import etl, quality
+from lectern.operators import relational as R
 from lectern.plans import api, ask
 from lectern.plans.derived import SQL, tables
 from lectern.session import table
@@ -213,3 +215,87 @@ def api_retrieve(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     first = c.groupBy(F.col("conv_id").alias("id")).agg(F.min_by("text", "turn").alias("text"))
     return ask.retrieve(first, chunks).select("id", "rank", "chunk_id", "score")
+
+
+# ---- loads and quality of the same tables ----
+
+_SHARE = "count(*) FILTER (WHERE {0}) / count(*)::DOUBLE"
+
+
+def _sums(parts: list[tuple[float, str]]) -> str:
+    return " + ".join(f"{w} * COALESCE({x}, 0)" for w, x in parts)
+
+
+def _share(condition: str) -> str:
+    return f"count(*) FILTER (WHERE {condition}) / nullif(count(*), 0)::DOUBLE"
+
+
+_FULL = "({} IS NOT NULL AND trim({}) <> '')"
+_PROGRAMMES = _sums([
+    (0.35, f"(({_share(_FULL.format('name', 'name'))}) + ({_share(_FULL.format('degree_level', 'degree_level'))}) + ({_share('total_ects IS NOT NULL')}) + ({_share('faculty_id IS NOT NULL')})) / 4"), (0.15, _share("degree_level IS NULL OR degree_level IN ('Bachelor', 'Master', 'Doctorate')")),
+    (0.15, _share("total_ects > 0 AND total_ects <= 300")), (0.10, _share("faculty_id IS NULL OR faculty_id <> 100")), (0.15, _share("program_id IN (SELECT program_id FROM programdocument)")), (0.10, _share("program_id IN (SELECT program_id FROM consist_of)")),
+])
+_DOCS = _sums([
+    (0.30, f"(({_share('program_id IS NOT NULL')}) + ({_share(_FULL.format('url', 'url'))}) + ({_share(_FULL.format('doc_type', 'doc_type'))})) / 3"), (0.15, _share("doc_type IN ('study_plan', 'regulation', 'brochure', 'other')")), (0.20, "1.0"),
+    (0.15, "count(DISTINCT program_id) / (SELECT count(*) FROM studyprogram)::DOUBLE"), (0.10, "count(DISTINCT url) / count(*)::DOUBLE"), (0.10, "(SELECT CASE WHEN count(*) = 0 THEN 1.0 ELSE 0.0 END FROM (SELECT program_id, url, doc_type FROM programdocument GROUP BY ALL HAVING count(*) > 1))"),
+])
+_KNOWN = "trim(extracted_code) IN (SELECT code FROM course)"
+_STAGING = _sums([
+    (0.20, _share(_FULL.format("raw_text", "raw_text"))), (0.20, _share("source_doc_id IS NOT NULL")), (0.25, _share(_FULL.format("extracted_code", "extracted_code"))),
+    (0.20, f"count(*) FILTER (WHERE {_KNOWN}) / nullif(count(*) FILTER (WHERE {_FULL.format('extracted_code', 'extracted_code')}), 0)::DOUBLE"), (0.10, _share(_FULL.format("extracted_title", "extracted_title"))), (0.05, _share(_FULL.format("inferred_type", "inferred_type"))),
+])
+_LINKED = _sums([
+    (0.25, _share("course_type IN ('Mandatory', 'Elective')")), (0.15, _share(_FULL.format("course_name", "course_name"))), (0.40, "count(DISTINCT program_id) / (SELECT count(*) FROM studyprogram)::DOUBLE"),
+    (0.20, "(SELECT CASE WHEN count(*) = 0 THEN 1.0 ELSE 0.0 END FROM (SELECT program_id, code FROM consist_of GROUP BY ALL HAVING count(*) > 1))"),
+])
+_CATALOGUE = _sums([(0.35, _share(_FULL.format("name", "name"))), (0.25, _share("ects BETWEEN 0 AND 60")), (0.25, _share("code IN (SELECT code FROM courseoffering)")), (0.15, _share("code IN (SELECT code FROM teaches)"))])
+_ALL = {"studyprogram_quality": (_PROGRAMMES, "studyprogram"), "document_quality": (_DOCS, "programdocument"), "parser_import_quality": (_STAGING, "programcoursestaging"), "final_program_course_quality": (_LINKED, "consist_of"), "course_catalogue_quality": (_CATALOGUE, "course")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS component, round(greatest(0, least(1, {e})), 6) AS score FROM {t}" for c, (e, t) in _ALL.items()))
+def component_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the catalogue's five components, from their measures."""
+    return quality.component_scores(quality.component_measures(tables(spark, d))).select("component", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT l.staging_id, l.program_id, c.code AS code, COALESCE(NULLIF(trim(l.extracted_title), ''), c.name) AS course_name, l.section AS description FROM programcoursestaging l JOIN course c ON c.code = trim(l.extracted_code) WHERE reference_type = 'course' AND trim(extracted_code) <> ''
+QUALIFY row_number() OVER (PARTITION BY l.program_id, c.code ORDER BY l.staging_id DESC) = 1""".replace("SELECT l.staging_id, l.program_id", "SELECT l.program_id"))
+def staging_to_final(spark: SparkSession, d: str) -> DataFrame:
+    """Staged references to final links."""
+    t = tables(spark, d)
+    return etl.staging_to_final(t["programcoursestaging"], t["course"].withColumn("alternative_code", F.lit(None).cast("string"))).select("program_id", "code", "course_name", "description")
+
+
+@query("""SELECT CASE WHEN level IN ('d', 'do', 'phd', 'doctorate', 'doctorat') THEN 'doctorate' ELSE 'other' END AS part, count(*) AS n FROM (SELECT lower(trim(CASE WHEN program_id % 7 = 0 THEN NULL ELSE degree_level END)) AS level FROM studyprogram) GROUP BY 1""")
+def without_doctorates(spark: SparkSession, d: str) -> DataFrame:
+    """Programmes parted into doctorates and others."""
+    p = tables(spark, d)["studyprogram"].withColumn("level", F.when(F.col("program_id") % 7 != 0, F.concat(F.lit(" "), F.upper("degree_level"))))
+    others, doctorates = R.without_doctorates(p, "level")
+    return others.agg(F.count("*").alias("n")).select(F.lit("other").alias("part"), "n").unionByName(doctorates.agg(F.count("*").alias("n")).select(F.lit("doctorate").alias("part"), "n"))
+
+
+@query("""SELECT url, count(*) AS refs, count(DISTINCT program_id) AS owners FROM (SELECT program_id, 'u' || program_id % 40 AS url FROM consist_of) GROUP BY url HAVING count(*) > 1 ORDER BY refs DESC, url LIMIT 25""")
+def url_references(spark: SparkSession, d: str) -> DataFrame:
+    """The addresses with most references, and their distinct owners."""
+    x = tables(spark, d)["consist_of"].select("program_id", F.concat(F.lit("u"), (F.col("program_id") % 40).cast("string")).alias("url"))
+    return R.url_references(x, "url", "program_id")
+
+
+_STAGES = """r AS (SELECT 'a' AS stage, degree_level || faculty_id || total_ects AS key, CASE WHEN program_id % 4 = 0 THEN [] ELSE ['d' || program_id % 90, 'd' || program_id % 17] END AS urls, CASE WHEN program_id % 3 <> 0 THEN 'c' END AS curriculum_url, CASE program_id % 5 WHEN 0 THEN 'unmatched' WHEN 1 THEN NULL ELSE 'fuzzy' END AS match_type FROM studyprogram
+UNION ALL SELECT 'b', degree_level || faculty_id || total_ects, ['e' || program_id], ' ', 'exact' FROM studyprogram WHERE program_id % 2 = 0),
+u AS (SELECT stage, url, count(DISTINCT key) AS owners FROM (SELECT stage, key, unnest(urls) AS url FROM r) GROUP BY ALL)"""
+
+
+@query(f""", {_STAGES}, s AS (SELECT stage, count(*) AS unique_urls, count(*) FILTER (WHERE owners > 1) AS shared_urls, count(*) FILTER (WHERE owners > 3) AS suspicious_urls FROM u GROUP BY stage),
+o AS (SELECT stage, count(*) AS records, count(DISTINCT key) AS keys, count(*) FILTER (WHERE length(trim(curriculum_url)) > 0) AS with_curriculum_url, count(*) FILTER (WHERE len(urls) > 0) AS with_documents, CAST(sum(len(urls)) AS BIGINT) AS document_refs,
+ count(*) FILTER (WHERE match_type IN ('fuzzy', 'exact')) AS matched, count(*) FILTER (WHERE match_type = 'unmatched') AS unmatched FROM r GROUP BY stage)
+SELECT o.*, unique_urls, shared_urls, suspicious_urls, records - keys AS duplicate_records, round((records - keys) / records::DOUBLE, 6) AS duplicate_rate, round(with_curriculum_url / records::DOUBLE, 6) AS curriculum_url_coverage, round(with_documents / records::DOUBLE, 6) AS document_coverage,
+ document_refs - unique_urls AS duplicate_refs, round((document_refs - unique_urls) / document_refs::DOUBLE, 6) AS duplicate_ref_rate, round(document_refs / records::DOUBLE, 6) AS refs_per_record, round(matched / (matched + unmatched)::DOUBLE, 6) AS match_rate FROM o JOIN s USING (stage)""")
+def stage_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of two stages of one list of programmes."""
+    p = tables(spark, d)["studyprogram"]
+    k, id_ = F.col("program_id"), lambda n: F.concat(F.lit("d"), (F.col("program_id") % n).cast("string"))
+    key = F.concat("degree_level", "faculty_id", "total_ects").alias("key")
+    a = p.select(F.lit("a").alias("stage"), key, F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(id_(90), id_(17))).alias("urls"), F.when(k % 3 != 0, "c").alias("curriculum_url"), F.when(k % 5 == 0, "unmatched").when(k % 5 != 1, "fuzzy").alias("match_type"))
+    b = p.where(k % 2 == 0).select(F.lit("b").alias("stage"), key, F.array(F.concat(F.lit("e"), k.cast("string"))).alias("urls"), F.lit(" ").alias("curriculum_url"), F.lit("exact").alias("match_type"))
+    return quality.stage_summary(a.unionByName(b))

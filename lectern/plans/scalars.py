@@ -415,6 +415,20 @@ def carried_headings(spark: SparkSession, d: str) -> DataFrame:
     return D.carry_headings(docs, "doc_id", "line_no", "line").where("heading is not null").select("doc_id", "line_no", F.sha2(F.col("heading").cast("binary"), 256).alias("heading"))
 
 
+_NESTED = "'# Part ' || doc_id || chr(10) || 'intro' || chr(10) || '## A' || chr(10) || 'a' || chr(10) || '### B' || chr(10) || 'b' || chr(10) || '## C' || chr(10) || text"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split({_NESTED}, chr(10)) AS ls FROM documents)),
+m AS (SELECT *, length(regexp_extract(line, '^(#{{1,6}})\\s+\\S', 1)) AS depth, regexp_replace(line, '^#{{1,6}}\\s+', '') AS title FROM l)
+SELECT m.doc_id, CAST(m.line_no AS INTEGER) AS line_no, sha256(COALESCE(string_agg(h.title, ' > ' ORDER BY h.line_no), '')) AS path FROM m LEFT JOIN m h ON h.doc_id = m.doc_id AND h.depth > 0 AND h.line_no <= m.line_no
+ AND NOT EXISTS (SELECT 1 FROM m x WHERE x.doc_id = m.doc_id AND x.depth > 0 AND x.depth <= h.depth AND x.line_no > h.line_no AND x.line_no <= m.line_no) GROUP BY ALL""")
+def heading_stack(spark: SparkSession, d: str) -> DataFrame:
+    """The open headings above every line, as a hash."""
+    head = F.concat(F.lit("# Part "), F.col("doc_id").cast("string"), F.lit("\nintro\n## A\na\n### B\nb\n## C\n"), "text")
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(head, "\n")).alias("line_no", "line"))
+    return D.heading_stack(docs, "doc_id", "line_no", "line").select("doc_id", "line_no", F.sha2(F.array_join("path", " > ").cast("binary"), 256).alias("path"))
+
+
 @query("""WITH c AS (SELECT doc_id, chunk_no, substr(text, CAST(chunk_no * 1050 + 1 AS BIGINT), 1200) AS text FROM (SELECT doc_id, text, unnest(range(0, 1 + CAST(greatest(0, ceil((length(text) - 1200) / 1050.0)) AS BIGINT))) AS chunk_no FROM documents WHERE length(text) > 0)),
 t AS (SELECT *, trim(right(lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_no), 180), ' ') AS tail FROM c)
 SELECT CAST(doc_id AS VARCHAR) AS doc_key, CAST(chunk_no AS INTEGER) AS chunk_no, sha256(CASE WHEN COALESCE(tail, '') <> '' THEN tail || chr(10) || chr(10) || text ELSE text END) AS digest FROM t""")

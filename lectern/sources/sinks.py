@@ -16,6 +16,15 @@ def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_evaluation(rows: DataFrame, path: str, measures: list[str], fields: list[str], by: list[str] | None = None) -> None:
+    """Two sheets as CSV: ``rows`` with every row, ``summary`` with each measure's mean, median and count."""
+    from lectern.operators.quality import evaluation_summary
+
+    write_csv(rows, f"{path}/rows", fields)
+    summary = evaluation_summary(rows, measures, by)
+    write_csv(summary, f"{path}/summary", summary.columns)
+
+
 def overwrite_partitions(df: DataFrame, path: str, by: str) -> None:
     """Replace only the partitions that ``df`` has rows of."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
