@@ -323,7 +323,7 @@ FACULTY_NAMES = [
 def faculty_key(c: Column) -> Column:
     """The key itself, or the key of the faculty whose name a text holds; null if none."""
     upper = F.upper(F.trim(c))
-    return F.when(upper.isin("SCIMED", "SES", "LAW", "PHILO", "THEO", "EDUFORM", "INTERFACULTY"), upper).otherwise(_first(FACULTY_NAMES, subject_name(c)))
+    return F.when(upper.isin("SCIMED", "SES", "LAW", "PHILO", "THEO", "EDUFORM", "INTERFACULTY"), upper).otherwise(F.get(F.transform(F.array(subject_name(c)), lambda x: _first(FACULTY_NAMES, x)), 0))  # the name is formed once
 
 
 def study_year(c: Column) -> Column:

@@ -194,6 +194,16 @@ def scalar_inference(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_SUBJECTS = ["Volkswirtschaftslehre", "Sciences économiques & Chimie", "law", "Faculty of Law", "Humanmedizin / SCIMED", "Fakultät für Erziehungs- und Bildungswissenschaften", "ses", None]
+
+
+@query(f"""SELECT p_partkey, {_pick("p_partkey", ["economics", "economics and chemistry", "law", "faculty of law", "human medicine scimed", "fakultat fur erziehungs und bildungswissenschaften", "ses", ""])} AS subject, {_pick("p_partkey", [None, None, "LAW", "LAW", "SCIMED", "EDUFORM", "SES", None])} AS faculty FROM part""")
+def scalar_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects by their English names, and keys of the faculties that a text names."""
+    t = _text("p_partkey", _SUBJECTS)
+    return table(spark, d, "part").select("p_partkey", T.subject_name(t).alias("subject"), T.faculty_key(t).alias("faculty"))
+
+
 _COURSES = ["Pflichtmodul Statistik", "Wahlpflicht, 6 ECTS\nnur Text", "nicht obligatorisch, au choix", "Grundlagen", "# Titel\nArt. 5 and § 3a\n## More\n12 ECTS, 3 crédits EC.12345"]
 
 
@@ -449,6 +459,98 @@ def mentioned_courses(spark: SparkSession, d: str) -> DataFrame:
     return planning.mentioned(q, table(spark, d, "part").select(F.concat(F.lit("C"), p).alias("code"), name.alias("name")))
 
 
+# ---- documents, retrieval and timetables ----
+
+
+@query("""SELECT p_partkey, '{"id": ' || p_partkey || '}' AS header, 'Body ' || p_name AS body, 'a: ' || p_partkey || '; column_2: x | a: 7' AS rows, CASE p_partkey % 3 WHEN 0 THEN 'SES' WHEN 1 THEN 'LAW' END AS tree_key, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE p_brand END AS title,
+ p_partkey % 4 = 0 AS relevant, p_partkey % 4 <> 3 AS content_link, p_partkey % 4 = 0 AS page_address FROM part""")
+def document_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Headers and bodies of texts, rows of Markdown tables, keys of tree texts, titles, and which links matter."""
+    k, id_ = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    whole = F.concat(F.lit("---METADATA_JSON---\n"), F.lit('{"id": '), id_, F.lit("}\n---/METADATA_JSON---\n\nBody "), "p_name")
+    both = D.split_header(whole)
+    grid = F.concat(F.lit("| a |  |\n|---|---|\n| "), id_, F.lit(" | x |\n|  | |\n| 7 | |"))
+    tree = F.when(k % 3 == 0, "Root / Management and SES / x").when(k % 3 == 1, "Root / Faculty of Droit").otherwise("Root")
+    x = table(spark, d, "part").withColumn("tree", tree)
+    titles = F.array(F.lit("home"), F.lit(" "), F.col("p_brand"), F.when(k % 2 == 0, "A").otherwise("Home"))
+    label = _text("p_partkey", ["Study plan", "Agenda", "Contact", "Plan"])
+    url = F.concat(F.lit("https://www.x.example/studies/"), F.element_at(F.array(F.lit("a"), F.lit("a.pdf"), F.lit("contact.zip"), F.lit("a#b")), (k % 4 + 1).cast("int")))
+    other = F.when(k % 4 == 0, url).when(k % 4 == 1, url).when(k % 4 == 2, F.lit("https://other.example/a")).otherwise(F.lit("https://x.example/a.docx"))
+    content = F.when(k % 4 == 1, F.lit("Plan B")).otherwise(label)
+    return x.select(
+        "p_partkey", both["header"].alias("header"), both["body"].alias("body"), F.array_join(D.markdown_rows(grid), " | ").alias("rows"), matching.tree_lookup(x, "tree", [("SES", "management"), ("LAW", "droit")]).alias("tree_key"), html.best_title(titles, ["home"]).alias("title"),
+        html.is_relevant(label, url, ["plan"], ["contact"], ["/studies/a"]).__and__(~url.contains("#")).alias("relevant"), html.is_content_link(content, url).alias("content_link"), html.is_page_address(other, "x.example").__and__(~other.contains("pdf")).alias("page_address"),
+    )
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Weekly' WHEN 1 THEN 'Block' WHEN 2 THEN 'Block' ELSE 'Weekly' END AS kind,
+ CASE o_orderkey % 4 WHEN 0 THEN 'Monday 08:15 - 10:00; Tuesday 10:15 - 12:00' WHEN 1 THEN 'seminar, 28 hours total' WHEN 2 THEN 'seminar, 28 hours total' ELSE 'Wednesday 08:15 - 10:00 (Kurs)' END AS info FROM orders""")
+def offering_times(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds and weekly times of offerings, read from their texts and dates."""
+    k = F.col("o_orderkey")
+    times = _text("o_orderkey", ["wöchentlich Montag 8:15-10:00, mardi 10:15 – 12:00", "Blockkurs bloc", "", "weekly"])
+    one = F.struct(F.lit("25.03.2020").alias("date"), F.lit("08:15 - 10:00").alias("time"), F.lit("Kurs ").alias("unit_type"))
+    dates = F.when(k % 4 >= 2, F.array(one, one)).otherwise(F.array().cast("array<struct<date:string,time:string,unit_type:string>>"))
+    kind = etl.offering_type(times, dates)
+    return table(spark, d, "orders").select("o_orderkey", kind.alias("kind"), etl.day_time_info(kind, times, F.lit(" seminar "), F.lit("28 h"), dates).alias("info"))
+
+
+@query("""SELECT 'C' || o_orderkey AS code, CASE o_orderkey % 3 WHEN 0 THEN 'Monday' WHEN 1 THEN 'Friday' END AS day, CAST(CASE o_orderkey % 3 WHEN 0 THEN 495 WHEN 1 THEN 800 END AS DOUBLE) AS start, CAST(CASE o_orderkey % 3 WHEN 0 THEN 600 WHEN 1 THEN 900 END AS DOUBLE) AS end FROM orders
+UNION ALL SELECT 'C' || o_orderkey, 'Sunday', CAST(540 AS DOUBLE), CAST(600 AS DOUBLE) FROM orders WHERE o_orderkey % 3 = 0""")
+def timetable_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of offerings by their free text; one row of nulls where there is none."""
+    text = _text("o_orderkey", ["lundi 08:15-10:00; Sonntag 9:00 - 10:00", "Friday 13:20 - 15:00", None])
+    x = planning.timetable(table(spark, d, "orders").select(F.concat(F.lit("C"), F.col("o_orderkey").cast("string")).alias("code"), text.alias("day_time_info")))
+    return x.select("code", "day", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+
+
+@query("""SELECT CAST(o_custkey AS BIGINT) AS id, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'P') > 0 THEN count(*) FILTER (WHERE o_orderstatus = 'P') ELSE count(*) END AS n, max(CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE CAST(o_orderkey % 4 <= 1 AS INT) END) AS recall_1,
+ round(max(CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1.0 / (o_orderkey % 4) END), 6) AS best FROM orders GROUP BY o_custkey""")
+def filtered_or_all(spark: SparkSession, d: str) -> DataFrame:
+    """The matching rows of each key, or all of its rows where none matches; metrics of hand-noted ranks."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", "o_orderstatus")
+    n = S.filter_or_all(o, F.col("o_orderstatus") == "P", ["id"]).groupBy("id").agg(F.count("*").alias("n"))
+    k = F.col("o_orderkey") % 4
+    m = S.manual_rank_metrics(F.when(k > 0, F.array(F.lit(0), k.cast("int"), F.lit(9))).otherwise(F.array().cast("array<int>")))
+    ranks = o.groupBy("id").agg(F.max(m["recall_1"]).alias("recall_1"), F.round(F.max(m["reciprocal_rank"]), 6).alias("best"))
+    return n.join(ranks, "id")
+
+
+_CHUNKS = "SELECT doc_id, 'p' || doc_id % 20 AS program_key, CASE WHEN doc_id % 5 <> 0 THEN 'Law  Studies' ELSE 'Other' END AS program_name, CASE doc_id % 3 WHEN 0 THEN 'Bachelor' WHEN 1 THEN 'Master' END AS degree_level, CASE WHEN doc_id % 4 <> 0 THEN 90 + doc_id % 4 END AS total_ects, lang FROM documents"
+
+
+@query(f"WITH c AS ({_CHUNKS}) SELECT 'filter' AS what, CAST(doc_id AS VARCHAR) AS value FROM c WHERE program_name = 'Law  Studies' AND (degree_level IS NULL OR degree_level = 'Master') AND (total_ects IS NULL OR total_ects = 91) UNION ALL SELECT DISTINCT 'language', lower(left(lang, 2)) FROM c WHERE lang IS NOT NULL UNION ALL SELECT 'program', program_key || ':' || string_agg(DISTINCT program_name, ',' ORDER BY program_name) || ':' || COALESCE(max(degree_level), '') || ':' || COALESCE(CAST(max(total_ects) AS VARCHAR), '') || ':' || (SELECT string_agg(CAST(x.doc_id AS VARCHAR), ',' ORDER BY x.doc_id) FROM (SELECT doc_id, program_key, row_number() OVER (PARTITION BY program_key ORDER BY doc_id) AS n FROM c) x WHERE x.program_key = c.program_key AND x.n <= 3) FROM c GROUP BY program_key")
+def chunk_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by metadata that they state or leave open, the languages of a store, and what it says of every programme."""
+    k = F.col("doc_id")
+    c = table(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("p"), (k % 20).cast("string")).alias("program_key"), F.when(k % 5 != 0, "Law  Studies").otherwise("Other").alias("program_name"), F.when(k % 3 == 0, "Bachelor").when(k % 3 == 1, "Master").alias("degree_level"),
+        F.when(k % 4 != 0, 90 + k % 4).alias("total_ects"), F.col("lang").alias("language"), k.alias("chunk_id"), k.cast("string").alias("text"),
+    )
+    a = S.metadata_filter(c, "law studies", "Master", 91).select(F.lit("filter").alias("what"), F.col("doc_id").cast("string").alias("value"))
+    b = S.languages(c).select(F.lit("language").alias("what"), F.col("language").alias("value"))
+    said = F.concat_ws(":", "program_key", F.array_join("names", ","), F.coalesce("degree_level", F.lit("")), F.coalesce(F.col("total_ects").cast("string"), F.lit("")), F.array_join("samples", ","))
+    return a.unionByName(b).unionByName(S.program_catalog(c, 3).select(F.lit("program").alias("what"), said.alias("value")))
+
+
+@query("""WITH h AS (SELECT conv_id, turn + 1 AS rank, CASE WHEN turn % 2 = 0 THEN role END AS label, CASE WHEN turn % 3 = 0 THEN turn END AS page, text FROM conversations)
+SELECT conv_id, sha256(string_agg('[' || rank || '] ' || COALESCE(label, '?') || CASE WHEN page IS NOT NULL THEN ', p. ' || page ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS digest FROM h GROUP BY conv_id""")
+def numbered_context(spark: SparkSession, d: str) -> DataFrame:
+    """One text of each key's numbered sources, as a hash."""
+    t = F.col("turn")
+    h = table(spark, d, "conversations").select("conv_id", (t + 1).alias("rank"), F.when(t % 2 == 0, F.col("role")).alias("label"), F.when(t % 3 == 0, t).alias("page"), "text")
+    return S.context(h, ["conv_id"]).select("conv_id", F.sha2(F.col("context").cast("binary"), 256).alias("digest"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 4 END AS programme_index FROM part WHERE p_partkey % 4 < 3""")
+def patched_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents joined by hand-written rules with the programme of highest or lowest credits."""
+    programmes = spark.createDataFrame([(1, "Law", "B", 60), (2, "Law", "B", 180), (3, "Law", "M", 90), (4, "Art", "M", 30), (5, "Art", "M", 120)], "programme_index int, programme string, level string, ects_points int")
+    docs = table(spark, d, "part").select("p_partkey", _text("p_partkey", ["Plan Recht Bachelor", "Recht Nebenfach Plan", "Kunst", "nothing"]).alias("document_label"))
+    rules = [{"pattern": "nebenfach", "name": "Law", "level": "B", "pick": "lowest"}, {"pattern": "recht", "name": "LAW", "level": "B"}, {"pattern": "kunst", "name": "art", "level": "M", "pick": "lowest"}]
+    return etl.patch_by_rules(docs, programmes, rules).select("p_partkey", "programme_index")
+
+
 # ---- sources and sinks: what is written comes back ----
 
 
