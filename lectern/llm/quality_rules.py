@@ -16,10 +16,13 @@ ENDINGS = ".!?…\"'”»)]:;,"
 SENTENCE_END = "[.!?…] "
 #: Marks that part the entries of a menu.
 SEPARATORS = "|»›•·"
-#: Words of notices and controls; any of them makes a line boilerplate.
+#: Words of notices and controls in the corpus's four languages; any of them makes a line boilerplate.
 NOTICES = (
     "all rights reserved", "cookie policy", "we use cookies", "accept cookies", "privacy policy", "terms of use", "terms of service", "enable javascript",
     "click here", "sign up for", "subscribe to our", "log in to", "lorem ipsum", "powered by", "share this",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "nous utilisons des cookies", "accepter les cookies", "cliquez ici", "abonnez-vous", "partager cet article",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "wir verwenden cookies", "cookies akzeptieren", "hier klicken", "newsletter abonnieren", "diesen artikel teilen",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "términos de uso", "utilizamos cookies", "aceptar cookies", "haga clic aquí", "suscríbete a", "compartir este artículo",
 )
 MIN_WORDS = 20
 #: Words of one window for repeats, and the share (in percent) of repeated words that a text may have.
@@ -134,7 +137,7 @@ cov AS (SELECT r, count(DISTINCT p + k) AS n FROM rep, (SELECT unnest(range(0, {
 l AS (SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE ltrim(line, {_SQL_WHITE}) <> ''),
 m AS (SELECT r, line, length(rtrim(line, {_SQL_WHITE})) AS n, {_count_sql("line", "'" + SEPARATORS + "'")} AS bars, {_count_sql("line", "'" + SYMBOLS + "'")} AS marks,
       2 * length(line) - length(replace(line, '!!', '')) - length(replace(line, '??', '')) AS doubled,
-      regexp_matches(lower(line), '{"|".join(NOTICES)}') AS notice,
+      regexp_matches(lower(line), '{"|".join(NOTICES).replace("'", "''")}') AS notice,
       instr('{ENDINGS.replace("'", "''")}', right(rtrim(line, {_SQL_WHITE}), 1)) > 0 OR regexp_matches(line, '{SENTENCE_END}') AS ended FROM l),
 v AS (SELECT r, line, NOT (n > 0 AND ((bars >= 3 AND bars * 20 >= n) OR marks * 10 > n OR (doubled >= 6 AND doubled * 20 >= n) OR notice OR NOT ended)) AS good FROM m),
 ls AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (WHERE NOT good) AS removed,

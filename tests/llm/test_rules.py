@@ -31,3 +31,11 @@ def test_edges(docs_of):
 def test_no_python_in_the_plan(docs_of):
     plan = Q.measure(docs_of([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_notices_in_four_languages(docs_of):
+    prose = " ".join(f"word{i}" for i in range(60)) + "."
+    lines = ["All Rights Reserved.", "Tous droits réservés.", "Nous lisons nos Conditions d'utilisation.", "Alle Rechte vorbehalten!", "Hier klicken, bitte.", "Todos los derechos reservados.", "Haga clic aquí."]
+    df = docs_of([(i, f"{x}\n{prose}") for i, x in enumerate(lines)] + [(99, f"Alle Rechte hat der Mensch.\n{prose}")])
+    got = {r.doc_id: r for r in Q.measure(df).collect()}
+    assert all(got[i].n_lines_removed == 1 and got[i].clean_text == prose for i in range(len(lines))) and got[99].n_lines_removed == 0
