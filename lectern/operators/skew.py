@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000
 #: At most so many keys can be hot: a hot key has more than one in so many of all rows. Bounds what is broadcast.
 MOST_HOT = 50_000
+#: Fewer rows in all are any one task's work, and are joined plainly.
+FEW_ROWS = 20_000
 
 
-def dealt_join(rows: DataFrame, sizes: DataFrame, key: str, by: str | list[str], total: int, how: str = "inner", n: str = "n") -> DataFrame:
+def dealt_join(rows: DataFrame, sizes: DataFrame, key: str, by: str | list[str], total: int, how: str = "inner", n: str = "n", few: int = FEW_ROWS) -> DataFrame:
     """``rows`` joined with ``sizes``, which has one row for each key and, in ``n``, about how many of ``rows`` it has.
 
     Keys with more than HOT_ROWS and one in MOST_HOT of the ``total`` rows are dealt by a hash of ``by``: a hot key's
     rows go to as many tasks as it fills, its row of ``sizes`` is copied to each. Every pair is joined once, as by a plain join;
-    the hot keys, MOST_HOT at most, are sent to all tasks. ``how`` is inner, left or left_semi.
+    the hot keys, MOST_HOT at most, are sent to all tasks. Below ``few`` rows in all nothing is dealt. ``how`` is inner,
+    left or left_semi.
     """
+    if total < few:
+        return rows.join(sizes, key, how)
     limit = max(HOT_ROWS, total // MOST_HOT)
     parts = F.ceil(F.col(n) / limit).cast("int")
     hot = sizes.where(F.col(n) > limit).select(F.col(key), parts.alias("_parts"))

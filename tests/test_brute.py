@@ -246,7 +246,7 @@ def test_dealt_join_is_a_join(spark, monkeypatch):
     sizes = rows.where("key is not null and key <> 9").groupBy("key").count().withColumnRenamed("count", "n").selectExpr("key", "n", "key * 10 as x")
     for how in ("inner", "left", "left_semi"):
         want = sorted(map(str, rows.join(sizes, "key", how).collect()))
-        assert sorted(map(str, skew.dealt_join(rows, sizes, "key", "v", 60, how).select(rows.join(sizes, "key", how).columns).collect())) == want
+        assert sorted(map(str, skew.dealt_join(rows, sizes, "key", "v", 60, how, few=10).select(rows.join(sizes, "key", how).columns).collect())) == want
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
