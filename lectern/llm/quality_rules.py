@@ -40,7 +40,8 @@ def line_verdict(line: Column) -> Column:
     """The rule that a line fails: punctuation, navigation, symbols, shouting or boilerplate; null if none.
 
     Navigation: three menu separators or more, one at least in 20 characters. Symbols: one character in ten.
-    Shouting: three doubled exclamation or question marks, one at least in 40 characters. Boilerplate: a notice's words.
+    Shouting: three doubled exclamation or question marks, one at least in 40 characters. Boilerplate: a notice's words,
+    from the start of a word on.
     Punctuation: the line's last character is no mark that ends prose, and no sentence ends within the line.
     Lines without words fail nothing.
     """
@@ -52,7 +53,7 @@ def line_verdict(line: Column) -> Column:
         .when((bars >= 3) & (bars * 20 >= n), "navigation")
         .when(marks * 10 > n, "symbols")
         .when((doubled >= 6) & (doubled * 20 >= n), "shouting")
-        .when(F.lower(line).rlike("|".join(NOTICES)), "boilerplate")
+        .when(F.lower(line).rlike(r"(?<![a-z])(?:" + "|".join(NOTICES) + ")"), "boilerplate")
         .when((F.instr(F.lit(ENDINGS), F.right(bare, F.lit(1))) == 0) & ~line.rlike(SENTENCE_END), "punctuation")
     )
 
@@ -137,7 +138,7 @@ cov AS (SELECT r, count(DISTINCT p + k) AS n FROM rep, (SELECT unnest(range(0, {
 l AS (SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE ltrim(line, {_SQL_WHITE}) <> ''),
 m AS (SELECT r, line, length(rtrim(line, {_SQL_WHITE})) AS n, {_count_sql("line", "'" + SEPARATORS + "'")} AS bars, {_count_sql("line", "'" + SYMBOLS + "'")} AS marks,
       2 * length(line) - length(replace(line, '!!', '')) - length(replace(line, '??', '')) AS doubled,
-      regexp_matches(lower(line), '{"|".join(NOTICES).replace("'", "''")}') AS notice,
+      regexp_matches(lower(line), '(^|[^a-z])({"|".join(NOTICES).replace("'", "''")})') AS notice,
       instr('{ENDINGS.replace("'", "''")}', right(rtrim(line, {_SQL_WHITE}), 1)) > 0 OR regexp_matches(line, '{SENTENCE_END}') AS ended FROM l),
 v AS (SELECT r, line, NOT (n > 0 AND ((bars >= 3 AND bars * 20 >= n) OR marks * 10 > n OR (doubled >= 6 AND doubled * 20 >= n) OR notice OR NOT ended)) AS good FROM m),
 ls AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (WHERE NOT good) AS removed,
