@@ -533,6 +533,18 @@ def chunk_metadata(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).unionByName(S.program_catalog(c, 3).select(F.lit("program").alias("what"), said.alias("value")))
 
 
+@query("SELECT c_custkey AS id, n_name AS program_key, CAST(CASE WHEN c_custkey % 3 = 2 THEN 42 ELSE 54 END AS DOUBLE) AS score FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def program_detection(spark: SparkSession, d: str) -> DataFrame:
+    """The programme that every question names, by its name, its degree and its credits."""
+    n = table(spark, d, "nation")
+    catalog = n.select(F.col("n_name").alias("program_key"), F.array(F.concat("n_name", F.lit(" Studies"))).alias("names"), F.lit("Bachelor").alias("degree_level"), F.lit(180).alias("total_ects"))
+    k = F.col("c_custkey")
+    more = F.when(k % 3 == 0, " bachelor").when(k % 3 == 1, " 180 ECTS").otherwise("")
+    q = table(spark, d, "customer").join(n.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
+    text = F.concat(F.lit("Welche Kurse hat "), F.replace("n_name", F.lit("_"), F.lit("-")), F.lit(" studies"), more, F.lit("?"))
+    return S.detect_program(q.select(k.alias("id"), text.alias("text")), catalog).select("id", "program_key", "score")
+
+
 @query("""WITH h AS (SELECT conv_id, turn + 1 AS rank, CASE WHEN turn % 2 = 0 THEN role END AS label, CASE WHEN turn % 3 = 0 THEN turn END AS page, text FROM conversations)
 SELECT conv_id, sha256(string_agg('[' || rank || '] ' || COALESCE(label, '?') || CASE WHEN page IS NOT NULL THEN ', p. ' || page ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS digest FROM h GROUP BY conv_id""")
 def numbered_context(spark: SparkSession, d: str) -> DataFrame:

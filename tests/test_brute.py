@@ -327,3 +327,23 @@ def test_longer_titles_come_first(spark):
     said = {"Financial Accounting": "financial accounting", "Comptabilité financière": "financial accounting", "Management Accounting": "management accounting", "Controlling": "management accounting", "Unternehmensfinanzierung": "corporate financing", "Corporate Finance": "corporate financing", "Finance": "financing"}
     df = spark.createDataFrame([(k,) for k in said], "name string")
     assert {r.name: r.key for r in df.select("name", planning.title_key(df.name).alias("key")).collect()} == said
+
+
+def test_database_tables(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.range(100).selectExpr("id", "id * 2 as twice")
+    df.write.format("jdbc").options(url=url, dbtable="T", driver=driver).save()
+    got = readers.jdbc(spark, url, "T", "ID", (0, 100, 4), driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and sorted(tuple(r) for r in got.collect()) == [(i, 2 * i) for i in range(100)]
+    assert readers.jdbc(spark, url, "T", driver=driver).where("twice = 8").count() == 1
+
+
+def test_parents_and_catalog(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "\n\n".join(f"# Head {i}\n\n" + "words and more words " * 30 for i in range(4)))], "doc_id long, text string")
+    c = D.chunk(docs, "parent_child").selectExpr("concat(doc_key, '::', parent_no) as parent_id", "parent_text", "text")
+    sinks.write_parents(c, f"{tmp_path}/p")
+    parents = {r.parent_id: r.text for r in spark.read.parquet(f"{tmp_path}/p").collect()}
+    assert len(parents) == 4 and {r.parent_id: r.parent_text for r in c.collect()} == parents
+    assert readers.has_columns(c, "text", "none") == {"text": True, "none": False} and not readers.has_table(spark, "no_such_table")
+    c.createOrReplaceTempView("some_chunks")
+    assert readers.has_table(spark, "some_chunks")
