@@ -31,8 +31,13 @@ def said(spark, model, texts):
     return out
 
 
+MODELS = {}
+
+
 def learnt(spark, sf_dir):
-    return T.fit(T.transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    if sf_dir not in MODELS:
+        MODELS[sf_dir] = T.fit(T.transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return MODELS[sf_dir]
 
 
 def test_inner_markers_stay_content(spark, sf_dir):
