@@ -188,7 +188,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: fl
     texts = persist_shared(_node_texts(docs, nodes, ids), "candidate-texts")
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
     part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / HUB_GROUP)).cast("int")
-    dealt = dealt_join(pairs, sizes, "a", "b", pairs.count()).select("a", "b", part.alias("part"))
+    dealt = dealt_join(pairs, sizes, "a", "b", pairs.count(), few=0).select("a", "b", part.alias("part"))
     left = texts.join(dealt.select(F.col("a").alias("doc_id"), "part").distinct(), "doc_id").select(F.col("doc_id").alias("a"), "part", F.col("text").alias("text_a"))
     rows = dealt.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(left, ["a", "part"]).select("a", "b", "text_a", "text_b")
 
