@@ -23,14 +23,15 @@ PROGRAMME_STOPWORDS = (
 MAIN_CREDITS = {"B": (120, 150, 180, 240), "M": (90, 105, 120, 180)}
 
 
-def score_pairs(programmes: DataFrame, documents: DataFrame) -> DataFrame:
+def score_pairs(programmes: DataFrame, documents: DataFrame, strong: bool = False) -> DataFrame:
     """(document_index, programme_index, score, reasons, ...) of pairs that share a subject word, an abbreviation or an address.
 
     ``programmes``: programme_index, names (list), faculty, level, ects, urls (list). ``documents``: document_index, text,
     label, faculty, level, ects_values (list), urls (list). Pairs of different levels, or of different faculties
     (but for PHILO and INTERFACULTY), are vetoed before anything is scored. Points: faculty 3 (a soft crossing -1),
     level 2, credits 5 (a conflict -4), name 8, 6, 4 or 2 by how much of the best name the text has, abbreviation 4,
-    address 6, a generic document without name -3.
+    address 6, a generic document without name -3. With ``strong`` pairs are left unscored that ``select_matches`` would drop
+    for their names alone: those that share one word of longer names, and neither abbreviation nor address.
     """
     p = programmes.select(
         "programme_index", F.col("faculty").alias("pf"), F.col("level").alias("pl"), F.col("ects").alias("pe"), F.coalesce("urls", F.array().cast("array<string>")).alias("pu"),
@@ -42,13 +43,18 @@ def score_pairs(programmes: DataFrame, documents: DataFrame) -> DataFrame:
         T.tokens(T.subject_name(F.col("text")), PROGRAMME_STOPWORDS, digits=False).alias("words"),
         F.coalesce(T.normalize_match(F.col("label")).rlike("flyer|brochure|broschure|presentation|prasentation|reglement|regulation|webseite|website"), F.lit(False)).alias("generic"),
     )
-    keys = F.array_distinct(F.concat(F.flatten("names"), "abbreviations", "pu"))
+    keyed = lambda c, n: F.transform(c, lambda k: F.named_struct(F.lit("k"), k, F.lit("word"), F.lit(n)))
+    keys = F.array_distinct(F.concat(keyed(F.flatten("names"), 1), keyed("abbreviations", 0), keyed("pu", 0)))
+    alone = F.exists("names", lambda n: F.size(n) == 1)
     # a common word meets within a faculty: '*' is a programme without one, 'a' a programme as a document without one meets it
     soft_or_own = lambda c: F.when(c.isin("PHILO", "INTERFACULTY"), "s").otherwise(F.concat(F.lit("f"), c))
-    pk = p.select("programme_index", F.explode(F.array(F.coalesce(soft_or_own(F.col("pf")), F.lit("*")), F.lit("a"))).alias("f"), keys.alias("k")).select("programme_index", "f", F.explode("k").alias("k"))
+    pk = p.select("programme_index", alone.alias("alone"), F.explode(F.array(F.coalesce(soft_or_own(F.col("pf")), F.lit("*")), F.lit("a"))).alias("f"), keys.alias("k")).select("programme_index", "alone", "f", F.explode("k").alias("k")).select("programme_index", "alone", "f", "k.*")
     df = F.when(F.col("df").isNull(), F.array(F.lit("a"))).otherwise(F.array(soft_or_own(F.col("df")), F.lit("*")))
     dk = d.select("document_index", F.explode(df).alias("f"), F.array_distinct(F.concat("words", "du")).alias("k")).select("document_index", "f", F.explode("k").alias("k"))
-    meet = pk.join(dk, ["f", "k"]).select("programme_index", "document_index").distinct()
+    meet = pk.join(dk, ["f", "k"]).groupBy("programme_index", "document_index").agg(F.sum("word").alias("words_shared"), F.min("word").alias("word"), F.first("alone").alias("alone"))
+    if strong:
+        meet = meet.where("words_shared >= 2 or word = 0 or alone")
+    meet = meet.select("programme_index", "document_index")
     both = meet.join(p, "programme_index").join(d, "document_index")
     soft = F.array_contains(F.array(F.lit("PHILO"), F.lit("INTERFACULTY")), F.col("pf")) & F.array_contains(F.array(F.lit("PHILO"), F.lit("INTERFACULTY")), F.col("df"))
     faculties = F.col("pf").isNotNull() & F.col("df").isNotNull()
