@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, decontamination, html_extraction, language_id, minhash, packing, pii, quality_classifier, quality_rules, token_rollup
+from lectern.llm import chat_format, decontamination, html_extraction, language_id, lexical_search, minhash, packing, pii, quality_classifier, quality_rules, token_rollup
 from lectern.llm.common import crc_mod, persist_shared, read, shared_dir
 
 
@@ -96,6 +96,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.withColumn("is_kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's fifty best documents."""
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
@@ -108,10 +113,12 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash": op10_minhash,
+    "op11_lexical_search": op11_lexical_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op4_token_counts": token_rollup.ORACLE_SQL,
     "op7_decontamination": decontamination.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
+    "op11_lexical_search": lexical_search.ORACLE_SQL,
 }
