@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, decontamination, html_extraction, language_id, lexical_search, minhash, packing, pii, quality_classifier, quality_rules, token_rollup
+from lectern.llm import centroid_clustering, chat_format, decontamination, html_extraction, language_id, lexical_search, minhash, packing, pii, quality_classifier, quality_rules, token_rollup
 from lectern.llm.common import crc_mod, persist_shared, read, shared_dir
 
 
@@ -101,6 +101,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 components in one of forty clusters after five rounds."""
+    return centroid_clustering.cluster(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
@@ -114,6 +119,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash": op10_minhash,
     "op11_lexical_search": op11_lexical_search,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
@@ -121,4 +127,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_decontamination": decontamination.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
     "op11_lexical_search": lexical_search.ORACLE_SQL,
+    "op12_centroid_clustering": centroid_clustering.ORACLE_SQL,
 }
