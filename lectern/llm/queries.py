@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import centroid_clustering, chat_format, decontamination, html_extraction, language_id, lexical_search, minhash, packing, pii, quality_classifier, quality_rules, token_rollup
+from lectern.llm import centroid_clustering, chat_format, decontamination, html_extraction, language_id, lexical_search, minhash, packing, pii, quality_classifier, quality_rules, token_rollup, web_archive
 from lectern.llm.common import crc_mod, persist_shared, read, shared_dir
 
 
@@ -106,6 +106,14 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clustering.cluster(read(spark, sf_dir, "embeddings"))
 
 
+def op13_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its archive record says: written, indexed, looked up by its address and read back by range."""
+    pages, at = read(spark, sf_dir, "pages"), f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    shards = web_archive.write_index(web_archive.write(pages, at), f"{at}/index")
+    captures = web_archive.find(pages.select(web_archive.url_key(F.col("url")).alias("url_key")), shards, f"{at}/index")
+    return web_archive.resolved(web_archive.read_records(captures, at))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
@@ -120,6 +128,7 @@ QUERIES = {
     "op10_minhash": op10_minhash,
     "op11_lexical_search": op11_lexical_search,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_web_archive": op13_web_archive,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
@@ -128,4 +137,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat_format": chat_format.ORACLE_SQL,
     "op11_lexical_search": lexical_search.ORACLE_SQL,
     "op12_centroid_clustering": centroid_clustering.ORACLE_SQL,
+    "op13_web_archive": web_archive.ORACLE_SQL,
 }
