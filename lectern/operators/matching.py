@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as T
-from lectern.operators.relational import latest_per_key
+from lectern.operators.containment import AUTOMATON_BYTES, first_held, names_held, names_that_hold
+from lectern.operators.relational import latest_per_key, small
+from lectern.storage import persist_shared
 
 #: Least score of a match; how far below a document's best score its other matches may lie.
 THRESHOLD, NEAR_WITH_CREDITS, NEAR_WITHOUT = 9, 2, 1
@@ -102,16 +104,19 @@ def select_matches(scored: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def match_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """(id, program_id, how): exact name (of any language) within level and credits, else containment either way.
 
-    ``wanted``: id, name, level, ects; ``known``: program_id, names (list), level, ects.
+    ``wanted``: id, name, level, ects; ``known``: program_id, names (list), level, ects. Containment is found between distinct names,
+    by an automaton and by postings (see ``containment``), before level and credits join the rows. Null and empty names
+    match nothing.
     """
-    flat = known.select("program_id", "level", "ects", F.explode("names").alias("n")).select("program_id", "level", "ects", F.lower(F.trim("n")).alias("n")).where("n <> ''").distinct()
-    w = wanted.select("id", F.lower(F.trim("name")).alias("w"), "level", "ects")
+    flat = known.select("program_id", "level", "ects", F.explode("names").alias("n")).select("program_id", "level", "ects", F.lower(F.trim("n")).alias("name")).where("name <> ''").distinct()
+    w = wanted.select("id", F.lower(F.trim("name")).alias("text"), "level", "ects").where("text <> ''")
     same = [F.col("w.level") == F.col("k.level"), F.col("w.ects").eqNullSafe(F.col("k.ects"))]
-    exact = w.alias("w").join(flat.alias("k"), same[0] & same[1] & (F.col("w.w") == F.col("k.n"))).select("w.id", "k.program_id", F.lit("exact").alias("how")).distinct()
+    exact = w.alias("w").join(flat.alias("k"), [*same, F.col("w.text") == F.col("k.name")]).select("w.id", "k.program_id", F.lit("exact").alias("how")).distinct()
+    exact = persist_shared(exact, "exact-names")
     rest = w.join(exact.select("id").distinct(), "id", "left_anti")
-    within = rest.alias("w").join(flat.alias("k"), same[0] & same[1] & (F.contains(F.col("w.w"), F.col("k.n")) | F.contains(F.col("k.n"), F.col("w.w"))))
-    fuzzy = within.select("w.id", "k.program_id", F.lit("contains").alias("how")).distinct()
-    return exact.unionByName(fuzzy)
+    held = persist_shared(names_held(rest.select("text").distinct(), "text", flat, ["text"]).unionByName(names_that_hold(flat, rest)).distinct(), "held-names")
+    pairs = rest.join(held, "text").alias("w").join(flat.alias("k"), [*same, F.col("w.name") == F.col("k.name")])
+    return exact.unionByName(pairs.select("w.id", "k.program_id", F.lit("contains").alias("how")).distinct())
 
 
 def staged_lookup(df: DataFrame, column: str, dimension: DataFrame, name: str, key: str, aliases: dict[str, str], default) -> DataFrame:  # noqa: ANN001
@@ -126,12 +131,20 @@ def staged_lookup(df: DataFrame, column: str, dimension: DataFrame, name: str, k
     return x.withColumn(key, F.coalesce("_exact", "_by_alias", F.lit(default))).withColumn("how", how).drop("_v", "_alias", "_meant", "_exact", "_by_alias")
 
 
-def tree_lookup(df: DataFrame, column: str, dimension: list[tuple[str, str]]) -> Column:
-    """The first key, in order, whose key or name a tree text contains; null if none."""
-    out = F.lit(None).cast("string")
-    for key, name in reversed(dimension):
-        out = F.when(F.contains(F.lower(column), F.lit(key.lower())) | F.contains(F.lower(column), F.lit(name.lower())), key).otherwise(out)
-    return out
+def tree_lookup(df: DataFrame, column: str, dimension: DataFrame, to: str = "tree_key", limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """``df`` with the first key, by ``dimension.priority``, whose key or name the tree text in ``column`` holds, as ``to``; null if none.
+
+    ``dimension``: key, name, priority. Case doesn't matter. A dimension of at most ``limit`` bytes goes to all tasks as one automaton and
+    the rows stay where they are; a larger one goes in blocks over the distinct texts (see ``containment``).
+    """
+    own = dimension.select("key", F.explode(F.array("key", "name")).alias("name"), "priority").select("key", F.lower(F.col("name").cast("string")).alias("name"), "priority").where("name <> ''")
+    if small(own, limit):
+        rows = own.orderBy("priority", "key").collect()
+        keys = F.array(*[F.lit(r.key) for r in rows]) if rows else F.array(F.lit(None).cast("string"))
+        return first_held(df.withColumn("_tree", F.lower(column)), "_tree", [r.name for r in rows], "_at").withColumn(to, F.get(keys, F.col("_at"))).drop("_tree", "_at")
+    text = F.lower(column)
+    found = names_held(df.select(text.alias("text")).distinct(), "text", own, ["text"], limit).join(own, "name").groupBy("text").agg(F.min_by("key", F.struct("priority", "key")).alias(to))
+    return df.join(found.withColumnRenamed("text", "_tree"), text == F.col("_tree"), "left").drop("_tree")
 
 
 def representatives(manifest: DataFrame, key: str, seq: str) -> DataFrame:

@@ -14,7 +14,7 @@ from lectern.functions import intent
 from lectern.functions import text as T
 from lectern.functions import values as V
 from lectern.operators import documents as D
-from lectern.operators import etl, html, matching, planning, quality
+from lectern.operators import containment, etl, html, matching, planning, quality
 from lectern.operators import relational as R
 from lectern.operators import retrieval as S
 from lectern.session import table
@@ -313,10 +313,8 @@ def representatives(spark: SparkSession, d: str) -> DataFrame:
 SELECT 'n' AS what, CAST(count(*) AS DOUBLE) AS value FROM m UNION ALL SELECT 'least', min(n) FROM m UNION ALL SELECT 'mean', avg(n) FROM m UNION ALL SELECT 'most', max(n) FROM m UNION ALL SELECT 'even', count(*) FROM m WHERE even > 0""")
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
     """Number, least, mean and largest score of matches, and how often a reason occurs."""
-    b = table(spark, d, "benchmark").where("text is not null").select("item_id", F.col("text").alias("t"), F.substring("text", 1, 12).alias("head"))
-    docs = table(spark, d, "documents")
-    heads = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("text") - 11)), lambda i: F.substring(F.col("text"), i, F.lit(12))))).alias("head"))
-    m = heads.join(b, "head").where(F.contains("text", F.col("t"))).groupBy("doc_id").agg(F.count("*").alias("score"), F.max((F.col("item_id") % 2 == 0).cast("int")).alias("even"))
+    b, docs = table(spark, d, "benchmark").select("item_id", F.col("text").alias("name")), table(spark, d, "documents").select("doc_id", "text")
+    m = R.lookup(containment.names_held(docs, "text", b, ["doc_id"]), b, "name", "inner").groupBy("doc_id").agg(F.count("*").alias("score"), F.max((F.col("item_id") % 2 == 0).cast("int")).alias("even"))
     m = m.withColumn("reasons", F.array_compact(F.array(F.when(F.col("even") == 1, "even"))))
     one = quality.score_summary(m).select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("double").alias("value")) for c in ("n", "least", "mean", "most")])).alias("r")).select("r.*")
     return one.unionByName(quality.reason_counts(m).select(F.col("reason").alias("what"), F.col("n").cast("double").alias("value")))
@@ -408,6 +406,17 @@ def name_matches(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_names(wanted, known).groupBy("id").agg(F.count("*").alias("n"), F.min("how").alias("how"))
 
 
+@query("""SELECT c_custkey, arg_min(k.n_name, (k.n_regionkey, k.n_nationkey)) AS tree_key FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
+ LEFT JOIN nation k ON contains(lower(r_name || ' / ' || n.n_name || ' / ' || c_name || c_mktsegment), lower(k.n_name)) OR contains(lower(r_name || ' / ' || n.n_name || ' / ' || c_name || c_mktsegment), k.n_nationkey || 'household') GROUP BY c_custkey""")
+def tree_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Of every customer's tree text the first nation, by region and key, whose name it holds, or whose key before the segment."""
+    n = table(spark, d, "nation")
+    tree = table(spark, d, "customer").join(n.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey").join(table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    tree = tree.select("c_custkey", F.concat("r_name", F.lit(" / "), "n_name", F.lit(" / "), "c_name", "c_mktsegment").alias("tree"))
+    keys = n.select(F.col("n_name").alias("key"), F.concat(F.col("n_nationkey").cast("string"), F.lit("Household")).alias("name"), F.struct("n_regionkey", "n_nationkey").alias("priority"))
+    return matching.tree_lookup(tree, "tree", keys).select("c_custkey", "tree_key")
+
+
 @query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey < 5 THEN NULL ELSE p_partkey // 5 END AS parent, 'n' || p_partkey AS name FROM part),
 t AS (SELECT id, name AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, t.path || ' > ' || n.name FROM n JOIN t ON n.parent = t.id) SELECT id, path FROM t""")
 def tree_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -471,14 +480,15 @@ def document_parts(spark: SparkSession, d: str) -> DataFrame:
     both = D.split_header(whole)
     grid = F.concat(F.lit("| a |  |\n|---|---|\n| "), id_, F.lit(" | x |\n|  | |\n| 7 | |"))
     tree = F.when(k % 3 == 0, "Root / Management and SES / x").when(k % 3 == 1, "Root / Faculty of Droit").otherwise("Root")
-    x = table(spark, d, "part").withColumn("tree", tree)
+    faculties = spark.createDataFrame([("SES", "management", 1), ("LAW", "droit", 2)], "key string, name string, priority int")
+    x = matching.tree_lookup(table(spark, d, "part").withColumn("tree", tree), "tree", faculties)
     titles = F.array(F.lit("home"), F.lit(" "), F.col("p_brand"), F.when(k % 2 == 0, "A").otherwise("Home"))
     label = _text("p_partkey", ["Study plan", "Agenda", "Contact", "Plan"])
     url = F.concat(F.lit("https://www.x.example/studies/"), F.element_at(F.array(F.lit("a"), F.lit("a.pdf"), F.lit("contact.zip"), F.lit("a#b")), (k % 4 + 1).cast("int")))
     other = F.when(k % 4 == 0, url).when(k % 4 == 1, url).when(k % 4 == 2, F.lit("https://other.example/a")).otherwise(F.lit("https://x.example/a.docx"))
     content = F.when(k % 4 == 1, F.lit("Plan B")).otherwise(label)
     return x.select(
-        "p_partkey", both["header"].alias("header"), both["body"].alias("body"), F.array_join(D.markdown_rows(grid), " | ").alias("rows"), matching.tree_lookup(x, "tree", [("SES", "management"), ("LAW", "droit")]).alias("tree_key"), html.best_title(titles, ["home"]).alias("title"),
+        "p_partkey", both["header"].alias("header"), both["body"].alias("body"), F.array_join(D.markdown_rows(grid), " | ").alias("rows"), "tree_key", html.best_title(titles, ["home"]).alias("title"),
         html.is_relevant(label, url, ["plan"], ["contact"], ["/studies/a"]).__and__(~url.contains("#")).alias("relevant"), html.is_content_link(content, url).alias("content_link"), html.is_page_address(other, "x.example").__and__(~other.contains("pdf")).alias("page_address"),
     )
 
