@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import text as T
 from lectern.operators.containment import AUTOMATON_BYTES, first_held, names_held, names_that_hold
+from lectern.operators.overlap import overlap_pairs
 from lectern.operators.relational import latest_per_key, small
 from lectern.storage import persist_shared
 
@@ -33,7 +34,8 @@ def score_pairs(programmes: DataFrame, documents: DataFrame, strong: bool = Fals
     (but for PHILO and INTERFACULTY), are vetoed before anything is scored. Points: faculty 3 (a soft crossing -1),
     level 2, credits 5 (a conflict -4), name 8, 6, 4 or 2 by how much of the best name the text has, abbreviation 4,
     address 6, a generic document without name -3. With ``strong`` pairs are left unscored that ``select_matches`` would drop
-    for their names alone: those that share one word of longer names, and neither abbreviation nor address.
+    for their names alone: those that share no more than one word of any longer name, and neither abbreviation nor address.
+    Pairs come from prefixes of word sets (see ``overlap``), so that frequent words are seldom met; faculty and level are part of the key.
     """
     p = programmes.select(
         "programme_index", F.col("faculty").alias("pf"), F.col("level").alias("pl"), F.col("ects").alias("pe"), F.coalesce("urls", F.array().cast("array<string>")).alias("pu"),
@@ -45,18 +47,27 @@ def score_pairs(programmes: DataFrame, documents: DataFrame, strong: bool = Fals
         T.tokens(T.subject_name(F.col("text")), PROGRAMME_STOPWORDS, digits=False).alias("words"),
         F.coalesce(T.normalize_match(F.col("label")).rlike("flyer|brochure|broschure|presentation|prasentation|reglement|regulation|webseite|website"), F.lit(False)).alias("generic"),
     )
-    keyed = lambda c, n: F.transform(c, lambda k: F.named_struct(F.lit("k"), k, F.lit("word"), F.lit(n)))
-    keys = F.array_distinct(F.concat(keyed(F.flatten("names"), 1), keyed("abbreviations", 0), keyed("pu", 0)))
-    alone = F.exists("names", lambda n: F.size(n) == 1)
-    # a common word meets within a faculty: '*' is a programme without one, 'a' a programme as a document without one meets it
+    # who may meet: '*' is a programme without faculty (level), 'a' a programme as a document without one meets it
     soft_or_own = lambda c: F.when(c.isin("PHILO", "INTERFACULTY"), "s").otherwise(F.concat(F.lit("f"), c))
-    pk = p.select("programme_index", alone.alias("alone"), F.explode(F.array(F.coalesce(soft_or_own(F.col("pf")), F.lit("*")), F.lit("a"))).alias("f"), keys.alias("k")).select("programme_index", "alone", "f", F.explode("k").alias("k")).select("programme_index", "alone", "f", "k.*")
-    df = F.when(F.col("df").isNull(), F.array(F.lit("a"))).otherwise(F.array(soft_or_own(F.col("df")), F.lit("*")))
-    dk = d.select("document_index", F.explode(df).alias("f"), F.array_distinct(F.concat("words", "du")).alias("k")).select("document_index", "f", F.explode("k").alias("k"))
-    meet = pk.join(dk, ["f", "k"]).groupBy("programme_index", "document_index").agg(F.sum("word").alias("words_shared"), F.min("word").alias("word"), F.first("alone").alias("alone"))
+    of_p = lambda c: F.array(F.coalesce(c, F.lit("*")), F.lit("a"))
+    of_d = lambda c: F.when(c.isNull(), F.array(F.lit("a"))).otherwise(F.array(c, F.lit("*")))
+    level = lambda c: F.concat(F.lit("l"), c)
+    pk = p.withColumn("f", F.explode(of_p(soft_or_own(F.col("pf"))))).withColumn("l", F.explode(of_p(level(F.col("pl")))))
+    dk = d.withColumn("f", F.explode(of_d(soft_or_own(F.col("df"))))).withColumn("l", F.explode(of_d(level(F.col("dl")))))
+    # equal sets of words are one set
+    set_id = F.concat_ws(" ", "f", "l", F.array_join("words", " "))
+    p_sets = pk.select("programme_index", "f", "l", F.explode("names").alias("words")).withColumn("words", F.array_sort("words")).withColumn("right_id", set_id)
+    d_sets = dk.where(F.size("words") > 0).select("document_index", "f", "l", F.array_sort("words").alias("words")).withColumn("left_id", set_id)
+    lefts, rights = d_sets.select("left_id", "f", "l", "words").distinct(), p_sets.select("right_id", "f", "l", "words").distinct()
+    one, more = rights.where(F.size("words") == 1), rights.where(F.size("words") > 1)
     if strong:
-        meet = meet.where("words_shared >= 2 or word = 0 or alone")
-    meet = meet.select("programme_index", "document_index")
+        pairs = overlap_pairs(lefts, one, F.lit(1), ["f", "l"]).unionByName(overlap_pairs(lefts, more, F.lit(2), ["f", "l"], 2))
+    else:
+        pairs = overlap_pairs(lefts, rights, F.lit(1), ["f", "l"])
+    named = pairs.join(d_sets.select("left_id", "document_index"), "left_id").join(p_sets.select("right_id", "programme_index"), "right_id").select("programme_index", "document_index")
+    keys = lambda k, i, c: k.select(i, "f", "l", F.explode(F.array_distinct(c)).alias("k"))
+    other = keys(pk, "programme_index", F.concat("abbreviations", "pu")).join(keys(dk, "document_index", F.concat("words", "du")), ["f", "l", "k"]).select("programme_index", "document_index")
+    meet = named.unionByName(other).distinct()
     both = meet.join(p, "programme_index").join(d, "document_index")
     soft = F.array_contains(F.array(F.lit("PHILO"), F.lit("INTERFACULTY")), F.col("pf")) & F.array_contains(F.array(F.lit("PHILO"), F.lit("INTERFACULTY")), F.col("df"))
     faculties = F.col("pf").isNotNull() & F.col("df").isNotNull()

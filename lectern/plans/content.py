@@ -15,7 +15,9 @@ from lectern.operators import matching, planning
 from lectern.operators import relational as R
 from lectern.operators import retrieval as S
 from lectern.operators.graph import connected_components
+from lectern.operators.overlap import overlap_pairs
 from lectern.session import table
+from lectern.storage import persist_shared
 from lectern.streaming import sessions
 
 QUERIES: dict = {}
@@ -343,12 +345,15 @@ def near_duplicate_match(spark: SparkSession, d: str) -> DataFrame:
     """Documents scored against short texts by shared long words; ties within a point of the best stay."""
     words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "), " "), lambda x: F.length(x) >= 6))
     b, x = table(spark, d, "benchmark").select("item_id", words.alias("w")), table(spark, d, "documents").select("doc_id", words.alias("w"))
-    n = b.select("item_id", F.size("w").alias("size"))
-    shared = x.select("doc_id", F.explode("w").alias("k")).join(b.select("item_id", F.explode("w").alias("k")), "k").groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).where("n >= 2")
-    ratio = F.col("n") / F.col("size")
-    p = R.lookup(shared, n, "item_id", "inner").select("doc_id", "item_id", F.when(ratio >= 0.95, 8).when(ratio >= 0.6, 6).otherwise(4).alias("score"))
-    best = F.max("score").over(Window.partitionBy("doc_id"))
-    return p.withColumn("best", best).where("score >= best - 1").drop("best")
+    left, right = x.select(F.col("doc_id").alias("left_id"), F.col("w").alias("words")), b.select(F.col("item_id").alias("right_id"), F.col("w").alias("words"))
+    size = right.select("right_id", F.size("words").alias("size"))
+    # six tenths of the words and more score 6 or 8; a document with such a match keeps none that has less
+    strong = overlap_pairs(left, right, F.floor((6 * F.col("size") + 9) / 10), least=2)
+    strong = persist_shared(R.lookup(strong, size, "right_id", "inner").withColumn("score", F.when(F.col("shared") / F.col("size") >= 0.95, 8).otherwise(6)), "strong-matches")
+    best = strong.groupBy("left_id").agg(F.max("score").alias("best"))
+    near = strong.join(best, "left_id").where("score >= best - 1").select("left_id", "right_id", "score")
+    weak = overlap_pairs(left.join(best, "left_id", "left_anti"), right, F.lit(2), least=2).select("left_id", "right_id", F.lit(4).alias("score"))
+    return near.unionByName(weak).select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), "score")
 
 
 @query(r"""
@@ -363,7 +368,16 @@ def answer_overlap(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(S.answer_overlap(F.col("q"), F.col("a")), 6).alias("overlap"))
 
 
-@query(None)
+@query(r"""
+WITH p AS (SELECT p_partkey, p_brand, p_size, [p_name, p_name || ' ' || lower(p_type)] AS names, string_split(p_name, ' ') AS words, p_type FROM part),
+b AS (SELECT d.p_partkey * 10 AS document_index, p.p_partkey AS programme_index, d.p_size = p.p_size AS agrees,
+ list_max(list_transform(p.names, lambda n: struct_pack(ratio := len(list_intersect(list_distinct(string_split(n, ' ')), d.words)) / len(list_distinct(string_split(n, ' '))), overlap := len(list_intersect(list_distinct(string_split(n, ' ')), d.words))))) AS best
+ FROM p AS d JOIN p ON d.p_brand = p.p_brand AND list_has_any(d.words, p.words)),
+s AS (SELECT document_index, programme_index, agrees, best.ratio AS ratio, CASE WHEN best.ratio >= 0.95 THEN 'exact_or_near_name' WHEN best.ratio >= 0.6 AND best.overlap >= 2 THEN 'strong_name_overlap' WHEN best.overlap >= 2 THEN 'medium_name_overlap' ELSE 'weak_name_overlap' END AS how,
+ 3 + CASE WHEN agrees THEN 5 ELSE -4 END + CASE how WHEN 'exact_or_near_name' THEN 8 WHEN 'strong_name_overlap' THEN 6 WHEN 'medium_name_overlap' THEN 4 ELSE 2 END AS score FROM b),
+k AS (SELECT *, bool_or(agrees) OVER (PARTITION BY document_index) AS explicit FROM s WHERE score >= 9 AND how <> 'weak_name_overlap' AND (agrees OR ratio >= 0.95)),
+n AS (SELECT *, max(CASE WHEN agrees OR NOT explicit THEN score END) OVER (PARTITION BY document_index) AS best FROM k)
+SELECT document_index, programme_index, CAST(score AS INTEGER) AS score, 'faculty,' || CASE WHEN agrees THEN 'ects,' ELSE 'ects_conflict,' END || how AS reasons FROM n WHERE agrees AND score >= best - 2""")
 def document_matching(spark: SparkSession, d: str) -> DataFrame:
     """All parts, as documents, matched to all parts, as programmes: additive scores, vetoes, near-best ties."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("programme_index"), F.array("p_name", F.concat_ws(" ", "p_name", "p_type")).alias("names"), F.col("p_brand").alias("faculty"), F.lit(None).cast("string").alias("level"), F.col("p_size").alias("ects"), F.array("p_type").alias("urls"))
