@@ -47,6 +47,7 @@ def score_pairs(programmes: DataFrame, documents: DataFrame, strong: bool = Fals
         T.tokens(T.subject_name(F.col("text")), PROGRAMME_STOPWORDS, digits=False).alias("words"),
         F.coalesce(T.normalize_match(F.col("label")).rlike("flyer|brochure|broschure|presentation|prasentation|reglement|regulation|webseite|website"), F.lit(False)).alias("generic"),
     )
+    p, d = persist_shared(p, "programmes"), persist_shared(d, "programme-documents")
     # who may meet: '*' is a programme without faculty (level), 'a' a programme as a document without one meets it
     soft_or_own = lambda c: F.when(c.isin("PHILO", "INTERFACULTY"), "s").otherwise(F.concat(F.lit("f"), c))
     of_p = lambda c: F.array(F.coalesce(c, F.lit("*")), F.lit("a"))

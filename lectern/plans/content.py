@@ -15,7 +15,7 @@ from lectern.operators import matching, planning
 from lectern.operators import relational as R
 from lectern.operators import retrieval as S
 from lectern.operators.graph import connected_components
-from lectern.operators.overlap import overlap_pairs
+from lectern.operators.overlap import counted_pairs, overlap_pairs
 from lectern.session import table
 from lectern.storage import persist_shared
 from lectern.streaming import sessions
@@ -345,14 +345,15 @@ def near_duplicate_match(spark: SparkSession, d: str) -> DataFrame:
     """Documents scored against short texts by shared long words; ties within a point of the best stay."""
     words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "), " "), lambda x: F.length(x) >= 6))
     b, x = table(spark, d, "benchmark").select("item_id", words.alias("w")), table(spark, d, "documents").select("doc_id", words.alias("w"))
-    left, right = x.select(F.col("doc_id").alias("left_id"), F.col("w").alias("words")), b.select(F.col("item_id").alias("right_id"), F.col("w").alias("words"))
+    left = persist_shared(x.select(F.col("doc_id").alias("left_id"), F.col("w").alias("words")), "long-words")
+    right = b.select(F.col("item_id").alias("right_id"), F.col("w").alias("words"))
     size = right.select("right_id", F.size("words").alias("size"))
     # six tenths of the words and more score 6 or 8; a document with such a match keeps none that has less
     strong = overlap_pairs(left, right, F.floor((6 * F.col("size") + 9) / 10), least=2)
     strong = persist_shared(R.lookup(strong, size, "right_id", "inner").withColumn("score", F.when(F.col("shared") / F.col("size") >= 0.95, 8).otherwise(6)), "strong-matches")
     best = strong.groupBy("left_id").agg(F.max("score").alias("best"))
     near = strong.join(best, "left_id").where("score >= best - 1").select("left_id", "right_id", "score")
-    weak = overlap_pairs(left.join(best, "left_id", "left_anti"), right, F.lit(2), least=2).select("left_id", "right_id", F.lit(4).alias("score"))
+    weak = counted_pairs(left.join(best, "left_id", "left_anti"), right, 2).select("left_id", "right_id", F.lit(4).alias("score"))
     return near.unionByName(weak).select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), "score")
 
 

@@ -44,6 +44,6 @@ def test_frequent_words_are_not_met(spark, monkeypatch):
     keep = overlap.persist_shared
     monkeypatch.setattr(overlap, "persist_shared", lambda df, label: written.append(label) or keep(df, label))
     pairs = overlap_pairs(sets(spark, "left_id", left), sets(spark, "right_id", right), F.lit(3), least=3)
-    assert pairs.count() == 200 and written == ["right-sets", "word-weights"]
+    assert pairs.count() == 200 and written == ["right-sets", "left-words", "word-weights", "left-sets", "right-sets"]
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoopJoin" not in plan
