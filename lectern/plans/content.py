@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,13 +13,13 @@ from lectern.functions import text as T
 from lectern.functions import values as V
 from lectern.operators import documents as D
 from lectern.operators import html as H
-from lectern.operators import matching, planning
+from lectern.operators import matching, planning, vector_cells
 from lectern.operators import relational as R
 from lectern.operators import retrieval as S
 from lectern.operators.graph import connected_components
 from lectern.operators.overlap import counted_pairs, overlap_pairs
 from lectern.session import table
-from lectern.storage import persist_shared
+from lectern.storage import persist_shared, shared_dir
 from lectern.streaming import sessions
 
 QUERIES: dict = {}
@@ -296,6 +298,14 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d)
 
 
+@query(f"WITH {_HITS} SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM hits")
+def stored_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The eight nearest vectors of every query, from vectors stored in trained cells."""
+    e, at = table(spark, d, "embeddings"), f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    vector_cells.write_cells(e, at, 64)
+    return vector_cells.nearest_in_cells(spark, at, e.where("vec_id % 100 = 0"), 8, 6).drop("cells_read")
+
+
 @query(f"""WITH {_HITS} SELECT query_id, max(CASE WHEN label = query_label AND rank <= 1 THEN 1 ELSE 0 END) AS recall_1, max(CASE WHEN label = query_label AND rank <= 3 THEN 1 ELSE 0 END) AS recall_3, max(CASE WHEN label = query_label AND rank <= 5 THEN 1 ELSE 0 END) AS recall_5,
  sum(CASE WHEN label = query_label AND rank <= 5 THEN 1 ELSE 0 END) / 5.0 AS precision_5, round(COALESCE(1.0 / min(CASE WHEN label = query_label THEN rank END), 0), 6) AS reciprocal_rank FROM hits GROUP BY query_id""")
 def knn_label_eval(spark: SparkSession, d: str) -> DataFrame:
