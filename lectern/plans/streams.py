@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.session import table
+from lectern.sources import store
 from lectern.storage import shared_dir
 from lectern.streaming import dialogue
 
@@ -79,3 +80,31 @@ def slot_dialogues(spark: SparkSession, d: str) -> DataFrame:
     done = run_out(dialogue.stream_dialogues(turns, catalog, late="1000 days"), f"{shared_dir(spark)}/dialogues-{uuid.uuid4().hex}")
     none = lambda c: F.coalesce(F.col(c), F.lit(-1).cast(done.schema[c].dataType)).alias(c)
     return done.select("session_id", "turn", "flow", "action", none("program_id"), F.array_join("semesters", ",").alias("semesters"), none("count"), "interest", none("shown"))
+
+
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderpriority = '1-URGENT' THEN 2 * o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders
+ WHERE o_totalprice >= 20000 AND (o_custkey % 10 <> 3 OR o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT')""")
+def stored_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in a stored table after a load that is sent twice, changed rows, deleted keys, one part's rows replaced at once, and a compaction."""
+    o = table(spark, d, "orders")
+    rows = o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    t = store.StoredTable(spark, f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}", rows.schema, ["o_orderkey"], buckets=16)
+    for _ in range(2):
+        t.insert_new(rows, writer="load", batch=0)
+    t.upsert(o.where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey", F.lit("X").alias("o_orderstatus"), (2 * F.col("o_totalprice")).alias("o_totalprice")))
+    t.delete(o.where("o_totalprice < 20000"))
+    part = F.col("o_custkey") % 10 == 3
+    t.replace(part, rows.where(part & (F.col("o_orderstatus") == "O") & (F.col("o_totalprice") >= 20000)).join(o.where("o_orderpriority = '1-URGENT'").select("o_orderkey"), "o_orderkey", "left_anti"))
+    t.compact()
+    return t.read()
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def ingested_once(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of a stream of events, each inserted once; the stream is started again from nothing, and its batches are known."""
+    rows = stream_of(spark, d, "events").select("user_id", "event_type")
+    at = f"{shared_dir(spark)}/ingested-{uuid.uuid4().hex}"
+    t = store.StoredTable(spark, f"{at}/table", rows.schema, ["user_id", "event_type"], buckets=8)
+    for k in range(2):
+        t.ingest(rows, f"{at}/checkpoint-{k}", "events").awaitTermination()
+    return t.read()
