@@ -28,13 +28,21 @@ HEADINGS = frozenset(("h1", "h2", "h3"))
 #: Elements that never hold the article.
 FURNITURE = frozenset("nav footer aside form button select dialog menu head search object canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Names in class and id that mark page furniture, adverts and reader comments, wherever they stand.
+#: Names in class and id that mark page furniture, adverts and reader comments outside of the article.
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|nav|navs|navbar|navigation|menu|menus|menubar|breadcrumbs?|sidebar|side-?bar|"
     r"comments?|comment-?list|respond|disqus\w*|reply|replies|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|pagination|pager|"
     r"footer|masthead|topbar|site-?header|page-?header)(?:$|[\s_-])",
     re.I,
 )
+#: Within an article or main a name counts only as a whole: all its parts are of these words or say what kind of box it is (BOX).
+#: What SURE names is cut there, what else NAMES finds is cut where its density is below the article's threshold.
+SURE = re.compile(
+    r"ads?|advert\w*|adsense|sponsor\w*|cookies?|cookie\w*|consent|gdpr|navs?|navbar|navigation|menus?|menubar|breadcrumbs?|sidebar|comments?|commentlist|respond|disqus\w*|newsletter|subscri\w*|pagination|pager|footer|topbar", re.I
+)
+BOX = re.compile(
+    r"\d+|list|lists|box|boxes|item|items|section|area|wrapper|wrap|container|content|block|widget|bar|inner|outer|slot|unit|banner|form|thread|main|top|bottom|left|right|inline|links?|buttons?|posts?|site|page|side|reader|user|the|signup|label|title|header|body|text|author|meta|date", re.I
+)
 #: Names that mark furniture only outside of the article: within it they may name a part of the text.
 LOOSE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:notice|banner|side|rail|widgets?|signup|login|popup|modal|overlay|toolbar|skip|tags?|toc|hidden|disclaimer|teasers?|copyright)(?:$|[\s_-])", re.I
@@ -52,7 +60,14 @@ LINKED = 0.5
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S
 )
-_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after the other, so that nothing within a value or a longer name is taken for one.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+
+
+def _sure(name: str) -> bool:
+    """Whether a class or id names furniture as a whole."""
+    parts = [x for x in re.split(r"[_-]", name) if x]
+    return any(map(SURE.fullmatch, parts)) and all(SURE.fullmatch(x) or BOX.fullmatch(x) for x in parts)
 
 
 class Page:
@@ -64,6 +79,7 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.cut = ["#page"], [-1], [False]
         self.named: set[int] = set()  # elements whose class or id names furniture
+        self.soft: set[int] = set()  # elements within an article with such a name, or a part of one
         self.loose: set[int] = set()  # elements whose names mean furniture only outside of the article
         self.beside: set[int] = set()  # of these and what they hold, the elements that stand outside
         self.parts: list[tuple[int, str | None]] = []
@@ -112,7 +128,8 @@ class Page:
         if not attrs or tag in ("html", "body", "main", "article"):
             return False
         named = False
-        for m in _NAMED.finditer(attrs):
+        in_article = None
+        for m in _ATTRIBUTE.finditer(attrs):
             name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
                 return True
@@ -120,7 +137,13 @@ class Page:
                 return True
             if name in ("class", "id"):
                 plain = STYLING.sub("", value)
-                named = named or value.strip().lower() == "header" and not self._in_article(inside) or bool(NAMES.search(plain))
+                if NAMES.search(plain):
+                    in_article = self._in_article(inside) if in_article is None else in_article
+                    named = named or not in_article or any(_sure(x) for x in plain.split())
+                    if in_article:
+                        self.soft.add(len(self.tag) - 1)
+                elif value.strip().lower() == "header":
+                    named = named or not self._in_article(inside)
                 if LOOSE_NAMES.search(plain):
                     self.loose.add(len(self.tag) - 1)
         return None if named else False
@@ -233,7 +256,8 @@ def main_text(source: str | None) -> str:
     threshold. The article grows from that element to the container around it, and on as long as neighbours
     reach the threshold with prose; of those that stand beside it under the body each is kept for itself. Where it has grown, and
     on pages without a container, subtrees that are mostly links and below the threshold and those of LOOSE_NAMES fall out;
-    within the densest element, and within an article, lists of links and named blocks are text. Headings that stand in
+    within the densest element, and within an article, lists of links and named blocks are text, but for what is named as furniture as a whole (SURE) and
+    what a part of its name (NAMES) and a density below the threshold tell to be furniture. Headings that stand in
     the article's ancestors before its last part belong to it. Ties go to the first element of the page. Time and memory
     are linear in the page, however long or deep it is.
     """
@@ -255,8 +279,11 @@ def main_text(source: str | None) -> str:
     for i in range(1, n):
         children.setdefault(page.parent[i], []).append(i)
 
+    def dense(i: int) -> bool:
+        return density[i] >= threshold and linked[i] <= LINKED * chars[i] and chars[i] > 0
+
     def prose(i: int) -> bool:
-        return not page.cut[i] and i not in page.beside and density[i] >= threshold and linked[i] <= LINKED * chars[i] and chars[i] > 0
+        return not page.cut[i] and i not in page.beside and dense(i)
 
     while (up := page.parent[best]) > 0 and page.tag[up] not in ("html", "#page"):
         if page.tag[best] in CONTAINERS and (page.tag[up] == "body" or not any(prose(i) for i in children[up] if i != best)):
@@ -276,7 +303,7 @@ def main_text(source: str | None) -> str:
         if i == best or i in beside:
             kept[i] = True
         elif p >= 0 and kept[p]:
-            kept[i] = p not in loose_at or i not in page.beside and not (density[i] < threshold and chars[i] and linked[i] > LINKED * chars[i] and page.tag[i] in BLOCK)
+            kept[i] = (i not in page.soft or dense(i)) and (p not in loose_at or i not in page.beside and not (density[i] < threshold and chars[i] and linked[i] > LINKED * chars[i] and page.tag[i] in BLOCK))
         elif i < last and p in on_path and page.tag[i] in HEADINGS and i not in on_path:
             kept[i] = True
     blocks, now = [], []

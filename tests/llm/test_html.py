@@ -4,6 +4,8 @@ import random
 import re
 from html.parser import HTMLParser
 
+import pytest
+
 from lectern.llm import html_extraction as H
 
 
@@ -168,3 +170,31 @@ def test_very_long_page():
     p = "<p>Words of a paragraph in a page that is very long.</p>"
     text = H.main_text(f"<body><article>{p * 40_000}</article>" + "<div>" * 30_000)
     assert len(text) == 40_000 * (len(p) - 6) - 1
+
+
+PROSE = "This is a long enough paragraph of article prose, with words and more words to read. " * 3
+
+
+def in_article(x):
+    return f"<html><body><nav><a href=a>Home</a> <a href=b>News</a></nav><article><h1>Title</h1><p>{PROSE}</p>{x}<p>{PROSE}</p></article><footer>Imprint</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "attrs",
+    ['title="a hidden gem"', 'data-hidden="false"', 'data-id="comments"', "data-role='navigation'", 'title="class=ads id=comments"', 'class="related-work"', 'id="social-history"', 'class="reply"', 'id="comments-on-method"', 'class="promotion"', 'class="share-price"'],
+)
+@pytest.mark.parametrize("tag", ["p", "div", "section"])
+def test_words_within_attributes_lose_nothing(tag, attrs):
+    assert f"KEPT {PROSE}".strip() in H.main_text(in_article(f"<{tag} {attrs}>KEPT {PROSE}</{tag}>"))
+
+
+@pytest.mark.parametrize(
+    "attrs", ["hidden", 'aria-hidden="true"', "style='display: none'", "ROLE=navigation", 'class="comments"', 'id="comment-list"', 'class="ad-slot"', "class='x  newsletter-signup'", 'class="cookie_banner"']
+)
+def test_whole_names_cut_within_the_article(attrs):
+    assert "GONE" not in H.main_text(in_article(f"<div {attrs}><p>GONE {PROSE}</p></div>"))
+
+
+def test_density_decides_on_parts_of_names():
+    links = '<a href="x">GONE one</a> <a href="y">GONE two</a>'
+    assert "GONE" not in H.main_text(in_article(f'<div class="related">{links}</div><div class="share-price">{links}</div>'))
