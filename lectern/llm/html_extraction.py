@@ -36,9 +36,10 @@ NAMES = re.compile(
     re.I,
 )
 #: Within an article or main a name counts only as a whole: all its parts are of these words or say what kind of box it is (BOX).
-#: What SURE names is cut there, what else NAMES finds is cut where its density is below the article's threshold.
+#: What SURE names is cut there; what else NAMES finds is cut where its density is below the article's threshold.
 SURE = re.compile(
-    r"ads?|advert\w*|adsense|sponsor\w*|cookies?|cookie\w*|consent|gdpr|navs?|navbar|navigation|menus?|menubar|breadcrumbs?|sidebar|comments?|commentlist|respond|disqus\w*|newsletter|subscri\w*|pagination|pager|footer|topbar", re.I
+    r"ads?|advert\w*|adsense|sponsor\w*|cookies?|cookie\w*|consent|gdpr|navs?|navbar|navigation|menus?|menubar|breadcrumbs?|sidebar|comments?|commentlist|respond|disqus\w*|newsletter|subscri\w*|pagination|pager|footer|topbar|"
+    r"social|share|sharing|related|recommended|recommendations?|promos?", re.I
 )
 BOX = re.compile(
     r"\d+|list|lists|box|boxes|item|items|section|area|wrapper|wrap|container|content|block|widget|bar|inner|outer|slot|unit|banner|form|thread|main|top|bottom|left|right|inline|links?|buttons?|posts?|site|page|side|reader|user|the|signup|label|title|header|body|text|author|meta|date", re.I
