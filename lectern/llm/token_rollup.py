@@ -59,6 +59,26 @@ class TokenRollup:
         fs, p = self._fs(f"{at}/*/_SUCCESS")
         return sorted(s.getPath().getParent().getName() for s in fs.globStatus(p) or [])
 
+    def _names(self, at: str) -> list[str]:
+        """Names of all folders in ``at``, unfinished ones too."""
+        fs, p = self._fs(at)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def sweep(self) -> list[str]:
+        """Delete what the last snapshot replaces: the batches that it holds, other snapshots and all that was left aside; their names.
+
+        For when nobody writes, and nobody reads totals of an earlier snapshot. Batches that are deleted still count as committed.
+        """
+        last = self._snapshot()
+        merged = {f"batch={r.batch}" for r in self._merged(last).collect()}
+        folders = [("batches", n) for n in self._names(f"{self.path}/batches") if n in merged]
+        folders += [("snapshots", n) for n in self._names(f"{self.path}/snapshots") if f"{self.path}/snapshots/{n}" != last]
+        folders += [("aside", n) for n in self._names(f"{self.path}/aside")]
+        for folder, name in folders:
+            fs, p = self._fs(f"{self.path}/{folder}/{name}")
+            fs.delete(p, True)
+        return [name for _, name in folders]
+
     def _snapshot(self) -> str | None:
         found = self._children(f"{self.path}/snapshots")
         return f"{self.path}/snapshots/{found[-1]}" if found else None
@@ -112,7 +132,8 @@ class TokenRollup:
         self.commit(f"stream-{batch_id:012d}", changes)
 
     def _deltas(self, snapshot: str | None, batches: list[str]) -> DataFrame:
-        at = [f"{self.path}/batches/batch={n}" for n in batches] + ([f"{snapshot}/totals"] if snapshot else [])
+        # files alone: a folder that lies within a batch is a lost race's copy
+        at = [f"{self.path}/batches/batch={n}/*.parquet" for n in batches] + ([f"{snapshot}/totals/*.parquet"] if snapshot else [])
         return self.spark.read.schema(SCHEMA).parquet(*at) if at else self.spark.createDataFrame([], SCHEMA)
 
     def totals(self) -> DataFrame:
@@ -121,10 +142,13 @@ class TokenRollup:
         return _summed(self._deltas(snapshot, self._open(snapshot))).where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Sum all committed batches into one snapshot. A snapshot counts once its own mark is written, last."""
+        """Sum all committed batches into one snapshot. A snapshot counts once its own mark is written, last.
+
+        It takes the first number after all that are there, so that one which a lost driver left unfinished stands in nobody's way.
+        """
         snapshot = self._snapshot()
         batches = self._open(snapshot)
-        at = f"{self.path}/snapshots/{len(self._children(f'{self.path}/snapshots')):012d}"
+        at = f"{self.path}/snapshots/{max(map(int, self._names(f'{self.path}/snapshots')), default=-1) + 1:012d}"
         if self._publish(_summed(self._deltas(snapshot, batches)), f"{at}/totals"):
             new = self.spark.createDataFrame([(b,) for b in batches], "batch string")
             self._merged(snapshot).unionByName(new).write.mode("overwrite").parquet(f"{at}/batches")

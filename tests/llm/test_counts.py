@@ -1,6 +1,7 @@
 import uuid
 from collections import Counter
 
+import pytest
 from compare import assert_same
 
 from lectern.llm import queries
@@ -63,3 +64,39 @@ def test_two_writers_of_one_batch(spark):
     at = f"{r.path}/batches/batch=one"
     assert r._publish(K._summed(K.signed(c, 1)), at) and not r._publish(K._summed(K.signed(c, 1)), at)
     assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 1, 3)] and r.committed() == ["one"]
+
+
+def test_a_compaction_that_dies_is_done_again(spark, monkeypatch):
+    """Killed before and after each of its steps, a compaction leaves the totals as they are, and the next one works."""
+    c = spark.createDataFrame([("a", "en", "v1", 3)], "source string, lang string, tokenizer_version string, n_tokens long")
+    r = K.TokenRollup(spark, f"{shared_dir(spark)}/w-{uuid.uuid4().hex}")
+    assert [tuple(x) for x in r.totals().collect()] == [] and r.committed() == []
+    total = lambda: [tuple(x) for x in r.totals().collect()]
+    for k in range(3):
+        r.commit(f"b{k}", K.signed(c, 1))
+        with monkeypatch.context() as m:
+            keep, calls = K.TokenRollup._fs, []
+
+            def dies(self, at, k=k, calls=calls, keep=keep):
+                calls.append(at)
+                if "snapshots/0" in at and sum("snapshots/0" in x for x in calls) > k:
+                    raise KeyboardInterrupt
+                return keep(self, at)
+
+            m.setattr(K.TokenRollup, "_fs", dies)
+            with pytest.raises(KeyboardInterrupt):
+                r.compact()
+        assert total() == [("a", "en", "v1", k + 1, 3 * (k + 1))]
+    r.compact()
+    assert total() == [("a", "en", "v1", 3, 9)] and r._open(r._snapshot()) == []
+    assert r.sweep() and not r._names(f"{r.path}/batches") and len(r._names(f"{r.path}/snapshots")) == 1
+    assert not r.commit("b0", K.signed(c, 1)) and r.commit("b9", K.signed(c, 1)) and total() == [("a", "en", "v1", 4, 12)]
+
+
+def test_copies_within_a_batch_do_not_count(spark):
+    """A lost race leaves its folder within the batch until it is cleared away."""
+    c = spark.createDataFrame([("a", "en", "v1", 3)], "source string, lang string, tokenizer_version string, n_tokens long")
+    r = K.TokenRollup(spark, f"{shared_dir(spark)}/w-{uuid.uuid4().hex}")
+    r.commit("one", K.signed(c, 1))
+    K._summed(K.signed(c, 1)).write.parquet(f"{r.path}/batches/batch=one/{uuid.uuid4().hex}")
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 1, 3)]
