@@ -58,8 +58,8 @@ def surrogate_keys(values: DataFrame, column: str, name: str, existing: DataFram
     starts, so_far = [], base
     for part in sorted(sizes):
         starts, so_far = [*starts, (part, so_far)], so_far + sizes[part]
-    start = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in starts for x in kv]), F.col("_part")) if starts else F.lit(base)
-    out = ranged.select(column, (start + F.col("_row") + 1).cast("long").alias(name))
+    begins = values.sparkSession.createDataFrame(starts, "_part long, _start long")  # a row for each range
+    out = ranged.join(F.broadcast(begins), "_part").select(column, (F.col("_start") + F.col("_row") + 1).cast("long").alias(name))
     return out if existing is None else existing.select(column, name).unionByName(out)
 
 

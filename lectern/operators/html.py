@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.storage import persist_shared, small_batches
+from lectern.storage import forget, persist_shared, small_batches
 
 SECTION = "page_id long, section_no int, heading string, heading_level int, text string"
 LINK = "page_id long, position int, text string, url string"
@@ -176,12 +176,18 @@ def is_relevant(label: Column, url: Column, wanted: list[str], unwanted: list[st
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(url, depth) of pages within ``depth`` links of the seeds; ``edges``: source, target. Each page at its least depth."""
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    """(url, depth) of pages within ``depth`` links of the seeds; ``edges``: source, target. Each page at its least depth.
+
+    Every level is written to the shared folder, so that a level costs two joins, however deep it lies; pages seen before are pruned by an
+    anti join, and the walk ends with the first level that is empty. Null addresses are no pages.
+    """
+    seen = frontier = persist_shared(seeds.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)), "level-0")
     for d in range(1, depth + 1):
-        step = frontier.join(edges, F.col("url") == F.col("source")).select(F.col("target").alias("url")).distinct()
-        frontier = step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
+        step = frontier.join(edges, F.col("url") == F.col("source")).select(F.col("target").alias("url")).where("url is not null").distinct()
+        frontier = persist_shared(step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)), f"level-{d}")
+        if frontier.isEmpty():
+            forget(frontier)
+            break
         seen = seen.unionByName(frontier)
     return seen
 

@@ -13,7 +13,7 @@ from lectern.functions import text as T
 from lectern.functions import values as V
 from lectern.operators import documents as D
 from lectern.operators import html as H
-from lectern.operators import matching, planning, vector_cells
+from lectern.operators import matching, planning, similarity, vector_cells
 from lectern.operators import relational as R
 from lectern.operators import retrieval as S
 from lectern.operators.graph import connected_components
@@ -279,6 +279,18 @@ def link_traversal(spark: SparkSession, d: str) -> DataFrame:
     return H.reachable(p.where("page_id = 0").select(F.col("page_id").alias("url")), out, 2)
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT p_partkey AS source, p_partkey + 3 AS target FROM part WHERE p_size % 2 = 0 UNION SELECT p_partkey, p_partkey * 2 + 1 FROM part WHERE p_size % 3 = 0 UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_size % 5 <> 0), k AS (SELECT e.* FROM e JOIN part ON p_partkey = target),
+r(url, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT k.target, depth + 1 FROM r JOIN k ON k.source = r.url WHERE depth < 20)
+SELECT url, min(depth) AS depth FROM r GROUP BY url""")
+def link_depths(spark: SparkSession, d: str) -> DataFrame:
+    """Parts within twenty links of the first one."""
+    p, k = table(spark, d, "part").select("p_partkey", "p_size"), F.col("p_partkey")
+    targets = F.array(F.when(F.col("p_size") % 2 == 0, k + 3), F.when(F.col("p_size") % 3 == 0, k * 2 + 1), F.when(F.col("p_size") % 5 != 0, k + 1))
+    links = p.select(k.alias("source"), F.explode(F.array_compact(targets)).alias("target")).join(p.select(k.alias("target")), "target", "left_semi")
+    return H.reachable(p.where("p_partkey = 0").select(k.alias("url")), links, 20)
+
+
 # ---- retrieval ----
 
 _SIM = "round(sqrt(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))), 6)"
@@ -367,6 +379,13 @@ def near_duplicate_match(spark: SparkSession, d: str) -> DataFrame:
     return near.unionByName(weak).select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), "score")
 
 
+@query(None)
+def similar_part_names(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of different names and types of parts whose matching-blocks ratio is 0.85 or more."""
+    names = table(spark, d, "part").select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"))
+    return similarity.similar_names(names, names, 0.85).where("a < b").select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
 @query(r"""
 WITH t AS (SELECT conv_id, turn, role, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: length(x) >= 3)) AS w FROM conversations)
 SELECT a.conv_id, a.turn, round(len(list_intersect(a.w, b.w)) / NULLIF(len(a.w), 0), 6) AS overlap FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant'""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,8 +45,26 @@ def json_lines_quarantined(spark: SparkSession, path: str, schema: StructType) -
     return got.where(f"r.{bad} is null and r is not null").select("r.*").drop(bad), got.where(f"r.{bad} is not null or r is null").select("value")
 
 
+_MARK = re.compile(r'"(?:[^"\\\n]|\\.)*"?|[{}]|\n(?=\{)')
+
+
+def _after_broken(text: str, at: int) -> int:
+    """Where a broken object that begins at ``at`` is over: behind its closing brace, or before the next line that begins an object."""
+    depth = 0
+    for m in _MARK.finditer(text, at):
+        if m.group() == "\n":
+            return m.end()
+        depth += {"{": 1, "}": -1}.get(m.group(), 0)
+        if not depth and m.group() == "}":
+            return m.end()
+    return len(text)
+
+
 def json_loose(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Objects of a file that is an array, JSON lines, or objects with commas between them; anything else is skipped."""
+    """Objects of a file that is an array, JSON lines, or objects with commas between them; anything else is skipped.
+
+    A broken object is skipped with all that it holds. Files are read in time linear in their length.
+    """
 
     def objects(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decode = json.JSONDecoder().raw_decode
@@ -58,7 +77,7 @@ def json_loose(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
                         obj, at = decode(text, at)
                         out.append(json.dumps(obj))
                     except ValueError:
-                        at += 1
+                        at = _after_broken(text, at)
             yield pd.DataFrame({"value": out})
 
     rows = spark.read.text(path, wholetext=True).mapInPandas(objects, "value string")
