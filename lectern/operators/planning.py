@@ -248,29 +248,27 @@ def conflict_groups(blocks: DataFrame) -> DataFrame:
     """(plan, group_no, codes): sets of blocks that all overlap one another, of two courses at least.
 
     From every block in order of day, start, end and code a set is grown by each later block that meets all of
-    it so far; sets within larger ones are left out. ``blocks``: plan, code, day, start, end.
+    it so far; sets within larger ones are left out. ``blocks``: plan, code, day, start, end. Blocks of the same time go together, so
+    sets are grown over the different times of a plan's day, of which there are few, however many blocks it has: in that order a time meets all of
+    a set if it starts before the first of them ends. The blocks join the sets afterwards.
     """
-
-    def grow(group: list) -> list[tuple]:
-        rows = sorted({(r.day, r.start, r.end, r.code) for r in group})
-        meet = lambda a, b: a[0] == b[0] and a[1] < b[2] and b[1] < a[2]
-        found = []
-        for i, a in enumerate(rows):
-            g = [a]
-            for b in rows[i + 1 :]:
-                if b[0] != a[0] or b[1] >= a[2]:
-                    break  # in order of start, nothing later meets the first block
-                if all(meet(b, x) for x in g):
-                    g.append(b)
-            if len({x[3] for x in g}) > 1:
-                found.append(g)
-        kept: list[set] = []
-        for g in sorted(found, key=len, reverse=True):
-            if not any(set(g) <= k for k in kept):
-                kept.append(set(g))
-        return [(group[0].plan, i, ",".join(sorted({x[3] for x in k}))) for i, k in enumerate(kept)]
-
-    return per_group(blocks, ["plan"], ["day", "start", "end", "code"], grow, "plan long, group_no int, codes string")
+    same = ["plan", "day", "start", "end"]
+    held = blocks.where("start <= end").groupBy(*same).agg(F.collect_set("code").alias("codes"))
+    times = held.groupBy("plan", "day").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("times"))
+
+    def grown(first: Column) -> Column:
+        begin = F.struct(first["end"].alias("until"), F.array(first).alias("set"))
+        step = lambda s, t: F.when((t > first) & (t["start"] < s["until"]), F.struct(F.least(s["until"], t["end"]).alias("until"), F.array_append(s["set"], t).alias("set"))).otherwise(s)
+        return F.aggregate("times", begin, step, lambda s: s["set"])
+
+    sets = times.withColumn("sets", F.transform("times", grown))
+    # a set that begins later lies within one that begins earlier if that one holds all of it
+    within = lambda s: F.exists("sets", lambda k: (k[0] < s[0]) & (F.size(F.array_except(s, k)) == 0))
+    sets = sets.select("plan", "day", F.explode(F.filter("sets", lambda s: ~within(s))).alias("set"))
+    rows = sets.select("plan", "day", F.col("set")[0].alias("first"), F.explode("set").alias("t")).select("plan", "day", "first", "t.start", "t.end")
+    found = rows.join(held, same).groupBy("plan", "day", "first").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"), F.sum(F.size("codes")).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("plan").orderBy(F.desc("n"), "day", "first")) - 1
+    return found.where(F.size("codes") > 1).select("plan", rank.alias("group_no"), F.array_join("codes", ",").alias("codes"))
 
 
 def lanes(blocks: DataFrame) -> DataFrame:

@@ -64,13 +64,23 @@ def row_checks(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
 
 
 def foreign_key_checks(tables: dict[str, DataFrame], keys: list[tuple[str, str, str, str]]) -> DataFrame:
-    """(name, orphans, total, rate) of every (child, column, parent, column); null keys aren't orphans."""
-    out = []
-    for child, column, parent, parent_column in keys:
-        n = orphans(tables[child], column, tables[parent], parent_column).agg(F.count("*").alias("orphans"))
-        total = tables[child].agg(F.count(column).alias("total"))
-        out.append(total.join(n, F.lit(True)).select(F.lit(f"{child}.{column}").alias("name"), "orphans", "total", F.try_divide("orphans", "total").alias("rate")))
-    return reduce(DataFrame.unionByName, out)
+    """(name, orphans, total, rate) of every (child, column, parent, column); null keys aren't orphans.
+
+    All keys are checked in one pass: every table is read once and gives its values, each with the key that it belongs to or as a parent's;
+    values meet by one shuffle, counted before they move, so that a value of many rows is one row a task.
+    """
+    spaces = sorted({(p, c) for _, _, p, c in keys})
+    roles: dict[str, list] = {}
+    role = lambda space, column, check: F.struct(F.lit(space).alias("space"), F.col(column).cast("string").alias("value"), F.lit(check).alias("key"))
+    for i, (p, c) in enumerate(spaces):
+        roles.setdefault(p, []).append(role(i, c, -1))
+    for k, (child, column, p, c) in enumerate(keys):
+        roles.setdefault(child, []).append(role(spaces.index((p, c)), column, k))
+    values = reduce(DataFrame.unionByName, [tables[t].select(F.explode(F.array(*r)).alias("r")).select("r.*") for t, r in roles.items()]).where("value is not null")
+    met = values.groupBy("space", "value").agg(F.max(F.col("key") < 0).alias("there"), *[F.count(F.when(F.col("key") == k, 1)).alias(f"n{k}") for k in range(len(keys))])
+    sums = met.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for k in range(len(keys)) for n, c in ((f"t{k}", F.col(f"n{k}")), (f"o{k}", F.when(~F.col("there"), F.col(f"n{k}"))))])
+    rows = [F.struct(F.lit(f"{child}.{column}").alias("name"), F.col(f"o{k}").alias("orphans"), F.col(f"t{k}").alias("total"), F.try_divide(f"o{k}", f"t{k}").alias("rate")) for k, (child, column, _, _) in enumerate(keys)]
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def schema_checks(tables: dict[str, DataFrame], expected: dict[str, list[str]]) -> list[tuple[str, bool]]:

@@ -115,7 +115,11 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return c.select("plan", "code", F.explode(T.time_blocks(F.col("day_time_info"))).alias("b")).select("plan", "code", "b.day", "b.start", "b.end")
 
 
-@query(None)
+@query("""
+WITH c AS (SELECT o_custkey AS plan, CAST(o_orderkey AS VARCHAR) AS code, o_orderkey % 5 AS day, (8 + o_orderkey % 9) * 60 + 15 AS s, (10 + o_orderkey % 9) * 60 AS e FROM orders), t AS (SELECT DISTINCT plan, day, s, e FROM c),
+g AS (SELECT a.plan, a.day, a.s, max(b.s) AS last FROM t a JOIN t b ON a.plan = b.plan AND a.day = b.day AND b.s >= a.s AND b.s < a.e GROUP BY ALL), k AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.plan = g.plan AND h.day = g.day AND h.s < g.s AND h.last >= g.last)),
+r AS (SELECT k.plan, k.day, k.s, count(*) AS n, count(DISTINCT code) AS courses, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM k JOIN c ON c.plan = k.plan AND c.day = k.day AND c.s BETWEEN k.s AND k.last GROUP BY ALL)
+SELECT plan, CAST(row_number() OVER (PARTITION BY plan ORDER BY n DESC, ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday'][day + 1], s) - 1 AS INTEGER) AS group_no, codes FROM r WHERE courses > 1""")
 def conflict_groups(spark: SparkSession, d: str) -> DataFrame:
     """Sets of clashing courses of every plan."""
     return planning.conflict_groups(_blocks(spark, d))

@@ -11,6 +11,7 @@ from lectern.operators import etl, quality
 from lectern.operators import relational as R
 from lectern.plans import api, ask
 from lectern.plans.derived import SQL, tables
+from lectern.schema import FOREIGN_KEYS
 from lectern.session import table
 
 QUERIES: dict = {}
@@ -299,3 +300,24 @@ def stage_summary(spark: SparkSession, d: str) -> DataFrame:
     a = p.select(F.lit("a").alias("stage"), key, F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(id_(90), id_(17))).alias("urls"), F.when(k % 3 != 0, "c").alias("curriculum_url"), F.when(k % 5 == 0, "unmatched").when(k % 5 != 1, "fuzzy").alias("match_type"))
     b = p.where(k % 2 == 0).select(F.lit("b").alias("stage"), key, F.array(F.concat(F.lit("e"), k.cast("string"))).alias("urls"), F.lit(" ").alias("curriculum_url"), F.lit("exact").alias("match_type"))
     return quality.stage_summary(a.unionByName(b))
+
+
+_KEYS_OF = {"studyprogram": "programmes", "session": "sessions"}
+_MORE_SQL = """, programmes AS (SELECT *, CASE WHEN program_id % 4 <> 0 THEN program_id % 150 END AS director FROM studyprogram), sessions AS (SELECT *, concat('R', session_id % 120) AS room_id FROM session), room AS (SELECT concat('R', s_suppkey) AS room_id FROM supplier WHERE s_suppkey % 9 <> 0),
+evaluation AS (SELECT o_orderkey AS eval_id, concat('UE-EC.', 10000000 + o_orderkey % 3000) AS code FROM orders WHERE o_orderkey % 5 = 0), examined_in AS (SELECT o_orderkey + o_orderkey % 3 * 5 AS eval_id, concat('R', o_orderkey % 110) AS room_id FROM orders WHERE o_orderkey % 10 = 0)
+"""
+
+
+@query(_MORE_SQL + " UNION ALL ".join(
+    f"SELECT '{c}.{k}' AS name, count(*) FILTER (WHERE p.v IS NULL) AS orphans, count(*) AS total, count(*) FILTER (WHERE p.v IS NULL) / count(*) AS rate FROM (SELECT {k} AS v FROM {_KEYS_OF.get(c, c)} WHERE {k} IS NOT NULL) c LEFT JOIN (SELECT DISTINCT {pk} AS v FROM {_KEYS_OF.get(p, p)}) p USING (v)"
+    for c, k, p, pk in FOREIGN_KEYS
+))
+def catalogue_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans of the catalogue's twenty-three foreign keys, in one pass."""
+    t, o, k = tables(spark, d), table(spark, d, "orders"), F.col("o_orderkey")
+    t["studyprogram"] = t["studyprogram"].withColumn("director", F.expr("CASE WHEN program_id % 4 <> 0 THEN program_id % 150 END"))
+    t["session"] = t["session"].withColumn("room_id", F.concat(F.lit("R"), F.col("session_id") % 120))
+    t["room"] = table(spark, d, "supplier").where("s_suppkey % 9 <> 0").select(F.concat(F.lit("R"), "s_suppkey").alias("room_id"))
+    t["evaluation"] = o.where(k % 5 == 0).select(k.alias("eval_id"), F.concat(F.lit("UE-EC."), k % 3000 + 10_000_000).alias("code"))
+    t["examined_in"] = o.where(k % 10 == 0).select((k + k % 3 * 5).alias("eval_id"), F.concat(F.lit("R"), k % 110).alias("room_id"))
+    return quality.foreign_key_checks(t, FOREIGN_KEYS)
