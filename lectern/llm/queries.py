@@ -110,7 +110,7 @@ def op13_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as its archive record says: written, indexed, looked up by its address and read back by range."""
     pages, at = read(spark, sf_dir, "pages"), f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     shards = web_archive.write_index(web_archive.write(pages, at), f"{at}/index")
-    captures = web_archive.find(pages.select(web_archive.url_key(F.col("url")).alias("url_key")), shards, f"{at}/index")
+    captures = persist_shared(web_archive.find(pages.select(web_archive.url_key(F.col("url")).alias("url_key")), shards, f"{at}/index"), "found-captures")
     return web_archive.resolved(web_archive.read_records(captures, at))
 
 

@@ -36,7 +36,9 @@ BLOCK_LINES, BLOCK_BYTES = 3000, 1_000_000
 #: Records that lie next to each other are read at once, up to so many bytes.
 READ_BYTES = 8_000_000
 #: Records of one file that one task reads are within stretches of this length.
-STRETCH = 64_000_000
+STRETCH = 1_000_000
+#: Bytes of records, or of index blocks, that a task reads, about.
+TASK_BYTES = 16_000_000
 #: Bytes of payload in one Arrow batch, about.
 OUT_BYTES = 16_000_000
 #: Longer keys end with a hash of the whole.
@@ -202,11 +204,15 @@ def write(pages: DataFrame, at: str, file_bytes: int = FILE_BYTES, captured: str
 def read_records(captures: DataFrame, at: str) -> DataFrame:
     """(page_id, url, record_id, record_type, refers_to, digest, payload) of the records where ``captures`` say, by range reads.
 
+    ``captures`` is read twice: for its bytes, which tell the number of tasks, and for its places.
+
     Neighbouring records are read together. Revisits have no payload of their own (null). A response whose payload doesn't have its
     digest, or a range that isn't one record, ends the job. Rows that repeat are read each.
     """
     folder = _address(captures.sparkSession, at)
-    places = captures.select("file", "begin", "size").repartition("file", F.floor(F.col("begin") / STRETCH)).sortWithinPartitions("file", "begin")
+    # few bytes of places stand for many of records, so the records' bytes tell the number of tasks
+    tasks = 1 + int(captures.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES
+    places = captures.select("file", "begin", "size").repartition(tasks, "file", F.floor(F.col("begin") / STRETCH)).sortWithinPartitions("file", "begin")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         """Records in order of their places, read in stretches without gaps."""
@@ -348,7 +354,8 @@ def find(keys: DataFrame, shards: DataFrame, at: str) -> DataFrame:
     Blocks are dealt out by place, so that each is read once and a key of many captures is read by many tasks.
     """
     folder = _address(keys.sparkSession, at)
-    blocks = find_blocks(keys, shards, at).repartition("file", "begin").sortWithinPartitions("file", "begin", "url_key")
+    tasks = 1 + int(shards.agg(F.sum("directory")).first()[0] or 0) // TASK_BYTES  # a directory begins where the blocks end
+    blocks = find_blocks(keys, shards, at).repartition(tasks, "file", "begin").sortWithinPartitions("file", "begin", "url_key")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, place, lines, starts = Files(folder), None, [], []
