@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import text as T
 from lectern.operators.relational import either_key, latest_per_key
+from lectern.sources.store import StoredTable
 from lectern.storage import persist_shared
 
 
@@ -124,6 +125,16 @@ def rebuild_links(spark: SparkSession, staging: DataFrame, courses: DataFrame, p
     return spark.createDataFrame(counts, "action string, n long")
 
 
+def rebuild_stored_links(links: StoredTable, staging: DataFrame, courses: DataFrame, program_id: int | None = None, limit: int | None = None, dry_run: bool = False) -> DataFrame:
+    """As ``rebuild_links`` for links in a stored table: the old ones go and the new ones come in one version, which a lost driver leaves out as a whole."""
+    own = F.lit(True) if program_id is None else F.col("program_id") == program_id
+    new = persist_shared(staging_to_final(scoped(staging, program_id, limit), courses), "links")
+    counts = [("deleted", links.read().where(own).count()), ("inserted", new.count())]
+    if not dry_run:
+        links.replace(own, new)
+    return new.sparkSession.createDataFrame(counts, "action string, n long")
+
+
 def flatten_documents(items: DataFrame) -> DataFrame:
     """One row per item and document address, from documents (url, label), file_urls and files (url, path, checksum, status).
 

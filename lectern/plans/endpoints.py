@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,9 @@ from lectern.plans import api, ask
 from lectern.plans.derived import SQL, tables
 from lectern.schema import FOREIGN_KEYS
 from lectern.session import table
+from lectern.sources import sinks
+from lectern.sources.store import StoredTable
+from lectern.storage import shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -267,6 +271,33 @@ def staging_to_final(spark: SparkSession, d: str) -> DataFrame:
     return etl.staging_to_final(t["programcoursestaging"], t["course"].withColumn("alternative_code", F.lit(None).cast("string"))).select("program_id", "code", "course_name", "description")
 
 
+_FINAL_SQL = """SELECT l.program_id, c.code AS code, COALESCE(NULLIF(trim(l.extracted_title), ''), c.name) AS course_name FROM programcoursestaging l JOIN course c ON c.code = trim(l.extracted_code) WHERE reference_type = 'course' AND trim(extracted_code) <> ''{}
+QUALIFY row_number() OVER (PARTITION BY l.program_id, c.code ORDER BY l.staging_id DESC) = 1"""
+
+
+@query(f"""SELECT * FROM ({_FINAL_SQL.format("")}) WHERE program_id <> 7 UNION ALL SELECT * FROM ({_FINAL_SQL.format(" AND l.program_id = 7 AND l.staging_id % 2 = 0")})""")
+def rebuilt_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links in a stored table: all rebuilt, one programme rebuilt from fewer staged references; dry runs between change nothing."""
+    t = tables(spark, d)
+    staged, courses = t["programcoursestaging"], t["course"].withColumn("alternative_code", F.lit(None).cast("string"))
+    kinds = etl.staging_to_final(staged, courses).schema
+    links = StoredTable(spark, f"{shared_dir(spark)}/links-{uuid.uuid4().hex}", kinds, ["program_id", "code"], buckets=16)
+    etl.rebuild_stored_links(links, staged, courses, dry_run=True)
+    etl.rebuild_stored_links(links, staged, courses)
+    etl.rebuild_stored_links(links, staged, courses, program_id=7, limit=2, dry_run=True)
+    etl.rebuild_stored_links(links, staged.where("staging_id % 2 = 0"), courses, program_id=7)
+    return links.read().select("program_id", "code", "course_name")
+
+
+@query("SELECT doc_id AS parent_id, sha256(text) AS digest, CAST(length(text) AS INTEGER) AS n FROM documents WHERE text IS NOT NULL")
+def stored_parents(spark: SparkSession, d: str) -> DataFrame:
+    """The parent texts of all lines of the documents, stored once for each parent."""
+    at = f"{shared_dir(spark)}/parents-{uuid.uuid4().hex}"
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("parent_id"), F.col("text").alias("parent_text"), F.explode(F.split("text", "\n")).alias("line"))
+    sinks.write_parents(lines, at)
+    return spark.read.parquet(at).select("parent_id", F.sha2("text", 256).alias("digest"), F.char_length("text").alias("n"))
+
+
 @query("""SELECT CASE WHEN level IN ('d', 'do', 'phd', 'doctorate', 'doctorat') THEN 'doctorate' ELSE 'other' END AS part, count(*) AS n FROM (SELECT lower(trim(CASE WHEN program_id % 7 = 0 THEN NULL ELSE degree_level END)) AS level FROM studyprogram) GROUP BY 1""")
 def without_doctorates(spark: SparkSession, d: str) -> DataFrame:
     """Programmes parted into doctorates and others."""
