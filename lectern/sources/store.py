@@ -221,7 +221,11 @@ class StoredTable:
         return gone
 
     def ingest(self, stream: DataFrame, checkpoint: str, writer: str, new_only: bool = True):  # noqa: ANN201
-        """A running query that puts all that a stream has now into the table, each batch once, even if it is run again after a loss."""
+        """A running query that puts all that a stream has now into the table, each batch once, even if it is run again after a loss.
+
+        A ``writer`` belongs to one checkpoint: started with a new one, its batches count from 0 again, and those that were
+        committed before are left out.
+        """
 
         def put(rows: DataFrame, batch: int) -> None:
             (self.insert_new if new_only else self.upsert)(rows, writer=writer, batch=batch)
