@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.plans import content, endpoints, relational, scalars, streams
+from lectern.plans import content, endpoints, relational, scalars, streams, texts
 
-_PARTS = (relational, content, endpoints, scalars, streams)
+_PARTS = (relational, content, endpoints, scalars, streams, texts)
 QUERIES: dict = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for p in _PARTS for k, s in p.ORACLE_SQL.items()}
