@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import html as H
 from lectern.operators import retrieval as S
 from lectern.session import table
+from lectern.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -104,3 +106,47 @@ def span_latencies(spark: SparkSession, d: str) -> DataFrame:
 
 def _rounded(c: Column, name: str) -> Column:
     return F.round(c, 4).alias(name)
+
+
+@query(r"""WITH t AS (SELECT page_id, url, split_part(split_part(url, '://', 2), '.', 1) AS label FROM pages), u AS (SELECT *, lower(trim(url)) AS u, lower(trim(label)) AS t, lower(concat_ws(' ', label, url)) AS s, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host FROM t)
+SELECT page_id, NOT (u = '' OR regexp_matches(u, '^(?:mailto:|tel:|javascript:)') OR regexp_matches(u, '/map|agenda|calendar|#') OR t IN ('back', 'quick links', 'schnellzugriff', 'fr', 'de', 'en', 'map & orientation', 'maps/orientation', 'agenda')) AS content_link,
+ ends_with(host, 'example.com') AND NOT regexp_matches(lower(url), '\.(?:pdf|docx?|xlsx?|zip|jpe?g|png)(?:\?|$)') AS page_address, (starts_with(path, '/en') OR starts_with(path, '/fr')) AND (contains(s, 'th') OR contains(s, 'page')) AND NOT contains(s, 'utm') AS relevant,
+ COALESCE(NULLIF(regexp_extract(lower(url), '/(de|fr|en|it|es)(?:/|$)', 1), ''), 'none') AS language, COALESCE(TRY_CAST(regexp_extract(url, '(?:^|[^0-9A-Za-z])(20\d{2})(?:[^0-9A-Za-z]|$)', 1) AS INTEGER), 0) AS year FROM u""")
+def address_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Which addresses of pages count as links, pages and relevant, and the language and year that they name."""
+    u = F.col("url")
+    x = table(spark, d, "pages").select("page_id", "url", F.split_part(F.split_part(u, F.lit("://"), F.lit(2)), F.lit("."), F.lit(1)).alias("label"))
+    kept = H.is_relevant(F.col("label"), u, ["th", "page"], ["utm"], ["/en", "/fr"])
+    return x.select("page_id", H.is_content_link(F.col("label"), u).alias("content_link"), H.is_page_address(u, "example.com").alias("page_address"), kept.alias("relevant"), F.coalesce(T.language_of(u), F.lit("none")).alias("language"), F.coalesce(T.year_of(u), F.lit(0)).alias("year"))
+
+
+_PLAN = "concat(p_name, CASE WHEN p_size % 2 = 0 THEN concat(' BA', p_size, ' ') ELSE ' ' END, p_size * 6, CASE WHEN p_size % 5 = 0 THEN concat('+', p_size) ELSE '' END, ' ECTS ', p_type)"
+_USUAL = "(9, 14, 20, 30, 35, 50, 60, 90, 105, 106, 120, 150, 180, 240)"
+
+
+@query(rf"""WITH t AS (SELECT p_partkey, {_PLAN} AS c, p_type, p_brand, p_size, p_name FROM part), n AS (SELECT *, list_concat(list_concat(
+  flatten(list_transform(regexp_extract_all(c, '(?i)\b(\d{{1,3}}(?:\s*\+\s*\d{{1,3}})?)\s*(?:ects|etcs|kreditpunkte|credits?|punkte|points?)\b', 1), lambda v: regexp_split_to_array(v, '\s*\+\s*'))),
+  flatten(list_transform(regexp_extract_all(c, '(?i)\b(\d{{1,3}}(?:\s*(?:-|_|/|und|et|and|\+)\s*\d{{1,3}})+)\s*-?\s*(?:ects|etcs|credits?|kreditpunkte)\b', 1), lambda v: regexp_extract_all(v, '\d{{1,3}}')))),
+  list_concat(regexp_extract_all(c, '(?i)(?:^|[^a-z0-9])(?:ba|bachelor|bsc|ma|master|msc|bc|bcp|bp|major|minor|fach|nebenfach|hauptfach|plan|studienplan)[_\-\s]*(\d{{1,3}})(?:[^a-z0-9]|$)', 1), list_filter(regexp_extract_all(c, '\d+'), lambda v: v::INTEGER IN {_USUAL}))) AS found FROM t)
+SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(found, lambda v: v::INTEGER), lambda v: v BETWEEN 1 AND 240))), ',') AS credits, sha1(p_name || p_partkey) AS doc_key, concat_ws('|', p_brand, CASE WHEN p_size % 2 = 0 THEN 'bachelor' ELSE '' END, p_size, p_name) AS program_key,
+ CASE WHEN p_size % 2 = 0 THEN 'Bachelor' ELSE 'none' END AS level, p_size AS total, p_name AS name FROM n""")
+def plan_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Credits of labels, keys of file names, and keys of programmes, made and read again."""
+    x = table(spark, d, "part").select("*", F.expr(_PLAN).alias("c"), F.concat(F.lit("docs/x_"), F.sha1(F.concat("p_name", F.col("p_partkey").cast("string"))), F.lit(".json")).alias("path"))
+    key = T.program_key(F.col("p_brand"), F.when(F.col("p_size") % 2 == 0, "bachelor"), F.col("p_size"), F.col("p_name"))
+    x = readers.with_file_key(x).withColumn("key", key).withColumn("parts", T.parse_program_key(F.col("key")))
+    return x.select("p_partkey", F.array_join(F.array_sort(T.credits(F.col("c"))), ",").alias("credits"), "doc_key", F.col("key").alias("program_key"), F.coalesce("parts.degree_level", F.lit("none")).alias("level"), F.col("parts.total_ects").alias("total"), F.col("parts.program_name").alias("name"))
+
+
+_SAID = "concat(text, ' ', turn % 9 * 15, ' ECTS ', CASE turn % 4 WHEN 0 THEN '2. Jahr' WHEN 1 THEN 'third year' WHEN 2 THEN 'première année' ELSE '' END)"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower({_SAID}), '&', ' and '), '[_/-]', ' ', 'g'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS q FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN regexp_matches(q, 'bachelor|bsc|ba') THEN 'Bachelor' WHEN regexp_matches(q, 'master|msc|ma') THEN 'Master' ELSE 'none' END AS degree, COALESCE(TRY_CAST(regexp_extract(q, '(?:^|[^0-9a-z])(30|60|90|120|180)\s*ects(?:[^0-9a-z]|$)', 1) AS INTEGER), 0) AS ects,
+ CASE WHEN regexp_matches(q, '1.? ?jahr|1st year|first year|erste[sn]? jahr|premi[eè]re ann[eé]e|1[eè]re ann[eé]e') THEN '1' WHEN regexp_matches(q, '2.? ?jahr|2nd year|second year|zweite[sn]? jahr|deuxi[eè]me ann[eé]e|2[eè]me ann[eé]e') THEN '2'
+ WHEN regexp_matches(q, '3.? ?jahr|3rd year|third year|dritte[sn]? jahr|troisi[eè]me ann[eé]e|3[eè]me ann[eé]e') THEN '3' ELSE 'none' END AS year FROM t""")
+def question_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees, credits and years that the turns of all conversations name."""
+    x = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", S.detect(F.expr(_SAID)).alias("d"))
+    none = F.lit("none")
+    return x.select("conv_id", "turn", F.coalesce("d.degree", none).alias("degree"), F.coalesce("d.ects", F.lit(0)).alias("ects"), F.coalesce("d.year", none).alias("year"))
