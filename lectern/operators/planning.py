@@ -307,6 +307,35 @@ def timetable(offerings: DataFrame) -> DataFrame:
     return rows.select("code", "b.day", "b.start", "b.end")
 
 
+#: How a room is named in a text of times.
+ROOM = r"(?i)((?:raum|room|hörsaal|auditorium|seminarraum|pc-pool)\s*[a-z0-9-]*)"
+_DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday")
+
+
+def plan_timetable(offerings: DataFrame) -> DataFrame:
+    """(plan, place, code, day, start, end, location, how) of every course of a plan, whatever is known of its times.
+
+    ``offerings``: plan, place (0, 1, ... in the plan), code, offered, offering_type, day_time_info. How a row came about: ``text``, a block of the
+    free text each; ``block``, a block course, which stands on Monday at 0:00; ``placed``, an offering without times, by its place: the five weekdays in turn,
+    then two hours later; ``name``, a course without offering, the same with every second place an hour later. Courses that last past
+    midnight keep their minutes. Rooms come from the text (a room's name, else its
+    last part after a comma), else from the place.
+    """
+    info, place = F.col("day_time_info"), F.col("place")
+    offered, blocks = F.coalesce("offered", F.lit(False)), F.coalesce(T.time_blocks(info), F.array().cast("array<struct<day:string,start:int,end:int>>"))
+    how = F.when(~offered, "name").when(F.size("blocks") > 0, "text").when(F.lower("offering_type") == "block", "block").otherwise("placed")
+    begin = (8 * 60 + F.floor(place / 5) * 120 + F.when(~offered & (place % 2 == 1), 60).otherwise(0)).cast("int")
+    slot = lambda day, start, end: F.array(F.struct(day.alias("day"), start.alias("start"), end.alias("end")))
+    by_place = slot(F.element_at(F.array(*map(F.lit, _DAYS)), (place % 5 + 1).cast("int")), begin, (begin + 120).cast("int"))
+    slots = F.when(F.col("how") == "text", F.col("blocks")).when(F.col("how") == "block", slot(F.lit("Monday"), F.lit(0), F.lit(0))).otherwise(by_place)
+    parts = F.filter(F.transform(F.split(info, ","), F.trim), lambda x: x != "")
+    room = F.coalesce(F.nullif(F.trim(F.regexp_extract(info, ROOM, 1)), F.lit("")), F.when(F.size(parts) > 1, F.element_at(parts, -1)))
+    default = F.concat(F.lit("Raum "), (place + 100).cast("string"))
+    where = F.when(F.col("how") == "block", "Blockkurs").when(F.col("how") == "name", default).when(F.col("how") == "text", F.coalesce(room, F.lit(""))).otherwise(F.coalesce(room, default))
+    rows = offerings.withColumn("blocks", blocks).withColumn("how", how).withColumn("location", where)
+    return rows.select("plan", "place", "code", F.explode(slots).alias("b"), "location", "how").select("plan", "place", "code", "b.day", "b.start", "b.end", "location", "how")
+
+
 def _run_at(n: int):  # noqa: ANN202
     return lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")
 

@@ -125,6 +125,24 @@ def conflict_groups(spark: SparkSession, d: str) -> DataFrame:
     return planning.conflict_groups(_blocks(spark, d))
 
 
+_TIMES = "CASE WHEN o_totalprice >= 300000 THEN concat('Friday ', 8 + o_orderkey % 9, ':15 - ', 10 + o_orderkey % 9, ':00, Raum A', o_custkey % 50, '; Monday 13:15 - 15:00') WHEN o_totalprice >= 200000 THEN concat('nach Absprache, Hörsaal ', o_custkey % 7) END"
+_OFFERED = "o_orderpriority <> '5-LOW'"
+_KIND = "CASE WHEN o_orderstatus = 'P' THEN 'Block' ELSE 'Weekly' END"
+
+
+@query(f"""
+WITH o AS (SELECT o_custkey AS plan, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place, CAST(o_orderkey AS VARCHAR) AS code, {_OFFERED} AS offered, {_KIND} AS kind, {_TIMES} AS info, o_orderkey % 9 AS h, o_custkey FROM orders),
+w AS (SELECT *, CASE WHEN NOT offered THEN 'name' WHEN contains(info, 'Friday') THEN 'text' WHEN kind = 'Block' THEN 'block' ELSE 'placed' END AS how, 480 + place // 5 * 120 + CASE WHEN NOT offered AND place % 2 = 1 THEN 60 ELSE 0 END AS b FROM o)
+SELECT plan, place, code, 'Friday' AS day, CAST((8 + h) * 60 + 15 AS INTEGER) AS start, CAST((10 + h) * 60 AS INTEGER) AS end, 'Raum A' || o_custkey % 50 AS location, how FROM w WHERE how = 'text' UNION ALL SELECT plan, place, code, 'Monday', 795, 900, 'Raum A' || o_custkey % 50, how FROM w WHERE how = 'text'
+UNION ALL SELECT plan, place, code, 'Monday', 0, 0, 'Blockkurs', how FROM w WHERE how = 'block'
+UNION ALL SELECT plan, place, code, ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday'][place % 5 + 1], CAST(b AS INTEGER), CAST(b + 120 AS INTEGER), CASE WHEN how = 'placed' AND contains(info, 'Hörsaal') THEN 'Hörsaal ' || o_custkey % 7 ELSE 'Raum ' || (100 + place) END, how FROM w WHERE how IN ('placed', 'name')""")
+def plan_timetables(spark: SparkSession, d: str) -> DataFrame:
+    """Every plan's courses in its week: by the times of their texts, as block courses, or by their place in the plan."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("plan"), place.cast("long").alias("place"), F.col("o_orderkey").cast("string").alias("code"), F.expr(_OFFERED).alias("offered"), F.expr(_KIND).alias("offering_type"), F.expr(_TIMES).alias("day_time_info"))
+    return planning.plan_timetable(o)
+
+
 @query("""
 WITH c AS (SELECT o_custkey AS plan, CAST(o_orderkey AS VARCHAR) AS code, o_orderkey % 5 AS day, (8 + o_orderkey % 9) * 60 + 15 AS s, (10 + o_orderkey % 9) * 60 AS e FROM orders)
 SELECT a.plan, a.code AS a, b.code AS b FROM c a JOIN c b ON a.plan = b.plan AND a.day = b.day AND a.code < b.code AND a.s < b.e AND b.s < a.e""")
