@@ -328,7 +328,7 @@ def plan_timetable(offerings: DataFrame) -> DataFrame:
     slot = lambda day, start, end: F.array(F.struct(day.alias("day"), start.alias("start"), end.alias("end")))
     by_place = slot(F.element_at(F.array(*map(F.lit, _DAYS)), (place % 5 + 1).cast("int")), begin, (begin + 120).cast("int"))
     slots = F.when(F.col("how") == "text", F.col("blocks")).when(F.col("how") == "block", slot(F.lit("Monday"), F.lit(0), F.lit(0))).otherwise(by_place)
-    parts = F.filter(F.transform(F.split(info, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(info, ","), lambda x: F.trim(x)), lambda x: x != "")
     room = F.coalesce(F.nullif(F.trim(F.regexp_extract(info, ROOM, 1)), F.lit("")), F.when(F.size(parts) > 1, F.element_at(parts, -1)))
     default = F.concat(F.lit("Raum "), (place + 100).cast("string"))
     where = F.when(F.col("how") == "block", "Blockkurs").when(F.col("how") == "name", default).when(F.col("how") == "text", F.coalesce(room, F.lit(""))).otherwise(F.coalesce(room, default))
