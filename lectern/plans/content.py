@@ -156,7 +156,13 @@ def _clashes(b: DataFrame) -> DataFrame:
     return x.select("l.plan", F.col("l.code").alias("a"), F.col("r.code").alias("b"))
 
 
-@query(None)
+@query("""
+WITH RECURSIVE c AS (SELECT o_custkey AS plan, CAST(o_orderkey AS VARCHAR) AS code, ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday'][o_orderkey % 5 + 1] AS day, CAST((8 + o_orderkey % 9) * 60 + 15 AS INTEGER) AS s, CAST((10 + o_orderkey % 9) * 60 AS INTEGER) AS e FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY plan, day ORDER BY s, e, code) AS rn FROM c),
+l AS (SELECT DISTINCT plan, day, NULL::VARCHAR AS code, NULL::INTEGER AS s, NULL::INTEGER AS e, 0::BIGINT AS rn, []::INTEGER[] AS ends, NULL::BIGINT AS lane FROM c
+ UNION ALL SELECT plan, day, code, s, e, rn, CASE WHEN k = 0 THEN list_append(ends, e) ELSE list_concat(list_append(ends[1:k - 1], e), ends[k + 1:]) END, CASE WHEN k = 0 THEN len(ends) ELSE k - 1 END
+ FROM (SELECT r.*, l.ends, COALESCE(list_position(list_transform(l.ends, lambda x: x <= r.s), true), 0) AS k FROM l JOIN r ON r.plan = l.plan AND r.day = l.day AND r.rn = l.rn + 1))
+SELECT plan, day, code, s AS start, e AS end, CAST(lane AS INTEGER) AS lane FROM l WHERE rn > 0""")
 def timetable_lanes(spark: SparkSession, d: str) -> DataFrame:
     """Every block's first free lane."""
     return planning.lanes(_blocks(spark, d))
