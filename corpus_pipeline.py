@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontamination, minhash, packing, pii, quality_classifier
-from lectern.llm.common import crc_mod, persist_shared, read
+from lectern.llm.common import crc_mod, forget, persist_shared, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -73,10 +73,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``, each written to the shared folder and read again."""
+    """Apply all stages to ``documents``, each written to the shared folder and read again; a stage's table goes once the next one is written."""
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = persist_shared(docs, f"pipeline-{name}")
+            forget(last)
     return docs
