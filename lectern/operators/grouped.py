@@ -7,10 +7,23 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+def alike(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): keys whose rows are equal but for ``key`` are one class.
+
+    ``classes`` has the columns of ``df``, with a class's name for ``key`` and its rows once each; ``members`` has ``key`` and ``class``. A class is
+    called by the hash (sha256) of its rows, so that no join is needed to name it.
+    """
+    rows = F.array_sort(F.collect_set(F.struct(*[c for c in df.columns if c != key])))
+    members = df.groupBy(key).agg(rows.alias("_rows")).withColumn("class", F.sha2(F.to_json("_rows"), 256))
+    classes = members.select(F.col("class").alias(key), "_rows").distinct().select(key, F.inline("_rows")).select(df.columns)
+    return classes, members.select(key, "class")
+
+
 def per_group(df: DataFrame, keys: list[str], order: list[str], run: Callable[[list], Iterable[tuple]], schema: str, batch: int = 4096) -> DataFrame:
     """Rows that ``run`` makes of each group's rows, given as named tuples in ``order`` (nulls first).
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import text as T
 from lectern.operators.containment import AUTOMATON_BYTES, first_held, names_held, names_that_hold
+from lectern.operators.grouped import alike
 from lectern.operators.overlap import overlap_pairs
 from lectern.operators.relational import latest_per_key, small
 from lectern.storage import persist_shared
@@ -65,11 +66,12 @@ def score_pairs(programmes: DataFrame, documents: DataFrame, strong: bool = Fals
         pairs = overlap_pairs(lefts, one, F.lit(1), ["f", "l"]).unionByName(overlap_pairs(lefts, more, F.lit(2), ["f", "l"], 2))
     else:
         pairs = overlap_pairs(lefts, rights, F.lit(1), ["f", "l"])
-    named = pairs.join(d_sets.select("left_id", "document_index"), "left_id").join(p_sets.select("right_id", "programme_index"), "right_id").select("programme_index", "document_index")
+    named = pairs.join(d_sets.select("left_id", "document_index").hint("merge"), "left_id").join(p_sets.select("right_id", "programme_index").hint("merge"), "right_id").select("programme_index", "document_index")
     keys = lambda k, i, c: k.select(i, "f", "l", F.explode(F.array_distinct(c)).alias("k"))
-    other = keys(pk, "programme_index", F.concat("abbreviations", "pu")).join(keys(dk, "document_index", F.concat("words", "du")), ["f", "l", "k"]).select("programme_index", "document_index")
+    other = keys(pk, "programme_index", F.concat("abbreviations", "pu")).join(keys(dk, "document_index", F.concat("words", "du")).hint("merge"), ["f", "l", "k"]).select("programme_index", "document_index")
     meet = named.unionByName(other).distinct()
-    both = meet.join(p, "programme_index").join(d, "document_index")
+    # files of repeated values are small and their rows many: no side is sent to all tasks for its files' size
+    both = meet.join(p.hint("merge"), "programme_index").join(d.hint("merge"), "document_index")
     soft = F.array_contains(F.array(F.lit("PHILO"), F.lit("INTERFACULTY")), F.col("pf")) & F.array_contains(F.array(F.lit("PHILO"), F.lit("INTERFACULTY")), F.col("df"))
     faculties = F.col("pf").isNotNull() & F.col("df").isNotNull()
     levels = F.col("pl").isNotNull() & F.col("dl").isNotNull()
@@ -113,6 +115,18 @@ def select_matches(scored: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return near.where(F.col("_explicit") | (F.col("_rank") == F.col("_top"))).select("document_index", "programme_index", "score", "reasons")
 
 
+def match_documents(programmes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document_index, programme_index, score, reasons): the matches that ``select_matches`` leaves of the pairs of ``score_pairs``.
+
+    Scores and selection depend on what a document and a programme say, and all ties stay; so equal documents and equal programmes
+    are scored and selected as one, and copies meet only in the matches that stand.
+    """
+    (p, programmes_of), (d, documents_of) = alike(programmes, "programme_index"), alike(documents, "document_index")
+    stand = persist_shared(select_matches(score_pairs(p, d, strong=True)), "matches").withColumnsRenamed({"programme_index": "_p", "document_index": "_d"})
+    met = stand.join(programmes_of.withColumnRenamed("class", "_p").hint("merge"), "_p").join(documents_of.withColumnRenamed("class", "_d").hint("merge"), "_d")
+    return met.select("document_index", "programme_index", "score", "reasons")
+
+
 def match_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """(id, program_id, how): exact name (of any language) within level and credits, else containment either way.
 

@@ -39,8 +39,9 @@ def overlap_pairs(left: DataFrame, right: DataFrame, need: Column, by: list[str]
     rights = persist_shared(ordered(r_rows, ["right_id", "need"]), "right-sets")
     lp = lefts.select(*head(["left_id"], F.size("words") - least + 1))
     rp = rights.select(*head(["right_id"], (F.size("words") - F.col("need") + 1).cast("int")))
-    meet = lp.alias("l").join(rp.alias("r"), [F.col("l.word") == F.col("r.word"), *_same(by, "l", "r")]).select("left_id", "right_id").distinct()
-    both = meet.join(lefts.select("left_id", F.col("words").alias("left_words")), "left_id").join(rights.select("right_id", "words", "need"), "right_id")
+    # files of repeated values are small and their rows many: no side is sent to all tasks for its files' size
+    meet = lp.alias("l").join(rp.hint("merge").alias("r"), [F.col("l.word") == F.col("r.word"), *_same(by, "l", "r")]).select("left_id", "right_id").distinct()
+    both = meet.join(lefts.select("left_id", F.col("words").alias("left_words")).hint("merge"), "left_id").join(rights.select("right_id", "words", "need").hint("merge"), "right_id")
     return both.withColumn("shared", F.size(F.array_intersect("left_words", "words"))).where("shared >= need").select("left_id", "right_id", "shared")
 
 

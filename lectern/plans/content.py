@@ -440,4 +440,4 @@ def document_matching(spark: SparkSession, d: str) -> DataFrame:
     """All parts, as documents, matched to all parts, as programmes: additive scores, vetoes, near-best ties."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("programme_index"), F.array("p_name", F.concat_ws(" ", "p_name", "p_type")).alias("names"), F.col("p_brand").alias("faculty"), F.lit(None).cast("string").alias("level"), F.col("p_size").alias("ects"), F.array("p_type").alias("urls"))
     o = table(spark, d, "part").select((F.col("p_partkey") * 10).alias("document_index"), F.concat_ws(" ", F.lit("studienplan"), "p_name").alias("text"), F.lit("plan").alias("label"), F.col("p_brand").alias("faculty"), F.lit(None).cast("string").alias("level"), F.array("p_size").alias("ects_values"), F.array().cast("array<string>").alias("urls"))
-    return matching.select_matches(matching.score_pairs(p, o, strong=True)).select("document_index", "programme_index", "score", F.array_join("reasons", ",").alias("reasons"))
+    return matching.match_documents(p, o).select("document_index", "programme_index", "score", F.array_join("reasons", ",").alias("reasons"))
