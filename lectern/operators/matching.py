@@ -130,10 +130,31 @@ def match_documents(programmes: DataFrame, documents: DataFrame) -> DataFrame:
 def match_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """(id, program_id, how): exact name (of any language) within level and credits, else containment either way.
 
-    ``wanted``: id, name, level, ects; ``known``: program_id, names (list), level, ects. Containment is found between distinct names,
-    by an automaton and by postings (see ``containment``), before level and credits join the rows. Null and empty names
-    match nothing.
+    ``wanted``: id, name, level, ects; ``known``: program_id, names (list), level, ects. Null and empty names match nothing.
     """
+    links, wanted_of, known_of = name_links(wanted, known)
+    met = links.join(wanted_of.withColumnRenamed("class", "wanted_class").hint("merge"), "wanted_class").join(known_of.withColumnRenamed("class", "known_class").hint("merge"), "known_class")
+    return met.select("id", "program_id", "how")
+
+
+def count_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, n, how): how many programmes ``match_names`` finds for each id, and by which way; ids without any are left out. No pair is made of copies."""
+    links, wanted_of, known_of = name_links(wanted, known)
+    sizes = known_of.groupBy(F.col("class").alias("known_class")).agg(F.count("*").alias("size"))
+    counts = links.join(sizes, "known_class").groupBy(F.col("wanted_class").alias("class")).agg(F.sum("size").alias("n"), F.min("how").alias("how"))
+    return wanted_of.join(counts.hint("merge"), "class").select("id", "n", "how")
+
+
+def name_links(wanted: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, wanted members, known members): ``match_names`` between classes of equal rows, and the members of the classes (see ``alike``)."""
+    (w, wanted_of), (k, known_of) = alike(wanted.where("id is not null"), "id"), alike(known, "program_id")
+    links = _match_names(persist_shared(w, "wanted-names"), persist_shared(k, "known-names"))
+    return links.withColumnsRenamed({"id": "wanted_class", "program_id": "known_class"}), wanted_of, known_of
+
+
+def _match_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """As ``match_names``. Containment is found between distinct names, by an automaton and by postings (see ``containment``), before
+    level and credits join the rows."""
     flat = known.select("program_id", "level", "ects", F.explode("names").alias("n")).select("program_id", "level", "ects", F.lower(F.trim("n")).alias("name")).where("name <> ''").distinct()
     w = wanted.select("id", F.lower(F.trim("name")).alias("text"), "level", "ects").where("text <> ''")
     same = [F.col("w.level") == F.col("k.level"), F.col("w.ects").eqNullSafe(F.col("k.ects"))]

@@ -34,3 +34,17 @@ def test_documents_are_scored_as_classes(spark, monkeypatch):
     one = scored[0].count()
     run(1)[0].count()
     assert one == scored[2].count()  # copies add no pair
+
+
+def test_copies_of_names_add_no_link(spark):
+    def sides(copies):
+        wanted = spark.createDataFrame([(i * 10 + k, n, "M", 90.0) for i in range(copies) for k, n in enumerate(["Law", "Law and more", "Art", ""])], "id int, name string, level string, ects double")
+        known = spark.createDataFrame([(i * 10 + k, n, "M", 90.0) for i in range(copies) for k, n in enumerate([["Law", "Recht"], ["Law and more", "law"], ["Music"], None])], "program_id int, names array<string>, level string, ects double")
+        return wanted, known
+
+    links = [matching.name_links(*sides(n))[0].count() for n in (1, 5)]
+    assert links[0] == links[1] > 0
+    pairs = matching.match_names(*sides(5)).collect()
+    assert len({(r.id, r.program_id) for r in pairs}) == len(pairs) == 25 * links[0]
+    want = {(i, n, min(r.how for r in pairs if r.id == i)) for i, n in Counter(r.id for r in pairs).items()}
+    assert {tuple(r) for r in matching.count_names(*sides(5)).collect()} == want
