@@ -52,5 +52,10 @@ def write_vectors(df: DataFrame, path: str, vector: str = "embedding", lists: in
 
 
 def write_parents(chunks: DataFrame, path: str) -> None:
-    """The parent texts of parent-child chunks, one row each."""
-    chunks.select("parent_id", F.col("parent_text").alias("text")).dropDuplicates(["parent_id"]).write.mode("overwrite").parquet(path)
+    """The parent texts of parent-child chunks, one row each.
+
+    Every task hashes its chunks down to one text a parent. Only these are sorted and move; the count of a text's chunks is asked for, as
+    Spark would leave out a mere ``distinct`` before ``dropDuplicates`` and sort the texts of all chunks.
+    """
+    texts = chunks.groupBy("parent_id", F.col("parent_text").alias("text")).agg(F.count("*").alias("n")).where("n > 0")
+    texts.select("parent_id", "text").dropDuplicates(["parent_id"]).write.mode("overwrite").parquet(path)
