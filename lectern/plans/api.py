@@ -17,6 +17,7 @@ from lectern.functions.text import code_loose, code_strict, extract_codes, study
 from lectern.functions.values import GERMAN_DAYS, weekday_name
 from lectern.operators import planning
 from lectern.operators import relational as R
+from lectern.storage import persist_shared
 
 Tables = dict[str, DataFrame]
 
@@ -276,12 +277,27 @@ def offering(t: Tables, offering_id: int) -> dict[str, DataFrame]:
 
 
 def mobility(t: Tables, semesters: list[str], interest: str | None = None, language: str | None = None, enough: int = 50) -> DataFrame:
-    """(sem_id, code, attempt): mobility courses of up to two semesters, searched ever wider until enough are found."""
+    """(sem_id, code, attempt): mobility courses of up to two semesters, searched ever wider until enough are found.
+
+    Tries are for interest and language, for interest, and for language. What a course offers doesn't depend on the try or the semester, so it is
+    found out once, and a course's first try follows from it.
+    """
+    t = t | {k: persist_shared(t[k], k) for k in ("courseoffering", "semester")}
+    able = _courses(t).where(_course_filter(mobility=True)).select("code").distinct()
+    marks = {}
+    if interest is not None:
+        marks["_asked"] = _found_courses(t, mobility=True, q=interest).select("code").distinct()
+    if language is not None:
+        marks["_spoken"] = _taught_in(t, language)
+    for mark, codes in marks.items():
+        able = able.join(codes.withColumn(mark, F.lit(True)), "code", "left")
+    able = persist_shared(able, "mobility-courses")
+    asked, spoken = (F.coalesce(F.col(m), F.lit(False)) if m in marks else F.lit(True) for m in ("_asked", "_spoken"))
+    attempt = F.when(asked & spoken, 0).when(asked, 1).when(spoken, 2)
     out = None
     for s in semesters[:2]:
-        tries = [(interest, language), (interest, None), (None, language)]
-        found = [_found_courses(t, mobility=True, semester=s, q=i, language=lang).select("code") for i, lang in tries]
-        one = R.staged_union(found, "code", ["code"], enough).select(F.lit(s).alias("sem_id"), "code", "attempt")
+        first = able.join(_offered(t, s), "code", "left_semi").select("code", attempt.alias("attempt")).where("attempt is not null")
+        one = R.until_enough(persist_shared(first, "attempts"), enough).select(F.lit(s).alias("sem_id"), "code", "attempt")
         out = one if out is None else out.unionByName(one)
     return out.orderBy("sem_id", "attempt", "code")
 

@@ -1,6 +1,9 @@
 """What is made on the way to a result doesn't grow with copies; results stay whole."""
 
+from lectern.operators import relational as R
 from lectern.operators import retrieval as S
+from lectern.plans import api
+from lectern.plans.derived import tables
 from lectern.sources import sinks
 
 
@@ -27,3 +30,12 @@ def test_equal_questions_are_scored_once(spark, monkeypatch):
     best = {t: (r.program_key, r.score) for t in texts[:2] for r in S.detect_program(spark.createDataFrame([(1, t)], "id int, text string"), c).collect()}
     assert got == {(i, *best[texts[i % 4]]) for i in range(40) if i % 4 < 2} and len(best) == 2
     assert scored[0].count() == 2
+
+
+def test_mobility_asks_once(spark, sf_dir, monkeypatch):
+    t, calls, plainly = tables(spark, sf_dir), [], api._found_courses
+    tries = lambda s: [plainly(t, mobility=True, semester=s, q=q, language=g).select("code") for q, g in (("small", "engl"), ("small", None), (None, "engl"))]
+    want = {(s, r.code, r.attempt) for s in ("HS-1996", "FS-1997") for r in R.staged_union(tries(s), "code", ["code"], 20).collect()}
+    monkeypatch.setattr(api, "_found_courses", lambda *a, **k: calls.append(k) or plainly(*a, **k))
+    assert {tuple(r) for r in api.mobility(t, ["HS-1996", "FS-1997", "HS-1997"], "small", "engl", 20).collect()} == want and want
+    assert len(calls) == 1
