@@ -1,5 +1,6 @@
 """What is made on the way to a result doesn't grow with copies; results stay whole."""
 
+from lectern.operators import etl
 from lectern.operators import relational as R
 from lectern.operators import retrieval as S
 from lectern.plans import api
@@ -39,3 +40,17 @@ def test_mobility_asks_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(api, "_found_courses", lambda *a, **k: calls.append(k) or plainly(*a, **k))
     assert {tuple(r) for r in api.mobility(t, ["HS-1996", "FS-1997", "HS-1997"], "small", "engl", 20).collect()} == want and want
     assert len(calls) == 1
+
+
+def _staged(spark):
+    staging = spark.createDataFrame(
+        [(1, 7, 3, 1, "Pflicht", "t", " EC.1 ", "Old", "course", None), (2, 7, 3, 2, "Pflicht", "t", "EC.1", "New", "course", None), (3, 7, 3, 1, "x", "t", "EC.2", None, "course", None), (4, 7, 3, 1, "x", "t", "ALT", "By alternative", "course", None)],
+        "staging_id int, program_id int, source_doc_id int, page_no int, section string, raw_text string, extracted_code string, extracted_title string, reference_type string, fetched_at timestamp",
+    )
+    return staging, spark.createDataFrame([("EC.1", "EC.1", "Micro"), ("EC.2", "ALT", "Macro")], "code string, alternative_code string, name string")
+
+
+def test_staged_links_are_sorted_out_once(spark):
+    out = etl.staging_to_final(*_staged(spark))
+    assert sorted((r.code, r.course_name) for r in out.collect()) == [("EC.1", "New"), ("EC.2", "By alternative")]
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
