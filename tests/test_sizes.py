@@ -6,6 +6,7 @@ from lectern.operators import retrieval as S
 from lectern.plans import api
 from lectern.plans.derived import tables
 from lectern.sources import sinks
+from lectern.sources.store import StoredTable
 
 
 def test_texts_of_parents_are_hashed_before_they_are_sorted(spark, tmp_path, monkeypatch):
@@ -54,3 +55,14 @@ def test_staged_links_are_sorted_out_once(spark):
     out = etl.staging_to_final(*_staged(spark))
     assert sorted((r.code, r.course_name) for r in out.collect()) == [("EC.1", "New"), ("EC.2", "By alternative")]
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dry_runs_write_nothing(spark, tmp_path, monkeypatch):
+    staging, courses = _staged(spark)
+    links = StoredTable(spark, f"file://{tmp_path}/links", etl.staging_to_final(staging, courses).schema, ["program_id", "code"], buckets=2)
+    written, plainly = [], etl.persist_shared
+    monkeypatch.setattr(etl, "persist_shared", lambda *a: written.append(a) or plainly(*a))
+    counts = lambda **k: {r.action: r.n for r in etl.rebuild_stored_links(links, staging, courses, **k).collect()}
+    assert counts(dry_run=True) == {"deleted": 0, "inserted": 2} and not written and links.read().count() == 0
+    assert counts() == {"deleted": 0, "inserted": 2} and len(written) == 1 and links.read().count() == 2
+    assert counts(program_id=7, limit=2, dry_run=True) == {"deleted": 2, "inserted": 1} and len(written) == 1
