@@ -1,6 +1,8 @@
 """What is made on the way to a result doesn't grow with copies; results stay whole."""
 
-from lectern.operators import etl
+import random
+
+from lectern.operators import etl, graph
 from lectern.operators import relational as R
 from lectern.operators import retrieval as S
 from lectern.plans import api
@@ -66,3 +68,27 @@ def test_dry_runs_write_nothing(spark, tmp_path, monkeypatch):
     assert counts(dry_run=True) == {"deleted": 0, "inserted": 2} and not written and links.read().count() == 0
     assert counts() == {"deleted": 0, "inserted": 2} and len(written) == 1 and links.read().count() == 2
     assert counts(program_id=7, limit=2, dry_run=True) == {"deleted": 2, "inserted": 1} and len(written) == 1
+
+
+def test_components_by_contraction(spark, monkeypatch):
+    rng = random.Random(5)
+    links = [(rng.randrange(300), -1 - rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(1, 80)] + [(7, 7), (None, 3), (5, -5), (5, -5)]
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    df = spark.createDataFrame(links, "a long, b long")
+    left, plainly = [], graph._stars
+    monkeypatch.setattr(graph, "_stars", lambda e, total, most: left.append(total) or plainly(e, total, most))
+    for few in (0, 100, 10_000):
+        rows = graph.connected_components(df, few=few).collect()
+        assert {r.id: r.component for r in rows} == {x: find(x) for x in root} and len(rows) == len(root)
+    assert left[0] < left[2] / 2  # the stars have less to do
+    assert graph.connected_components(df.limit(0), few=0).count() == 0
