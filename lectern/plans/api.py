@@ -235,13 +235,15 @@ def _bare(code: str) -> str:
 
 
 def plan_courses(t: Tables, program_id: int, completed: str = "") -> DataFrame:
-    """A programme's courses as the planner takes them, without the completed ones."""
-    sem = t["courseoffering"].join(t["semester"], "sem_id")
+    """A programme's courses as the planner takes them, without the completed ones. Offerings of other courses are left out before they are joined."""
+    own = persist_shared(t["consist_of"].where(F.col("program_id") == program_id), "programme-courses")
+    offered = persist_shared(R.lookup(t["courseoffering"], own.select("code").distinct(), "code", "left_semi"), "programme-offerings")
+    sem = offered.join(t["semester"], "sem_id")
     when = F.struct(F.col("year"), (F.col("type") == "Autumn").cast("int"))
     kinds = sem.groupBy("code").agg(R.sorted_set(F.col("type")).alias("semester_types"), F.max_by("day_time_info", when).alias("day_time_info"), F.max_by("sem_id", when).alias("sem_id"))
-    langs = t["courseoffering"].select("offering_id", "code").join(t["is_taught_in"], "offering_id").join(t["language"], "lang_id").groupBy("code").agg(R.sorted_set(F.col("description")).alias("languages"))
+    langs = offered.select("offering_id", "code").join(t["is_taught_in"], "offering_id").join(t["language"], "lang_id").groupBy("code").agg(R.sorted_set(F.col("description")).alias("languages"))
     c = t["course"].select("code", F.col("name").alias("canonical"), "ects")
-    x = t["consist_of"].where(F.col("program_id") == program_id).join(c, "code").join(kinds, "code", "left").join(langs, "code", "left")
+    x = own.join(c, "code").join(kinds, "code", "left").join(langs, "code", "left")
     none = F.array().cast("array<string>")
     done = [k for k in (completed or "").split(",") if k.strip()]
     if done:

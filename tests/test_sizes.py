@@ -92,3 +92,11 @@ def test_components_by_contraction(spark, monkeypatch):
         assert {r.id: r.component for r in rows} == {x: find(x) for x in root} and len(rows) == len(root)
     assert left[0] < left[2] / 2  # the stars have less to do
     assert graph.connected_components(df.limit(0), few=0).count() == 0
+
+
+def test_a_plan_joins_its_own_offerings_only(spark, sf_dir, monkeypatch):
+    t, stored, plainly = tables(spark, sf_dir), {}, api.persist_shared
+    monkeypatch.setattr(api, "persist_shared", lambda df, label: stored.setdefault(label, plainly(df, label)))
+    got = {r.code for r in api.plan_courses(t, 7).collect()}
+    assert got == {r.code for r in t["consist_of"].where("program_id = 7").collect()} and got
+    assert {r.code for r in stored["programme-offerings"].collect()} <= got
