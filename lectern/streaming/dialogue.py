@@ -11,8 +11,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -228,50 +227,39 @@ def fold_dialogues(turns: DataFrame, catalog: DataFrame, idle_minutes: int = 30)
     return per_group(_users(turns, catalog).drop("ts"), ["session_id"], ["turn", "at", "text"], run, ACTION)
 
 
+#: What is kept of a session: the fields of ``State``, and the time of its timer.
+KEPT = "turn long, at long, flow string, step string, program_id long, count int, ects int, interest string, shown int, semesters array<string>, offered array<long>, codes array<string>, timer long"
+
+
 class Dialogues(StatefulProcessor):
-    """A session's slots in state: values, and lists of semesters, offered programmes and codes. A silent session is forgotten by a timer."""
+    """A session's slots in state, as one value, which is read and written once a batch. A silent session is forgotten by a timer."""
 
     def __init__(self, idle_ms: int) -> None:
         self.idle_ms = idle_ms
+        self.row = Row(*[x.split()[0] for x in ACTION.split(", ")])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.values = handle.getValueState("values", "turn long, at long, flow string, step string, program_id long, count int, ects int, interest string, shown int")
-        self.lists = {name: handle.getListState(name, f"value {kind}") for name, kind in (("semesters", "string"), ("offered", "long"), ("codes", "string"))}
-
-    def _load(self) -> State:
-        s = State(*self.values.get()) if self.values.exists() else State()
-        for name, state in self.lists.items():
-            setattr(s, name, [x[0] for x in state.get()] if state.exists() else [])
-        return s
-
-    def _save(self, s: State) -> None:
-        self.values.update((s.turn, s.at, s.flow, s.step, s.program_id, s.count, s.ects, s.interest, s.shown))
-        for name, state in self.lists.items():
-            if getattr(s, name):
-                state.put([(x,) for x in getattr(s, name)])
-            else:
-                state.clear()
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        s, out = self._load(), []
-        for turn, at, _, slots in sorted((int(r.turn), int(r.at), r.text or "", r.slots) for f in rows for r in f.itertuples(index=False)):
+        self.kept = handle.getValueState("kept", KEPT)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        *values, timer = self.kept.get() or (*dataclasses.astuple(State()), None)
+        s, out = State(*values[:9], *map(list, values[9:])), []
+        for turn, at, _, slots in sorted((r.turn, r.at, r.text or "", r.slots) for r in rows):
             done = advance(s, turn, at, _read(slots), self.idle_ms)
             if done:
-                out.append((key[0], *done))
-        self._save(s)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(s.at + self.idle_ms + 1)
-        names = [x.split()[0] for x in ACTION.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        yield frame.astype({"program_id": "Int64", "count": "Int32", "ects": "Int32", "shown": "Int32"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        self.values.clear()
-        for state in self.lists.values():
-            state.clear()
-        yield from ()
+                out.append(self.row(key[0], *done))
+        due = s.at + self.idle_ms + 1
+        self.kept.update((*dataclasses.astuple(s), due))
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        self.kept.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -284,7 +272,7 @@ def stream_dialogues(turns: DataFrame, catalog: DataFrame, idle_minutes: int = 3
     state store (``stateful``). A silent session's state is dropped once the stream's time has passed it.
     """
     said = _users(turns, catalog).withWatermark("ts", late)
-    return said.groupBy("session_id").transformWithStateInPandas(Dialogues(idle_minutes * 60_000), ACTION, "append", "EventTime")
+    return said.groupBy("session_id").transformWithState(Dialogues(idle_minutes * 60_000), ACTION, "append", "EventTime")
 
 
 def stateful(spark) -> None:  # noqa: ANN001

@@ -5,7 +5,7 @@ import random
 from lectern.operators import etl, graph
 from lectern.operators import relational as R
 from lectern.operators import retrieval as S
-from lectern.plans import api
+from lectern.plans import api, streams
 from lectern.plans.derived import tables
 from lectern.sources import sinks
 from lectern.sources.store import StoredTable
@@ -100,3 +100,14 @@ def test_a_plan_joins_its_own_offerings_only(spark, sf_dir, monkeypatch):
     got = {r.code for r in api.plan_courses(t, 7).collect()}
     assert got == {r.code for r in t["consist_of"].where("program_id = 7").collect()} and got
     assert {r.code for r in stored["programme-offerings"].collect()} <= got
+
+
+def test_turns_may_lie_in_any_number_of_files(spark, sf_dir, tmp_path):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id < 6")
+    for k in range(9):  # later turns first
+        c.where(f"turn = {8 - k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/files/conversations.parquet")
+    c.coalesce(1).write.parquet(f"{tmp_path}/one/conversations.parquet")
+    for d in ("files", "one"):
+        spark.read.parquet(f"{sf_dir}/nation.parquet").write.parquet(f"{tmp_path}/{d}/nation.parquet")
+    files, one = (sorted(map(str, streams.slot_dialogues(spark, f"{tmp_path}/{d}").collect())) for d in ("files", "one"))
+    assert files == one and len(one) == c.where("role = 'user'").count()
