@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lectern.functions.values import renormalised_score, weighted_score
 from lectern.operators.relational import orphans, present
@@ -63,22 +64,44 @@ def row_checks(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def foreign_key_checks(tables: dict[str, DataFrame], keys: list[tuple[str, str, str, str]]) -> DataFrame:
+def foreign_key_checks(tables: dict[str, DataFrame], keys: list[tuple[str, str, str, str]], views: dict[str, tuple[str, dict[str, str]]] | None = None) -> DataFrame:
     """(name, orphans, total, rate) of every (child, column, parent, column); null keys aren't orphans.
 
-    All keys are checked in one pass: every table is read once and gives its values, each with the key that it belongs to or as a parent's;
-    values meet by one shuffle, counted before they move, so that a value of many rows is one row a task.
+    All keys are checked in one pass: every table is read once and gives its values, each with bits for the keys that it belongs to or as a parent's;
+    values meet by one shuffle, counted before they move, so that a value of many rows is one row a task. A value has a counter for each key of its
+    own parent only, and whole numbers stay numbers. ``views``: tables with one row for each row of another table, as that table and SQL of their columns
+    over its own; they are read along with it.
     """
+    views = views or {}
     spaces = sorted({(p, c) for _, _, p, c in keys})
-    roles: dict[str, list] = {}
-    role = lambda space, column, check: F.struct(F.lit(space).alias("space"), F.col(column).cast("string").alias("value"), F.lit(check).alias("key"))
-    for i, (p, c) in enumerate(spaces):
-        roles.setdefault(p, []).append(role(i, c, -1))
-    for k, (child, column, p, c) in enumerate(keys):
-        roles.setdefault(child, []).append(role(spaces.index((p, c)), column, k))
-    values = reduce(DataFrame.unionByName, [tables[t].select(F.explode(F.array(*r)).alias("r")).select("r.*") for t, r in roles.items()]).where("value is not null")
-    met = values.groupBy("space", "value").agg(F.max(F.col("key") < 0).alias("there"), *[F.count(F.when(F.col("key") == k, 1)).alias(f"n{k}") for k in range(len(keys))])
-    sums = met.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for k in range(len(keys)) for n, c in ((f"t{k}", F.col(f"n{k}")), (f"o{k}", F.when(~F.col("there"), F.col(f"n{k}"))))])
+    children = [[k for k, key in enumerate(keys) if key[2:] == space] for space in spaces]
+    number = lambda t, c: isinstance(tables[t].schema[c].dataType, IntegralType)
+    whole = [number(*space) and all(number(*keys[k][:2]) for k in ks) for space, ks in zip(spaces, children)]
+    roles: dict[str, dict[tuple[int, str], int]] = {}
+
+    def add(t: str, c: str, space: int, bit: int) -> None:
+        source, columns = views.get(t, (t, {}))
+        own = roles.setdefault(source, {})
+        place = space, columns.get(c, c)
+        own[place] = own.get(place, 0) | 1 << bit
+
+    for i, (space, ks) in enumerate(zip(spaces, children)):
+        add(*space, i, 0)
+        for n, k in enumerate(ks):
+            add(*keys[k][:2], i, n + 1)
+
+    def role(space: int, column: str, bits: int) -> Column:
+        v, none = F.expr(column), F.lit(None)
+        number, text = (v, none) if whole[space] else (none, v)
+        return F.struct(F.lit(space).alias("space"), number.cast("long").alias("number"), text.cast("string").alias("text"), F.lit(bits).cast("long").alias("bits"))
+
+    values = reduce(DataFrame.unionByName, [tables[t].select(F.explode(F.array(*[role(*place, bits) for place, bits in r.items()])).alias("r")).select("r.*") for t, r in roles.items()])
+    has = lambda n: F.col("bits").bitwiseAND(1 << n) != 0
+    slots = range(1, 1 + max(map(len, children)))
+    met = values.where("number is not null or text is not null").groupBy("space", "number", "text").agg(F.max(has(0)).alias("there"), *[F.count_if(has(n)).alias(f"n{n}") for n in slots])
+    by_space = met.groupBy("space").agg(*[x for n in slots for x in (F.sum(f"n{n}").alias(f"t{n}"), F.sum(F.when(~F.col("there"), F.col(f"n{n}"))).alias(f"o{n}"))])
+    of = [(k, i, n + 1) for i, ks in enumerate(children) for n, k in enumerate(ks)]
+    sums = by_space.agg(*[F.coalesce(F.sum(F.when(F.col("space") == i, F.col(f"{x}{n}"))), F.lit(0)).alias(f"{x}{k}") for k, i, n in of for x in "to"])
     rows = [F.struct(F.lit(f"{child}.{column}").alias("name"), F.col(f"o{k}").alias("orphans"), F.col(f"t{k}").alias("total"), F.try_divide(f"o{k}", f"t{k}").alias("rate")) for k, (child, column, _, _) in enumerate(keys)]
     return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 

@@ -2,10 +2,10 @@
 
 import random
 
-from lectern.operators import etl, graph
+from lectern.operators import etl, graph, quality
 from lectern.operators import relational as R
 from lectern.operators import retrieval as S
-from lectern.plans import api, streams
+from lectern.plans import api, endpoints, streams
 from lectern.plans.derived import tables
 from lectern.sources import sinks
 from lectern.sources.store import StoredTable
@@ -111,3 +111,24 @@ def test_turns_may_lie_in_any_number_of_files(spark, sf_dir, tmp_path):
         spark.read.parquet(f"{sf_dir}/nation.parquet").write.parquet(f"{tmp_path}/{d}/nation.parquet")
     files, one = (sorted(map(str, streams.slot_dialogues(spark, f"{tmp_path}/{d}").collect())) for d in ("files", "one"))
     assert files == one and len(one) == c.where("role = 'user'").count()
+
+
+def test_foreign_keys_have_counters_of_their_own_parent(spark):
+    t = {
+        "a": spark.createDataFrame([(1,), (2,), (2,), (None,)], "id int"),
+        "s": spark.createDataFrame([("1",), ("x",)], "id string"),
+        "c": spark.createDataFrame([(1, 1, "x"), (3, 7, None), (None, 1, "1"), (2, None, "01")], "a_id long, s_id int, code string"),
+        "none": spark.createDataFrame([], "a_id int"),
+    }
+    t["v"] = t["c"].selectExpr("a_id", "a_id + 1 AS next")
+    keys = [("c", "a_id", "a", "id"), ("c", "s_id", "s", "id"), ("c", "code", "s", "id"), ("v", "a_id", "a", "id"), ("v", "next", "a", "id"), ("none", "a_id", "a", "id")]
+    want = {("c.a_id", 1, 3, 1 / 3), ("c.s_id", 1, 3, 1 / 3), ("c.code", 1, 3, 1 / 3), ("v.a_id", 1, 3, 1 / 3), ("v.next", 2, 3, 2 / 3), ("none.a_id", 0, 0, None)}
+    assert {tuple(r) for r in quality.foreign_key_checks(t, keys).collect()} == want
+    assert {tuple(r) for r in quality.foreign_key_checks(t, keys, {"v": ("c", {"next": "a_id + 1"})}).collect()} == want
+
+
+def test_catalogue_keys_derive_each_table_once(spark, sf_dir):
+    plan = endpoints.catalogue_keys(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("partial_count(") + plan.count("partial_count_if(") <= 10
+    scans = [x for x in plan.split("\n") if "FileScan" in x and "l_partkey" in x and "year#" not in x]
+    assert len(scans) == 2  # links and teachers; the rest comes of the stored half-years
