@@ -72,14 +72,21 @@ def equivalence_groups(courses: DataFrame) -> DataFrame:
 
 
 def roll_up(courses: DataFrame) -> DataFrame:
-    """One row of each group: choice flag, credits and title of the first option, least year and part, all semester types."""
-    first = lambda c: F.min_by(c, "row_no")
-    return courses.groupBy("plan", "group_no").agg(
-        (F.count("*") > 1).alias("requires_choice"), F.coalesce(first("ects"), F.lit(0.0)).alias("planned_ects"), F.min("suggested_year").alias("suggested_year"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("semester_types")))).alias("semester_types"),
-        F.min(F.coalesce(T.sequence_part(F.col("name")), F.lit(50))).alias("sequence"), T.series_key(first("name")).alias("series"), T.sequence_part(first("name")).alias("part"),
-        F.min("row_no").alias("source_order"), first("course_type").alias("course_type"), F.array_sort(F.collect_list("code")).alias("codes"),
-        F.array_distinct(F.flatten(F.collect_list(T.time_blocks(F.col("day_time_info"))))).alias("blocks"),
+    """One row of each group: choice flag, credits and title of the first option, least year and part, all semester types.
+
+    Most groups are one course, so groups are sorted once and read in order; an aggregate of lists would sort them on both sides of its shuffle.
+    """
+    w = Window.partitionBy("plan", "group_no").orderBy(F.asc_nulls_last("row_no"))
+    all_of = lambda c: c.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    x = courses.select("plan", "group_no", "row_no", "ects", "course_type", "semester_types", "suggested_year", "code", T.sequence_part(F.col("name")).alias("_part"), T.series_key(F.col("name")).alias("_series"), T.time_blocks(F.col("day_time_info")).alias("_blocks"))
+    x = x.withColumns({
+        "_place": F.row_number().over(w), "_n": all_of(F.count(F.lit(1))), "_year": all_of(F.min("suggested_year")), "_sequence": all_of(F.min(F.coalesce("_part", F.lit(50)))),
+        "_types": all_of(F.collect_list("semester_types")), "_codes": all_of(F.collect_list("code")), "_all_blocks": all_of(F.collect_list("_blocks")),
+    })
+    return x.where("_place = 1").select(
+        "plan", "group_no", (F.col("_n") > 1).alias("requires_choice"), F.coalesce("ects", F.lit(0.0)).alias("planned_ects"), F.col("_year").alias("suggested_year"),
+        F.array_sort(F.array_distinct(F.flatten("_types"))).alias("semester_types"), F.col("_sequence").alias("sequence"), F.col("_series").alias("series"), F.col("_part").alias("part"),
+        F.col("row_no").alias("source_order"), "course_type", F.array_sort("_codes").alias("codes"), F.array_distinct(F.flatten("_all_blocks")).alias("blocks"),
     )
 
 
@@ -170,7 +177,8 @@ def plan_semesters(groups: DataFrame, semesters: int = 8, total: float | None =
         p.electives([g for g in rows if g.course_type != "Mandatory"], chosen)
         return [(g.plan, s.number, s.kind, g.group_no, g.course_type, g.planned_ects, s.load) for s in p.slots for g in s.groups]
 
-    return per_group(groups, ["plan"], ["group_no"], place, PLAN_SCHEMA)
+    used = groups.select("plan", "group_no", "course_type", "semester_types", "blocks", "planned_ects", "suggested_year", "source_order", "series", "part", "sequence")
+    return per_group(used, ["plan"], ["group_no"], place, PLAN_SCHEMA)
 
 
 # ---- credits ----

@@ -2,7 +2,8 @@
 
 import random
 
-from lectern.operators import etl, graph, quality
+from lectern.functions import text as T
+from lectern.operators import etl, graph, planning, quality
 from lectern.operators import relational as R
 from lectern.operators import retrieval as S
 from lectern.plans import api, endpoints, streams
@@ -132,3 +133,20 @@ def test_catalogue_keys_derive_each_table_once(spark, sf_dir):
     assert plan.count("partial_count(") + plan.count("partial_count_if(") <= 10
     scans = [x for x in plan.split("\n") if "FileScan" in x and "l_partkey" in x and "year#" not in x]
     assert len(scans) == 2  # links and teachers; the rest comes of the stored half-years
+
+
+def test_groups_are_rolled_up_without_an_aggregate(spark):
+    rows = [
+        (1, 5, 9, "b", "Law: Info II", None, "Elective", ["Spring"], None, "Monday 08:15 - 10:00"), (1, 5, 5, "a", "Info (d) I", 4.5, "Mandatory", ["Spring", "Autumn"], 2, None), (1, 5, 7, "c", None, 3.0, "Elective", [], 1, "Friday 10:15 - 12:00; Monday 08:15 - 10:00"),
+        (1, 6, 6, "d", "x: 3", None, None, None, None, ""), (2, 5, 5, "e", "IV: Statistik", 6.0, "Elective", ["Autumn"], 3, "Friday 10:15 - 12:00"), (None, 1, 1, "f", "Recht 7", 1.0, "Elective", [], None, None),
+    ]
+    c = spark.createDataFrame(rows, "plan long, group_no long, row_no long, code string, name string, ects double, course_type string, semester_types array<string>, suggested_year int, day_time_info string")
+    out = planning.roll_up(c)
+    monday, friday = ("Monday", 495, 600), ("Friday", 615, 720)
+    got = {(r.plan, r.group_no): (r.requires_choice, r.planned_ects, r.suggested_year, r.semester_types, r.sequence, r.series, r.part, r.source_order, r.course_type, r.codes, sorted(map(tuple, r.blocks))) for r in out.collect()}
+    assert got == {
+        (1, 5): (True, 4.5, 1, ["Autumn", "Spring"], 1, "info", 1, 5, "Mandatory", ["a", "b", "c"], [friday, monday]), (1, 6): (False, 0.0, None, [], 3, "", 3, 6, None, ["d"], []),
+        (2, 5): (False, 6.0, 3, ["Autumn"], 4, "statistik", 4, 5, "Elective", ["e"], [friday]), (None, 1): (False, 1.0, None, [], 50, "recht 7", None, 1, "Elective", ["f"], []),
+    }
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert c.select(T.sequence_part(c.name).alias("part"))._jdf.queryExecution().analyzed().toString().count("regexp_extract(") <= 2
