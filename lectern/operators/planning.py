@@ -106,7 +106,11 @@ class Slot:
 
 
 def _clash(x, y) -> bool:  # noqa: ANN001
-    return any(a["day"] == b["day"] and a["start"] < b["end"] and b["start"] < a["end"] for a in x for b in y)
+    for a in x:
+        for b in y:
+            if a["day"] == b["day"] and a["start"] < b["end"] and b["start"] < a["end"]:
+                return True
+    return False
 
 
 class Planner:
@@ -134,9 +138,7 @@ class Planner:
             year, part = nothing(g.suggested_year, None), nothing(g.part, None)
             base = max(1, int((year - 1) * 2 + 1)) if year else 1
             after = max(base, last[g.series] + 1) if part and part > 1 and g.series in last else base
-            for choice in (self._open(g, after), self._open(g, base), self._open(g, 1), self.slots):
-                if choice:
-                    break
+            choice = self._open(g, after) or (after > base and self._open(g, base)) or (base > 1 and self._open(g, 1)) or self.slots
             e = g.planned_ects
             fits = [s for s in choice if s.load + e <= self.high]
             light = [s for s in fits if s.load < self.low]
