@@ -32,6 +32,11 @@ def test_codes_and_times(spark):
     assert one(spark, T.time_blocks(F.lit("nichts"))) == []
 
 
+def test_course_type_says_what_the_application_does(spark):
+    got = {x: one(spark, T.course_type(F.lit(x))) for x in ("Wahlübung", "Wahl\0pflicht", "options; nicht\u00a0obligatorisch", "option, obligatoire", "Wahl_1", "Wahlen", "Übung à choix")}
+    assert [x for x, kind in got.items() if kind == "Mandatory"] == ["option, obligatoire", "Wahl_1", "Wahlen"] and set(got.values()) == {"Mandatory", "Elective"}
+
+
 def test_inference(spark):
     assert one(spark, T.course_type(F.lit("Wahlpflicht"))) == "Elective"
     assert one(spark, T.course_type(F.lit("nicht obligatorisch, Wahl"))) == "Elective"

@@ -71,6 +71,17 @@ def test_staging(spark):
     assert out["EC.003"].course_name == "Macro" and set(out) == {"EC.001", "EC.003"}
 
 
+def test_staged_types_come_before_words(spark):
+    staged = [("Elective", "Pflicht"), (" Mandatory ", "Wahl"), (None, "Wahl"), ("", "Pflicht"), ("elective", "x"), (None, None)]
+    staging = spark.createDataFrame(
+        [(i, 7, None, None, section, "t", f"EC.{i}", None, "course", None, kind) for i, (kind, section) in enumerate(staged)],
+        "staging_id int, program_id int, source_doc_id int, page_no int, section string, raw_text string, extracted_code string, extracted_title string, reference_type string, fetched_at timestamp, inferred_type string",
+    )
+    courses = spark.createDataFrame([(f"EC.{i}", None, "Micro") for i in range(6)], "code string, alternative_code string, name string")
+    got = [r.course_type for r in etl.staging_to_final(staging, courses).orderBy("code").collect()]
+    assert got == ["Elective", "Mandatory", "Elective", "Mandatory", "Mandatory", "Mandatory"]
+
+
 def test_day_time_info(spark):
     df = spark.createDataFrame(
         [("Weekly", "x", None, None, [("16.09.2025", "08:15 - 10:00", "Lecture"), ("23.09.2025", "08:15 - 10:00", "Lecture")]), ("Weekly", "Montag 13:15 - 15:00", None, None, None), ("Block", None, "Seminar", "28 h", None), ("Block", "x irrégulier", None, None, None)],

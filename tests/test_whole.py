@@ -3,7 +3,9 @@
 
 from collections import defaultdict
 
-from lectern.plans import catalogue
+from lectern.operators import etl
+from lectern.plans import catalogue, endpoints
+from lectern.plans.derived import tables
 
 
 def test_equivalence_components(spark, tmp_path):
@@ -71,3 +73,22 @@ def test_timetables_of_all_courses(spark, tmp_path):
     assert {(r.plan, r.code) for r in run("timetable_lanes")} == {(p, str(k)) for k, p, *_ in orders}
     clashing = {(p, c) for p, a, b in want for c in (a, b)}
     assert {(r.plan, c) for r in run("conflict_groups") for c in r.codes.split(",")} == clashing
+
+
+def test_staged_links_have_their_types(spark, sf_dir):
+    staged = tables(spark, sf_dir)["programcoursestaging"].collect()
+    want = {(r.program_id, r.extracted_code.strip()): r.inferred_type or "Mandatory" for r in staged if r.reference_type == "course" and r.extracted_code and not r.extracted_code.endswith("X ")}
+    df = catalogue.QUERIES["staging_to_final"](spark, sf_dir)
+    got = {(r.program_id, r.code): r.course_type for r in df.collect()}
+    assert got == {k: want[k] for k in got} and len(got) > 1000 and set(got.values()) == {"Mandatory", "Elective"}
+    assert "RLIKE" in df._jdf.queryExecution().optimizedPlan().toString()  # words of the untyped ones are read
+
+
+def test_staged_types_by_sql(spark, duck):
+    texts = ["Wahlübung", "options; nicht\u00a0obligatorisch", "option, obligatoire", "Wahl_1", "Wahlfächer", "pas\nobligatoire", "not mandatory, freie  Wahl", "core", "Übung à choix", "Wahl\ufefffrei pflicht nicht\ufeffobligatorisch", "", None]
+    rows = [(i, 7, None, None, x, "t", f"EC.{i}", title, "course", None, kind) for i, (x, title, kind) in enumerate((x, y, k) for x in texts for y in (None, "required", "au choix") for k in (None, "Elective", "?"))]
+    staging = spark.createDataFrame(rows, "staging_id int, program_id int, source_doc_id int, page_no int, section string, raw_text string, extracted_code string, extracted_title string, reference_type string, fetched_at timestamp, inferred_type string")
+    courses = spark.createDataFrame([(r[6], None, "Micro") for r in rows], "code string, alternative_code string, name string")
+    got = {r.code: r.course_type for r in etl.staging_to_final(staging, courses).collect()}
+    l = staging.toPandas()  # noqa: E741, F841
+    assert got == dict(duck.sql(f"SELECT extracted_code, {endpoints._SAID} FROM l").fetchall()) and set(got.values()) == {"Mandatory", "Elective"} and len(got) == len(rows)
